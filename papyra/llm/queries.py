@@ -17,6 +17,39 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.pii import find_mentions
+
+    results, mails = table(spark, sf_dir, "extraction_results"), table(spark, sf_dir, "email_metadata")
+    found = find_mentions(results, "result_id", "content", "content")
+    found = found.unionByName(find_mentions(mails, "result_id", "from_email", "from_email"))
+    found = found.unionByName(find_mentions(mails, "result_id", "to_emails", "to_emails"))
+    return found.select("result_id", "field", "item_no", "char_start", "pii_kind")
+
+
+@query
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.pii import redact
+
+    return redact(table(spark, sf_dir, "extraction_results"), "result_id", "content")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.textclass import classify
+
+    classes = classify(table(spark, sf_dir, "extraction_results"))
+    return classes.filter("text_class <> 'prose'").select("result_id", "text_class")
+
+
+@query
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.textclass import statistics
+
+    return statistics(table(spark, sf_dir, "extraction_results"))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyra.llm.split import split_oversized
