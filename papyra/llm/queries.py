@@ -50,6 +50,20 @@ def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(table(spark, sf_dir, "extraction_results"))
 
 
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.langseg import segment
+
+    return segment(table(spark, sf_dir, "extraction_results")).select("result_id", "block_no", "lang")
+
+
+@query
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.langseg import segment
+
+    return segment(table(spark, sf_dir, "extraction_results"), only_findings=False)
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyra.llm.split import split_oversized
