@@ -97,3 +97,25 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyra.llm.mixing import shares
 
     return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.residue import label
+
+    return label(table(spark, sf_dir, "documents")).filter("is_residue").select("doc_id")
+
+
+@query
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.residue import label
+
+    return label(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyra.llm.residue import without_residue
+
+    docs = table(spark, sf_dir, "documents")
+    return without_residue(docs).select("doc_id", "source", "lang")
