@@ -1,52 +1,6 @@
-"""All queries of the core by name, each with the SQL it is held against where SQL can express it."""
+"""All queries of the core; importing this registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from papyra.operators import nested
-from papyra.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-NESTED = ["metadata", "tables", "chunks", "pages"]
-
-
-@query()
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.nested_objects(table(spark, sf_dir, "extraction_results"), "result_id", NESTED)
-
-
-@query()
-def p3_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", NESTED)
-
-
-@query()
-def p3_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", ["pages"])
-    fields = ["image_index", "format", "page_number", "width", "height", "is_mask", "description", "ocr_result.content", "ocr_result.mime_type"]
-    return nested.nested_table(found, "result_id", "pages[].images[]", fields)
-
-
-@query()
-def p3_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", ["metadata"])
-    return nested.nested_table(found, "result_id", "metadata.pages.boundaries[]", ["byte_start", "byte_end", "page_number"])
+from papyra.plans import nested_queries, text_queries  # noqa: F401
+from papyra.plans.registry import QUERIES, SQL  # noqa: F401
