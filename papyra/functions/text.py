@@ -165,9 +165,15 @@ def structure_bonus(c: Column) -> Column:
     return F.when(c.isNull() | (n == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
 
+def valid_json(c: Column) -> Column:
+    """Whether a text is one JSON object or array, whole: as the only item of an array, nothing can follow it."""
+    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.coalesce(t.rlike(r"^[{\[]") & t.rlike(r"[}\]]$") & (F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1), F.lit(False))
+
+
 def metadata_bonus(json: Column) -> Column:
     """Share of the important keys that a metadata object has; 0 for what is no valid JSON object."""
-    ok = F.try_parse_json(json).isNotNull() & F.ltrim(json).startswith("{")
+    ok = valid_json(json) & F.ltrim(json).startswith("{")
     there = sum((F.when(F.get_json_object(json, f"$.{k}").isNotNull(), 1).otherwise(0) for k in METADATA_KEYS), F.lit(0))
     return F.when(ok, there / F.lit(len(METADATA_KEYS))).otherwise(F.lit(0.0))
 
@@ -333,7 +339,7 @@ def pdf_date(c: Column) -> Column:
 
 def split_authors(c: Column) -> Column:
     """Names between semicolons, commas, and the word and."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r" and |[;,]", "\x01"), "\x01"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r" and |[;,]", "\x01"), "\x01"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def smart_dpi(width: Column, height: Column, target: int = 300, max_dim: int = 4096, max_mb: float = 2048.0) -> Column:

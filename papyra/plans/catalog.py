@@ -1,6 +1,6 @@
-"""All queries of the core; importing this registers them."""
+"""Queries of the core; importing this module registers them."""
 
 from __future__ import annotations
 
-from papyra.plans import nested_queries, text_queries  # noqa: F401
+from papyra.plans import metric_queries, nested_queries, source_queries, structure_queries, text_queries  # noqa: F401
 from papyra.plans.registry import QUERIES, SQL  # noqa: F401

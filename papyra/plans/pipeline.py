@@ -1,0 +1,138 @@
+"""Plugins and the pipeline: extractors, processors and validators by stage and priority, composed into one plan.
+
+Processors are DataFrame -> DataFrame functions in the stages early, middle, late; within a stage higher priority
+first, then order of registration. Validators give an error or null; they run last, and the first failure by
+priority is the row's error. The registries are read whenever a plan is built, so later registrations count.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
+
+from papyra.functions import text as X
+
+STAGES = ("early", "middle", "late")
+
+
+@dataclass(frozen=True)
+class Processor:
+    name: str
+    stage: str
+    priority: int
+    apply: Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Validator:
+    name: str
+    priority: int
+    check: Callable[[DataFrame], Column]
+
+
+@dataclass
+class Registry:
+    """Named plugins in order of registration."""
+
+    items: dict = field(default_factory=dict)
+
+    def register(self, item) -> None:
+        if not item.name or any(c.isspace() for c in item.name):
+            raise ValueError("a plugin's name has at least one character and no white space")
+        self.items.pop(item.name, None)
+        self.items[item.name] = item
+
+    def get(self, name: str):
+        return self.items[name]
+
+    def remove(self, name: str) -> None:
+        self.items.pop(name, None)
+
+    def clear(self) -> None:
+        self.items.clear()
+
+    def names(self) -> list[str]:
+        return list(self.items)
+
+    def ordered(self) -> list:
+        return sorted(self.items.values(), key=lambda p: -p.priority)
+
+
+processors, validators = Registry(), Registry()
+
+
+def selected(items: list[Processor], allow: set[str] | None = None, deny: set[str] | None = None) -> list[Processor]:
+    """The processors that run: the allow list wins over the deny list."""
+    if allow is not None:
+        return [p for p in items if p.name in allow]
+    return [p for p in items if p.name not in (deny or set())]
+
+
+def run(df: DataFrame, items: list[Processor], checks: list[Validator] | None = None, allow: set[str] | None = None, deny: set[str] | None = None) -> DataFrame:
+    """All stages, then the validators; rows keep their other columns."""
+    order = sorted(selected(items, allow, deny), key=lambda p: (STAGES.index(p.stage), -p.priority))
+    for p in order:
+        df = p.apply(df)
+    return validate(df, checks or [])
+
+
+def validate(df: DataFrame, checks: list[Validator]) -> DataFrame:
+    """Column error: the first failure by priority, null where all pass."""
+    ordered = sorted(checks, key=lambda v: -v.priority)
+    error = F.coalesce(*[v.check(df).cast("string") for v in ordered], F.lit(None).cast("string")) if ordered else F.lit(None).cast("string")
+    return df.withColumn("error", error)
+
+
+def strict(df: DataFrame) -> DataFrame:
+    """Fail the job at the first row with an error."""
+    return df.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("error")))
+
+
+@pandas_udf(ArrayType(StringType()))
+def _chunks(texts):
+    from papyra.operators.chunking import split_text
+
+    return texts.map(lambda t: split_text(t or "", 1000, 200))
+
+
+#: Function words that tell the language in the default pipeline.
+_FUNCTION_WORDS = {
+    "deu": "der die das und ist nicht mit von dem den ein eine zu auf für", "eng": "the of and to in is was for on with that this it as are", "fra": "le la les des une est dans pour qui que et du au sur par",
+    "ita": "il della una che per di nel sono è un gli la e con del", "nld": "de het een van en is niet voor dat zijn op met te aan er", "pol": "nie na do jest się że w z i oraz to dla po od", "por": "o os da do uma não para com que em na no as um e",
+    "rus": "и в на не что с по из для как это все после", "spa": "el los las una del que no para con en la y por es al", "jpn": "は が を に で の と",
+}
+
+
+def language_column(c: Column) -> Column:
+    """The language with most of its function words in a text; null for a text with none. An expression, no shuffle."""
+    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"\p{IsLatin}+|\p{IsCyrillic}+|[\x{3040}-\x{309F}]"), F.lit(0))
+
+    def score(lang: str) -> Column:
+        own = _FUNCTION_WORDS[lang].split()
+        return F.struct(F.size(F.filter(tokens, lambda w: w.isin(own))).alias("n"), F.lit(lang).alias("lang"))
+
+    scores = [score(lang) for lang in sorted(_FUNCTION_WORDS)]
+    best = F.array_max(F.array(*scores))
+    return F.when(best["n"] > 0, best["lang"])
+
+
+def _keywords(c: Column, stop: list[str], k: int = 10) -> Column:
+    """The most frequent words of a text outside of a list, longest first among equals; none below ten words."""
+    ws = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"\pL{4,}"), F.lit(0)), lambda w: ~w.isin(stop))
+    return F.when(X.word_count(c) >= 10, F.slice(F.array_sort(F.array_distinct(ws)), 1, k)).otherwise(F.array().cast("array<string>"))
+
+
+def default_processors(content: str = "content") -> list[Processor]:
+    c = F.col(content)
+    words = sorted({w for ws in _FUNCTION_WORDS.values() for w in ws.split()})
+    return [
+        Processor("language", "early", 40, lambda d: d.withColumn("detected_language", language_column(c))),
+        Processor("quality", "early", 30, lambda d: d.withColumn("quality_score", X.quality_score(c))),
+        Processor("keywords", "middle", 50, lambda d: d.withColumn("keywords", _keywords(c, words))),
+        Processor("chunking", "middle", 50, lambda d: d.withColumn("chunks", _chunks(c))),
+    ]

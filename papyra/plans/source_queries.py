@@ -1,0 +1,211 @@
+"""Queries of media types, metadata fields, mail headers, entities, classification and error messages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from papyra.functions import text as X
+from papyra.operators import entities
+from papyra.plans.registry import query
+from papyra.plans.text_queries import WS
+from papyra.sources import mime
+from papyra.session import table
+
+
+def _results(spark, sf_dir):
+    return table(spark, sf_dir, "extraction_results")
+
+
+_MIME_CASE = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mime.BY_EXTENSION.items()) + " END"
+_LIST = ", ".join(f"'{m}'" for m in mime.SUPPORTED)
+
+
+@query(f"""SELECT DISTINCT result_id, ext, {_MIME_CASE} AS mime FROM (SELECT result_id, lower(regexp_extract(source_path, '\\.([^./\\\\]+)$', 1)) AS ext FROM extraction_results)""")
+def mime_by_extension(spark, sf_dir):
+    return _results(spark, sf_dir).select("result_id", mime.extension(F.col("source_path")).alias("ext"), mime.by_extension(F.col("source_path")).alias("mime")).distinct()
+
+
+@query(f"""SELECT mime_type, content_type, content_type IN ({_LIST}) OR starts_with(content_type, 'image/') AS supported, starts_with(content_type, 'image/') AS image, n
+  FROM (SELECT mime_type, lower(trim(split_part(mime_type, ';', 1))) AS content_type, count(DISTINCT result_id) AS n FROM extraction_results WHERE mime_type IS NOT NULL GROUP BY ALL)""")
+def mime_validation(spark, sf_dir):
+    own = _results(spark, sf_dir).filter("mime_type is not null").groupBy("mime_type").agg(F.countDistinct("result_id").alias("n"))
+    c = X.content_type(F.col("mime_type"))
+    return own.select("mime_type", c.alias("content_type"), mime.is_supported(c).alias("supported"), X.is_image_mime(c).alias("image"), "n")
+
+
+_REV = " UNION ALL ".join(f"SELECT '{k}' AS ext, '{v}' AS mime" for k, v in mime.BY_EXTENSION.items())
+
+
+@query(f"SELECT mime, list_sort(list(DISTINCT ext)) AS extensions FROM ({_REV}) GROUP BY mime")
+def mime_extensions(spark, sf_dir):
+    return mime.extensions_of(spark)
+
+
+@query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN text IS NULL THEN NULL WHEN regexp_matches(t, '^[{{\\[]') AND json_valid(t) THEN 'application/json' WHEN starts_with(t, '<') THEN 'application/xml'
+  WHEN starts_with(t, '%PDF') THEN 'application/pdf' ELSE 'text/plain' END AS kind FROM (SELECT text, regexp_replace(text, '^{WS}+', '') AS t FROM documents)) GROUP BY kind""")
+def mime_sniff(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(mime.sniff_text(F.col("text")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_META = "(SELECT DISTINCT result_id, CASE WHEN json_valid(metadata) AND starts_with(ltrim(metadata), '{') THEN metadata::JSON END AS m FROM extraction_results)"
+
+
+def _meta(spark, sf_dir):
+    m = F.when(X.valid_json(F.col("metadata")) & F.ltrim("metadata").startswith("{"), F.col("metadata"))
+    return _results(spark, sf_dir).select("result_id", m.alias("m")).distinct()
+
+
+@query(f"""SELECT result_id, CASE WHEN regexp_matches(c, '^(?:D:)?\\d{{8,14}}') THEN substr(p, 1, 4) || '-' || substr(p, 5, 2) || '-' || substr(p, 7, 2) || 'T' || substr(p, 9, 2) || ':' || substr(p, 11, 2) || ':' || substr(p, 13, 2) || 'Z' ELSE c END AS created
+  FROM (SELECT result_id, c, rpad(regexp_extract(c, '^(?:D:)?(\\d{{8,14}})', 1), 14, '0') AS p FROM (SELECT result_id, json_extract_string(m, '$.created_at') AS c FROM {_META})) WHERE c IS NOT NULL""")
+def metadata_dates(spark, sf_dir):
+    rows = _meta(spark, sf_dir).select("result_id", F.get_json_object("m", "$.created_at").alias("c")).filter("c is not null")
+    return rows.select("result_id", X.pdf_date(F.col("c")).alias("created"))
+
+
+@query("""SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(s, ' and |[;,]', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS names
+  FROM (SELECT doc_id, source || ' and ' || collection || '; ' || coalesce(lang, '') AS s FROM documents WHERE source IS NOT NULL)""")
+def split_authors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("source is not null")
+    s = F.concat("source", F.lit(" and "), "collection", F.lit("; "), F.coalesce("lang", F.lit("")))
+    return docs.select("doc_id", X.split_authors(s).alias("names"))
+
+
+@query(f"""SELECT format_type, count(*) AS n, count(json_extract_string(m, '$.title')) AS titles, count(json_extract_string(m, '$.created_at')) AS dates, count(json_extract_string(m, '$.quality_score')) AS scores
+  FROM (SELECT m, json_extract_string(m, '$.format_type') AS format_type FROM {_META} WHERE m IS NOT NULL) GROUP BY format_type""")
+def metadata_coverage(spark, sf_dir):
+    g = lambda k: F.get_json_object("m", f"$.{k}")
+    rows = _meta(spark, sf_dir).filter("m is not null").select(g("format_type").alias("format_type"), g("title").alias("t"), g("created_at").alias("c"), g("quality_score").alias("q"))
+    return rows.groupBy("format_type").agg(F.count("*").alias("n"), F.count("t").alias("titles"), F.count("c").alias("dates"), F.count("q").alias("scores"))
+
+
+@query("""SELECT DISTINCT result_id, concat_ws(chr(10), 'From: ' || from_email, 'To: ' || nullif(array_to_string(list_filter(to_emails, lambda x: x IS NOT NULL), ', '), ''), 'CC: ' || nullif(array_to_string(list_filter(cc_emails, lambda x: x IS NOT NULL), ', '), ''),
+  'BCC: ' || nullif(array_to_string(list_filter(bcc_emails, lambda x: x IS NOT NULL), ', '), '')) AS header FROM email_metadata""")
+def email_header_text(spark, sf_dir):
+    line = lambda label, c: F.concat(F.lit(label), F.nullif(F.array_join(c, ", "), F.lit("")))
+    mails = table(spark, sf_dir, "email_metadata")
+    header = F.concat_ws("\n", F.concat(F.lit("From: "), "from_email"), line("To: ", F.col("to_emails")), line("CC: ", F.col("cc_emails")), line("BCC: ", F.col("bcc_emails")))
+    return mails.select("result_id", header.alias("header")).distinct()
+
+
+_CODES = entities.ERROR_CODES
+_CODE_SQL = " ".join(f"WHEN regexp_matches(lower(error_message), '{p}') THEN '{name}'" for name, p in _CODES)
+
+
+@query(f"SELECT CASE WHEN error_message IS NULL THEN 'none' {_CODE_SQL} ELSE 'unknown' END AS code, count(DISTINCT run_id) AS n FROM benchmark_results GROUP BY 1")
+def error_codes(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark_results").groupBy(entities.error_code(F.col("error_message")).alias("code")).agg(F.countDistinct("run_id").alias("n"))
+
+
+def _class_sql() -> str:
+    scores = []
+    for name, patterns in entities.CLASSES.items():
+        hits = " + ".join(f"CASE WHEN contains(t, '{p}') THEN 1 ELSE 0 END" for p in patterns)
+        scores.append(f"SELECT doc_id, '{name}' AS document_type, round(({hits})::DOUBLE / {len(patterns)}, 6) AS confidence FROM d")
+    rank = "row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, document_type)"
+    return f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS ({' UNION ALL '.join(scores)}) SELECT doc_id, CASE WHEN confidence >= {entities.THRESHOLD} THEN document_type END AS document_type, confidence FROM (SELECT *, {rank} AS r FROM s) WHERE r = 1"
+
+
+@query(_class_sql())
+def document_type(spark, sf_dir):
+    best = entities.classify(F.col("text"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", best.alias("b"))
+    return docs.select("doc_id", F.when(F.col("b.confidence") >= entities.THRESHOLD, F.col("b.document_type")).alias("document_type"), F.round("b.confidence", 6).alias("confidence"))
+
+
+def _entity_sql() -> str:
+    parts = [f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in entities.PATTERNS.items()]
+    return f"SELECT doc_id, kind, value, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+@query(_entity_sql())
+def entity_counts(spark, sf_dir):
+    found = entities.matches(table(spark, sf_dir, "documents"), "doc_id", "text", entities.PATTERNS)
+    return found.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
+
+
+@query()
+def entity_spans(spark, sf_dir):
+    return entities.spans(table(spark, sf_dir, "documents"), "doc_id", "text", entities.PATTERNS)
+
+
+@query("""SELECT category, assert_kind, assert_op, count(*) AS n, count(DISTINCT fixture_id) AS fixtures FROM extraction_fixtures GROUP BY ALL""")
+def fixture_summary(spark, sf_dir):
+    return table(spark, sf_dir, "extraction_fixtures").groupBy("category", "assert_kind", "assert_op").agg(F.count("*").alias("n"), F.countDistinct("fixture_id").alias("fixtures"))
+
+
+_FIX = """WITH r AS (SELECT lower(trim(split_part(mime_type, ';', 1))) AS mime, max(length(content)) AS longest, any_value(result_id) AS any_id FROM extraction_results WHERE mime_type IS NOT NULL GROUP BY 1)
+SELECT fixture_id, assert_kind, assert_value, CASE assert_kind WHEN 'expected_mime' THEN r.mime IS NOT NULL WHEN 'min_content_length' THEN coalesce(longest >= try_cast(assert_value AS BIGINT), false) END AS passed
+FROM extraction_fixtures f LEFT JOIN r ON r.mime = f.media_type WHERE assert_kind IN ('expected_mime', 'min_content_length')"""
+
+
+@query(_FIX)
+def fixture_check(spark, sf_dir):
+    """Assertions of fixtures held against the results of their media type: a join and a filter."""
+    best = _results(spark, sf_dir).filter("mime_type is not null").groupBy(X.content_type(F.col("mime_type")).alias("mime")).agg(F.max(F.length("content")).alias("longest"))
+    f = table(spark, sf_dir, "extraction_fixtures").filter("assert_kind in ('expected_mime', 'min_content_length')")
+    long_enough = F.coalesce(F.col("longest") >= F.expr("try_cast(assert_value as bigint)"), F.lit(False))
+    passed = F.when(F.col("assert_kind") == "expected_mime", F.col("mime").isNotNull()).otherwise(long_enough)
+    return f.join(best, f.media_type == best.mime, "left").select("fixture_id", "assert_kind", "assert_value", passed.alias("passed"))
+
+
+@query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS line FROM events WHERE json_valid(props)")
+def json_flatten(spark, sf_dir):
+    from papyra.sources.extractors import flatten_json
+
+    return table(spark, sf_dir, "events").select("event_id", flatten_json("props").alias("line"))
+
+
+@query("""SELECT p_partkey, CASE WHEN fits THEN 300 ELSE greatest(72, least(300, least(round(4096 / wi), round(4096 / hi)), floor(sqrt((2048.0 * 1048576 / 3) / (wi * hi)))))::INT END AS dpi FROM (
+  SELECT *, greatest(wi * 300, hi * 300) <= 4096 AND wi * 300 * hi * 300 * 3 / 1048576.0 <= 2048 AS fits FROM (SELECT p_partkey, p_size * 40 / 72.0::DOUBLE AS wi, p_size * 55 / 72.0::DOUBLE AS hi FROM part))""")
+def optimal_dpi(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.smart_dpi(F.col("p_size") * 40, F.col("p_size") * 55).alias("dpi"))
+
+
+_CAP = " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.RATIOS.items())
+
+
+@query(f"SELECT run_id, ceil(file_size * CASE lower(file_extension) {_CAP} ELSE 0.5 END::DOUBLE)::BIGINT AS capacity FROM benchmark_results GROUP BY ALL")
+def content_capacity(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark_results").select("run_id", X.content_capacity(F.col("file_size"), F.col("file_extension")).alias("capacity")).distinct()
+
+
+@query("""SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: (x / n)::FLOAT::DOUBLE * (x / n)::FLOAT::DOUBLE))), 4) AS norm, round((embedding[1] / n)::FLOAT::DOUBLE, 5) AS first
+  FROM (SELECT *, CASE WHEN s > 0 THEN sqrt(s) ELSE 1 END AS n FROM (SELECT *, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS s FROM embeddings))""")
+def embedding_normalize(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", X.l2_normalize(F.col("embedding")).alias("e"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("vec_id", "label", F.round(norm, 4).alias("norm"), F.round(F.col("e")[0].cast("double"), 5).alias("first"))
+
+
+# Presets of embedding: pieces, overlap, dimensions.
+PRESETS = [("fast", 512, 50, 384), ("balanced", 1024, 100, 768), ("quality", 2000, 200, 1024), ("multilingual", 1024, 100, 768)]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS preset, {a} AS chunk_size, {b} AS overlap, {d} AS dimensions, (SELECT count(DISTINCT result_id) FROM extraction_results WHERE length(content) > {a}) AS larger" for n, a, b, d in PRESETS))
+def embedding_presets(spark, sf_dir):
+    presets = spark.createDataFrame(PRESETS, "preset string, chunk_size int, overlap int, dimensions int")
+    counts = _results(spark, sf_dir).groupBy().agg(*[F.countDistinct(F.when(F.length("content") > a, F.col("result_id"))).alias(n) for n, a, _, _ in PRESETS])
+    larger = counts.select(F.explode(F.create_map(*[x for n, *_ in PRESETS for x in (F.lit(n), F.col(n))])).alias("preset", "larger"))
+    return presets.join(larger, "preset")
+
+
+@query("SELECT doc_id, lang, CASE WHEN lang IS NULL THEN 'missing language' WHEN coalesce(trim(text), '') = '' THEN 'empty text' WHEN n_chars < 20 THEN 'too short' END AS error FROM documents")
+def validators(spark, sf_dir):
+    from papyra.plans.pipeline import Validator, validate
+
+    checks = [
+        Validator("short", 10, lambda d: F.when(F.col("n_chars") < 20, F.lit("too short"))),
+        Validator("language", 90, lambda d: F.when(F.col("lang").isNull(), F.lit("missing language"))),
+        Validator("empty", 50, lambda d: F.when(F.coalesce(F.trim("text"), F.lit("")) == "", F.lit("empty text"))),
+    ]
+    return validate(table(spark, sf_dir, "documents"), checks).select("doc_id", "lang", "error")
+
+
+@query()
+def pipeline(spark, sf_dir):
+    """The default stages over all results: language and quality early, keywords and chunks in the middle, validators last."""
+    from papyra.plans.pipeline import default_processors, run
+
+    rows = _results(spark, sf_dir).select("result_id", "content", "mime_type").dropDuplicates(["result_id"])
+    out = run(rows, default_processors())
+    return out.select("result_id", "quality_score", "detected_language", F.size("chunks").alias("n_chunks"), F.size("keywords").alias("n_keywords"), "error")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.functions.text import valid_json
+
 # Media types by extension.
 BY_EXTENSION = {
     "txt": "text/plain", "md": "text/markdown", "markdown": "text/markdown", "pdf": "application/pdf", "html": "text/html", "htm": "text/html",
@@ -54,7 +56,7 @@ def is_supported(mime: Column) -> Column:
 def sniff_text(text: Column) -> Column:
     """Type of a text: JSON that parses, then anything that begins with "<" is XML, then PDF, else plain text."""
     t = F.regexp_replace(text, r"(?U)^\s+", "")
-    json = t.rlike(r"^[{\[]") & F.try_parse_json(t).isNotNull()
+    json = valid_json(t)
     return (
         F.when(text.isNull(), F.lit(None).cast("string"))
         .when(json, "application/json")
