@@ -76,7 +76,7 @@ def line_count(c: Column) -> Column:
 
 def average_word_length(c: Column) -> Column:
     """Mean characters of the words' letters and digits; 5 for a text without words."""
-    own = F.filter(F.transform(words(c), lambda w: F.length(F.regexp_replace(w, U + r"\W", ""))), lambda n: n > 0)
+    own = F.filter(F.transform(words(c), lambda w: F.length(F.regexp_replace(w, r"[^\pL\pN_\pM]", ""))), lambda n: n > 0)
     return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0), lambda a, x: a + x) / F.size(own)).otherwise(F.lit(5.0))
 
 

@@ -113,4 +113,4 @@ def tsv_words(tsv: Column, min_confidence: float = 0.0) -> Column:
     """Words of OCR output in twelve tab-separated columns: level five, confident enough, not blank."""
     rows = F.transform(F.slice(F.split(tsv, "\n"), F.lit(2), F.greatest(F.size(F.split(tsv, "\n")), F.lit(1))), lambda x: F.split(x, "\t"))
     good = F.filter(rows, lambda r: (F.size(r) >= 12) & (r[0] == "5") & (r[10].try_cast("double") >= min_confidence) & (F.trim(r[11]) != ""))
-    return F.transform(good, lambda r: F.struct(r[11].alias("text"), r[6].try_cast("int").alias("left"), r[7].try_cast("int").alias("top"), r[8].try_cast("int").alias("width"), r[9].try_cast("int").alias("height"), r[10].try_cast("double").alias("confidence")))
+    return F.transform(good, lambda r: F.named_struct(F.lit("text"), r[11], *[x for i, n in ((6, "left"), (7, "top"), (8, "width"), (9, "height")) for x in (F.lit(n), r[i].try_cast("int"))], F.lit("confidence"), r[10].try_cast("double")))

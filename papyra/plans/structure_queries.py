@@ -39,9 +39,11 @@ _BOUND = "json_transform(CASE WHEN json_valid(metadata) AND starts_with(ltrim(me
   h AS (SELECT result_id, c.metadata.chunk_index AS chunk_index, c.metadata.byte_start AS s, c.metadata.byte_end AS e, list_filter(bs, lambda b: c.metadata.byte_start < b.byte_end AND c.metadata.byte_end > b.byte_start) AS hit FROM c)
   SELECT result_id, chunk_index, s AS byte_start, e AS byte_end, hit[1].page_number AS first_page, hit[-1].page_number AS last_page FROM h""")
 def chunk_page_range(spark, sf_dir):
-    schema = "struct<pages:struct<boundaries:array<struct<byte_start:bigint,byte_end:bigint,page_number:int>>>>"
+    # numbers may be stored as texts: read texts, then cast
+    schema = "struct<pages:struct<boundaries:array<struct<byte_start:string,byte_end:string,page_number:string>>>>"
     ok = F.when(X.valid_json(F.col("metadata")) & F.ltrim("metadata").startswith("{"), F.col("metadata"))
-    bs = F.filter(F.from_json(ok, schema)["pages"]["boundaries"], lambda b: b.isNotNull() & b["byte_start"].isNotNull())
+    read = F.transform(F.from_json(ok, schema)["pages"]["boundaries"], lambda b: F.named_struct(F.lit("byte_start"), b["byte_start"].try_cast("bigint"), F.lit("byte_end"), b["byte_end"].try_cast("bigint"), F.lit("page_number"), b["page_number"].try_cast("int")))
+    bs = F.filter(read, lambda b: b["byte_start"].isNotNull())
     c = _results(spark, sf_dir).select("result_id", bs.alias("bs"), F.explode(F.filter("chunks", lambda c: c.isNotNull() & c["metadata"].isNotNull())).alias("c"))
     m = F.col("c.metadata")
     pages = chunking.page_range(m["byte_start"], m["byte_end"], F.col("bs"))

@@ -98,7 +98,7 @@ def word_frequency(spark, sf_dir):
     return ws.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, round(least(5.0, -sum(n / total * log2(n / total))), 6) AS entropy FROM (
+@query("""SELECT doc_id, round(least(5.0, -sum(n / total * log2(n / total))), 6) + 0.0 AS entropy FROM (
   SELECT doc_id, n::DOUBLE AS n, sum(n) OVER (PARTITION BY doc_id)::DOUBLE AS total FROM (
     SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), '')) AS ch FROM documents WHERE text <> '') WHERE ch <> '' GROUP BY ALL)) GROUP BY doc_id""")
 def char_entropy(spark, sf_dir):
