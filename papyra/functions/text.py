@@ -39,6 +39,11 @@ CYRILLIC = r"[\x{0400}-\x{04FF}]{3,}"
 U = "(?U)"
 
 
+def bind(c: Column, f) -> Column:
+    """f of a column whose expression is evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), lambda x: f(x)), 1)
+
+
 def replace(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, F.lit(U + pattern), F.lit(by))
 
@@ -77,13 +82,13 @@ def line_count(c: Column) -> Column:
 def average_word_length(c: Column) -> Column:
     """Mean characters of the words' letters and digits; 5 for a text without words."""
     own = F.filter(F.transform(words(c), lambda w: F.length(F.regexp_replace(w, r"[^\pL\pN_\pM]", ""))), lambda n: n > 0)
-    return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0), lambda a, x: a + x) / F.size(own)).otherwise(F.lit(5.0))
+    return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0), lambda a, x: a + x) / F.greatest(F.size(own), F.lit(1))).otherwise(F.lit(5.0))
 
 
 def word_diversity(c: Column) -> Column:
     """Distinct words by words, in lower case; 0 without words."""
     ws = F.transform(words(c), F.lower)
-    return F.when(F.size(ws) > 0, F.size(F.array_distinct(ws)) / F.size(ws)).otherwise(F.lit(0.0))
+    return F.when(F.size(ws) > 0, F.size(F.array_distinct(ws)) / F.greatest(F.size(ws), F.lit(1))).otherwise(F.lit(0.0))
 
 
 # ---------------------------------------------------------------- native text statistics
@@ -110,7 +115,7 @@ def ocr_fallback(c: Column, pages: Column) -> Column:
     """Whether a native text is so poor that OCR should replace it. Null and blank texts: true."""
     ink, alnum, good = ink_count(c), alnum_count(c), meaningful_words(c)
     n = F.greatest(F.coalesce(pages, F.lit(1)), F.lit(1))
-    ratio = F.when(ink == 0, F.lit(0.0)).otherwise(alnum / ink)
+    ratio = F.when(ink == 0, F.lit(0.0)).otherwise(alnum / F.greatest(ink, F.lit(1)))
     poor = ((ratio < MIN_RATIO) & (alnum / n < MIN_PER_PAGE)) | ((ink < MIN_TOTAL) & (ink / n < MIN_PER_PAGE))
     return (
         F.when(c.isNull() | (ink == 0) | (alnum == 0), True)
@@ -135,19 +140,19 @@ def dash_bytes(c: Column) -> Column:
 
 def ocr_penalty(c: Column) -> Column:
     combined = "|".join((SCATTERED, REPEATED, ISOLATED, MALFORMED, WIDE_SPACE))
-    share = (match_bytes(c, combined) + dash_bytes(c)) / F.octet_length(c)
+    share = (match_bytes(c, combined) + dash_bytes(c)) / F.greatest(F.octet_length(c), F.lit(1))
     return F.when(c.contains("  ") | c.contains("..."), F.least(F.lit(1.0), share)).otherwise(F.lit(0.0))
 
 
 def script_penalty(c: Column) -> Column:
     total = match_bytes(c, JS_FUNCTION) + match_bytes(c, CSS_RULE) + match_bytes(c, SCRIPT_TAG) + match_bytes(c, STYLE_TAG)
     gate = c.contains("function") | c.contains("<script") | c.contains("<style")
-    return F.when(gate, F.least(F.lit(1.0), total / F.octet_length(c))).otherwise(F.lit(0.0))
+    return F.when(gate, F.least(F.lit(1.0), total / F.greatest(F.octet_length(c), F.lit(1)))).otherwise(F.lit(0.0))
 
 
 def nav_penalty(c: Column) -> Column:
     total = match_bytes(c, NAV_WORDS) + match_bytes(c, BREADCRUMB) + match_bytes(c, PAGINATION)
-    return F.least(F.lit(1.0), total / F.octet_length(c))
+    return F.least(F.lit(1.0), total / F.greatest(F.octet_length(c), F.lit(1)))
 
 
 def structure_bonus(c: Column) -> Column:
@@ -232,7 +237,9 @@ def normalize_whitespace(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Scripts, OCR artefacts, navigation, white space, ends: in this order."""
-    return F.trim(replace(normalize_whitespace(remove_navigation(clean_ocr(collapse_letters(remove_scripts(c))))), r"^\s+|\s+$", ""))
+    c = bind(collapse_letters(remove_scripts(c)), clean_ocr)
+    c = bind(remove_navigation(c), normalize_whitespace)
+    return replace(c, r"^\s+|\s+$", "")
 
 
 def normalize_spaces(c: Column) -> Column:
@@ -272,7 +279,7 @@ def strip_control(c: Column) -> Column:
 
 def text_confidence(c: Column) -> Column:
     """From 0 to 1: readable characters, less replacement and control characters and long Cyrillic runs, by bytes."""
-    size = F.octet_length(c).cast("double")
+    size = F.greatest(F.octet_length(c), F.lit(1)).cast("double")
     readable = F.length(F.regexp_replace(c, U + r"[^\x21-\x7E\s]", ""))
     bad = F.size(F.regexp_extract_all(c, F.lit(REPLACEMENT), F.lit(0))) + 2 * F.size(F.regexp_extract_all(c, F.lit(CONTROL), F.lit(0)))
     cyrillic = F.aggregate(F.regexp_extract_all(c, F.lit(CYRILLIC), F.lit(0)), F.lit(0), lambda a, x: a + F.octet_length(x))
@@ -346,8 +353,8 @@ def smart_dpi(width: Column, height: Column, target: int = 300, max_dim: int = 4
     """The DPI at which a page (points) stays within a dimension and a memory limit, at least 72."""
     wi, hi = width / 72.0, height / 72.0
     fits = (F.greatest(wi * target, hi * target) <= max_dim) & (wi * target * hi * target * 3 / 1048576.0 <= max_mb)
-    by_dim = F.least(F.when(wi > 0, F.round(max_dim / wi)).otherwise(F.lit(target)), F.when(hi > 0, F.round(max_dim / hi)).otherwise(F.lit(target)))
-    by_memory = F.when((wi > 0) & (hi > 0), F.floor(F.sqrt(F.lit(max_mb * 1048576.0 / 3) / (wi * hi)))).otherwise(F.lit(target))
+    by_dim = F.least(F.when(wi > 0, F.round(F.try_divide(F.lit(max_dim), wi))).otherwise(F.lit(target)), F.when(hi > 0, F.round(F.try_divide(F.lit(max_dim), hi))).otherwise(F.lit(target)))
+    by_memory = F.when((wi > 0) & (hi > 0), F.floor(F.sqrt(F.try_divide(F.lit(max_mb * 1048576.0 / 3), wi * hi)))).otherwise(F.lit(target))
     return F.when(fits, F.lit(target)).otherwise(F.greatest(F.lit(72), F.least(F.lit(target), by_dim, by_memory))).cast("int")
 
 
@@ -372,4 +379,4 @@ def content_type(c: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Vector of length one; the zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))).otherwise(v)
+    return F.when(norm > 0, F.transform(v, lambda x: F.try_divide(x.cast("double"), norm).cast("float"))).otherwise(v)

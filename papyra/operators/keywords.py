@@ -36,7 +36,7 @@ def rake(df: DataFrame, key: str, text: str, stop: str, k: int = 10, min_score:
     raw = per_word.join(weight, [key, "word"]).groupBy(key, "phrase").agg(F.sum("w").alias("raw"), F.first("size").alias("size")).filter(F.col("size") <= max_words)
     by = Win.partitionBy(key)
     low, high = F.min("raw").over(by), F.max("raw").over(by)
-    scored = raw.withColumn("score", F.when(high > low, (F.col("raw") - low) / (high - low)).otherwise(F.lit(1.0)))
+    scored = raw.withColumn("score", F.when(high > low, F.try_divide(F.col("raw") - low, high - low)).otherwise(F.lit(1.0)))
     rank = F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "phrase"))
     return scored.filter(F.col("score") >= min_score).withColumn("r", rank).filter(F.col("r") <= k).select(key, F.col("phrase").alias("keyword"), "score")
 

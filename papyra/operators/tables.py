@@ -47,7 +47,7 @@ def structure(cells: Column) -> dict[str, Column]:
     numeric = F.size(F.filter(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), lambda i: (F.size(column(i)) > 0) & F.forall(column(i), lambda c: c.rlike(r"^-?[0-9]+(\.[0-9]+)?$"))))
     return {
         "n_rows": F.size(body).cast("bigint"), "n_cols": width.cast("bigint"), "n_empty": empty.cast("bigint"), "n_numeric": numeric.cast("bigint"),
-        "density": F.when(F.size(flat) > 0, F.round(1 - empty / F.size(flat), 6)).otherwise(F.lit(0.0)),
+        "density": F.when(F.size(flat) > 0, F.round(1 - empty / F.greatest(F.size(flat), F.lit(1)), 6)).otherwise(F.lit(0.0)),
     }
 
 

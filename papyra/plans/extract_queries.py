@@ -9,12 +9,12 @@ from papyra.operators import tables
 from papyra.plans.registry import query
 from papyra.plans.structure_queries import _with_stop
 from papyra.sources import extractors
-from papyra.session import table
+from papyra.session import spread, table
 
 
 def _as_files(spark, sf_dir):
     """Every document as HTML, JSON, Markdown and mail bytes: four files each."""
-    d = table(spark, sf_dir, "documents").filter("text is not null")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").filter("text is not null")
     safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     title = F.coalesce("source", F.lit("none"))
     page = F.concat(F.lit("<html><head><title>"), title, F.lit('</title><meta name="author" content="x"></head><body><h1>'), title, F.lit("</h1><p>"), safe, F.lit("</p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table></body></html>"))
@@ -94,5 +94,5 @@ def render_markdown(spark, sf_dir):
 @query()
 def clean_then_score(spark, sf_dir):
     """The older profile: clean the content first, then score what is left."""
-    d = table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("c"))
-    return d.select("doc_id", F.length("c").alias("n"), X.quality_score(F.col("c")).alias("score"))
+    both = X.bind(X.clean_text(F.col("text")), lambda c: F.struct(F.length(c).alias("n"), X.quality_score(c).alias("score")))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", both.alias("b")).select("doc_id", "b.n", "b.score")

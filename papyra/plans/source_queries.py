@@ -9,7 +9,7 @@ from papyra.operators import entities
 from papyra.plans.registry import query
 from papyra.plans.text_queries import WS
 from papyra.sources import mime
-from papyra.session import table
+from papyra.session import spread, table
 
 
 def _results(spark, sf_dir):
@@ -108,7 +108,7 @@ def _class_sql() -> str:
 @query(_class_sql())
 def document_type(spark, sf_dir):
     best = entities.classify(F.col("text"))
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", best.alias("b"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").filter("text is not null").select("doc_id", best.alias("b"))
     return docs.select("doc_id", F.when(F.col("b.confidence") >= entities.THRESHOLD, F.col("b.document_type")).alias("document_type"), F.round("b.confidence", 6).alias("confidence"))
 
 
@@ -119,7 +119,7 @@ def _entity_sql() -> str:
 
 @query(_entity_sql())
 def entity_counts(spark, sf_dir):
-    found = entities.matches(table(spark, sf_dir, "documents"), "doc_id", "text", entities.PATTERNS)
+    found = entities.matches(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text", entities.PATTERNS)
     return found.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from papyra.functions import text as X
 from papyra.operators import chunking, keywords, language, tables
 from papyra.plans.registry import query
 from papyra.plans.text_queries import ISO, _ISO_SQL
-from papyra.session import table
+from papyra.session import spread, table
 
 
 def _results(spark, sf_dir):
@@ -177,7 +177,7 @@ def image_dedup(spark, sf_dir):
 def _with_stop(spark, sf_dir):
     stop = table(spark, sf_dir, "stopwords").groupBy("lang").agg(F.collect_set("word").alias("stop"))
     codes = F.create_map(*[F.lit(x) for kv in ISO.items() for x in kv])
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", F.coalesce(F.try_element_at(codes, F.lower("lang")), F.lit("eng")).alias("l3"))
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").filter("text is not null").select("doc_id", "text", F.coalesce(F.try_element_at(codes, F.lower("lang")), F.lit("eng")).alias("l3"))
     return d.join(stop, d.l3 == stop.lang)
 
 
@@ -203,13 +203,13 @@ def yake_keywords(spark, sf_dir):
 @query(r"""WITH t AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\pL+')) AS word FROM documents) GROUP BY ALL), v AS (SELECT doc_id, lang, sum(n) AS n FROM t JOIN (SELECT DISTINCT lang, word FROM stopwords) USING (word) GROUP BY ALL),
   r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS k FROM v) SELECT doc_id, lang, round(n::DOUBLE / total, 6) AS confidence FROM r WHERE k = 1""")
 def language_detect(spark, sf_dir):
-    found = language.detect(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "stopwords"))
+    found = language.detect(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text", table(spark, sf_dir, "stopwords"))
     return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"))
 
 
 @query()
 def language_slices(spark, sf_dir):
-    return language.slices(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "stopwords"))
+    return language.slices(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text", table(spark, sf_dir, "stopwords"))
 
 
 _ISO3 = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in language.ISO3.items())

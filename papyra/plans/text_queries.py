@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as X
 from papyra.plans.registry import query
-from papyra.session import table
+from papyra.session import spread, table
 
 #: White space as Unicode defines it, for the SQL engine, whose classes are ASCII.
 WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -24,7 +24,7 @@ W = words_sql("text")
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query(f"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS n_lines,
@@ -144,7 +144,7 @@ def reduce_moderate(spark, sf_dir):
   CASE WHEN length(text) > 0 THEN round(1 - length(reduced)::DOUBLE / length(text), 6) ELSE 0.0 END AS char_ratio FROM r""")
 def reduction_stats(spark, sf_dir):
     c, r = F.col("text"), F.col("reduced")
-    ratio = F.when(F.length(c) > 0, F.round(1 - F.length(r) / F.length(c), 6)).otherwise(F.lit(0.0))
+    ratio = F.when(F.length(c) > 0, F.round(1 - F.try_divide(F.length(r), F.length(c)), 6)).otherwise(F.lit(0.0))
     size = lambda x: F.when(x.isNotNull(), F.size(X.words(x))).cast("bigint")
     return _moderate(spark, sf_dir).select("doc_id", F.length(c).cast("bigint").alias("chars"), F.length(r).cast("bigint").alias("chars_left"), size(c).alias("tokens"), size(r).alias("tokens_left"), ratio.alias("char_ratio"))
 
@@ -165,8 +165,8 @@ def text_confidence(spark, sf_dir):
 
 @query()
 def clean_text(spark, sf_dir):
-    c = X.clean_text(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", c.alias("cleaned"), X.quality_score(c).alias("score_after"))
+    both = X.bind(X.clean_text(F.col("text")), lambda c: F.struct(c.alias("cleaned"), X.quality_score(c).alias("score_after")))
+    return _docs(spark, sf_dir).select("doc_id", both.alias("b")).select("doc_id", "b.cleaned", "b.score_after")
 
 
 @query(f"""SELECT doc_id, md5(coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)||chr(10)), lambda p: array_to_string(list_filter(list_transform(
@@ -180,7 +180,7 @@ def normalize_spaces(spark, sf_dir):
 @query(f"""SELECT result_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<script[^>]*>.*?</script>', '', 'g'), '(?i)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g'), '{WS}+', ' ', 'g'))) AS plain_md5
   FROM (SELECT DISTINCT result_id, '<p class="x">' || replace(content, chr(10), '<br/>') || '</p><script>var a = 1;</script>' AS html FROM extraction_results WHERE content IS NOT NULL)""")
 def email_html_clean(spark, sf_dir):
-    rows = table(spark, sf_dir, "extraction_results").filter("content is not null")
+    rows = spread(table(spark, sf_dir, "extraction_results"), "result_id").filter("content is not null")
     html = F.concat(F.lit('<p class="x">'), F.replace(F.col("content"), F.lit("\n"), F.lit("<br/>")), F.lit("</p><script>var a = 1;</script>"))
     return rows.select("result_id", html.alias("html")).distinct().select("result_id", F.md5(X.strip_html(F.col("html")).cast("binary")).alias("plain_md5"))
 
