@@ -23,7 +23,7 @@ def votes(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
     """(key, lang, n): function words of each language in each text. `words` (lang, word) is a small fixed table."""
     tokens = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\pL+"), F.lit(0))).alias("word"))
     counts = tokens.groupBy(key, "word").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(words.select("lang", "word").distinct().limit(100_000)), "word").groupBy(key, "lang").agg(F.sum("n").alias("n"))
+    return counts.join(words.select("lang", "word").distinct(), "word").groupBy(key, "lang").agg(F.sum("n").alias("n"))
 
 
 def detect(df: DataFrame, key: str, text: str, words: DataFrame, min_share: float = 0.0) -> DataFrame:

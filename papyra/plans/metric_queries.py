@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
@@ -27,12 +27,26 @@ def measured(spark, sf_dir) -> DataFrame:
     return runs(spark, sf_dir).filter("success and d >= 0 and d < 1e300")
 
 
-def index_percentile(value: str, p: float, *keys: str) -> Column:
-    """The sorted value at index min(floor(n p), n - 1) of a group, as a window, so that no group is gathered in one row."""
-    by = Win.partitionBy(*keys)
-    n = F.count(value).over(by)
-    at = F.row_number().over(by.orderBy(value)) - 1
-    return F.when(at == F.least(F.floor(n * p), n - 1), F.col(value))
+def index_percentiles(df: DataFrame, value: str, key: str, shares: dict[str, float]) -> DataFrame:
+    """(key, one column a share): the sorted value at index min(floor(n p), n - 1) of each group, exactly.
+
+    A histogram by group, added up within partitions first, tells the narrow range that holds each index; only the
+    values of those ranges are sorted. So a group with a third of all rows is never sorted or gathered as one.
+    """
+    narrow = F.floor(F.log1p(F.abs(value)) * 256) * F.signum(F.col(value))
+    own = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"), narrow.alias("b"))
+    counts = own.groupBy("k", "b").agg(F.count("*").alias("c"))
+    by = Win.partitionBy("k")
+    before = F.sum("c").over(by.orderBy("b").rowsBetween(Win.unboundedPreceding, Win.currentRow)) - F.col("c")
+    placed = counts.select("k", "b", "c", before.alias("before"), F.sum("c").over(by).alias("n"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in shares.items()]))
+    at = F.least(F.floor(F.col("n") * F.col("w.p")), F.col("n") - 1)
+    spots = placed.select("*", wanted.alias("w")).withColumn("at", at).filter("before <= at and at < before + c").select("k", "b", "w.name", (F.col("at") - F.col("before")).alias("at"))
+    rank = F.row_number().over(Win.partitionBy("k", "name").orderBy("v")) - 1
+    # a null group is a group as well
+    found = own.join(spots.select(F.col("k").alias("k2"), F.col("b").alias("b2"), "name", "at"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2")))
+    found = found.withColumn("r", rank).filter("r = at")
+    return found.groupBy("k").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in shares]).withColumnRenamed("k", key)
 
 
 @query(f"WITH {_CLEAN} SELECT framework, count(*) AS n, round(avg(d), 4) AS mean, round(var_pop(d), 3) AS variance, round(stddev_pop(d), 4) AS std FROM ok GROUP BY framework")
@@ -46,17 +60,18 @@ def _pct(p: float) -> str:
 
 @query(f"WITH {_CLEAN} SELECT framework, {_pct(0.5)} AS p50, {_pct(0.95)} AS p95, {_pct(0.99)} AS p99 FROM ok GROUP BY framework")
 def percentile_by_framework(spark, sf_dir):
-    rows = measured(spark, sf_dir).select("framework", *[index_percentile("d", p, "framework").alias(k) for k, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
-    return rows.groupBy("framework").agg(*[F.max(k).alias(k) for k in ("p50", "p95", "p99")])
+    return index_percentiles(measured(spark, sf_dir), "d", "framework", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query(f"""WITH {_CLEAN}, a AS (SELECT ext, count(*) AS n, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM r GROUP BY ext), b AS (SELECT ext, round(avg(d), 4) AS mean_duration, {_pct(0.95)} AS p95, round(avg(tp), 2) AS mean_throughput FROM ok GROUP BY ext)
   SELECT a.ext, n, success_rate, mean_duration, p95, mean_throughput FROM a LEFT JOIN b ON a.ext IS NOT DISTINCT FROM b.ext""")
 def extension_stats(spark, sf_dir):
     a = runs(spark, sf_dir).groupBy("ext").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("success"), 1.0).otherwise(0.0)), 6).alias("success_rate"))
-    ok = measured(spark, sf_dir).withColumn("p", index_percentile("d", 0.95, "ext"))
-    b = ok.groupBy(F.col("ext").alias("e")).agg(F.round(F.avg("d"), 4).alias("mean_duration"), F.max("p").alias("p95"), F.round(F.avg("tp"), 2).alias("mean_throughput"))
-    return a.join(b, F.col("ext").eqNullSafe(F.col("e")), "left").drop("e")
+    ok = measured(spark, sf_dir)
+    b = ok.groupBy(F.col("ext").alias("e")).agg(F.round(F.avg("d"), 4).alias("mean_duration"), F.round(F.avg("tp"), 2).alias("mean_throughput"))
+    p = index_percentiles(ok, "d", "ext", {"p95": 0.95}).withColumnRenamed("ext", "f")
+    joined = a.join(b, F.col("ext").eqNullSafe(F.col("e")), "left").join(p, F.col("ext").eqNullSafe(F.col("f")), "left")
+    return joined.select("ext", "n", "success_rate", "mean_duration", "p95", "mean_throughput")
 
 
 @query(f"""WITH {_CLEAN}, a AS (SELECT framework, avg(d) AS mean, avg(tp) AS tp, avg(mem) AS mem FROM ok GROUP BY framework), base AS (SELECT mean FROM a ORDER BY mean, framework LIMIT 1)
