@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.llm.tokenise import TOKENIZER_PATH, count_tokens
@@ -157,10 +157,7 @@ def shares(docs: DataFrame, targets: DataFrame, seed: int = 17, total: float | N
     rows = [(p["source"], p["target_share"], p["max_repeats"], p["source_tokens"], p["rate"]) for p in plans]
     base = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, source_tokens bigint, rate double")
     got = counted.withColumn("uses", _uses(plans)).groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("selected_tokens"))
-    got = got.withColumn("whole", F.lit(0))
-    joined = base.join(got.drop("whole"), "source", "left").fillna({"selected_tokens": 0})
-    whole = joined.agg(F.sum("selected_tokens").alias("whole"))
-    return joined.crossJoin(F.broadcast(whole)).select(
-        "source", "target_share", "max_repeats", "source_tokens", "selected_tokens", "rate",
-        F.when(F.col("whole") > 0, F.col("selected_tokens") / F.col("whole")).otherwise(F.lit(0.0)).alias("actual_share"),
-    )
+    joined = base.join(got, "source", "left").fillna({"selected_tokens": 0})
+    whole = F.sum("selected_tokens").over(Window.partitionBy())  # one row a target
+    share = F.when(whole > 0, F.try_divide(F.col("selected_tokens"), whole)).otherwise(F.lit(0.0))
+    return joined.select("source", "target_share", "max_repeats", "source_tokens", "selected_tokens", "rate", share.alias("actual_share"))
