@@ -30,11 +30,11 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Endings of mail domains that a spelled-out address may have.
 _TLD = "com|org|net|edu|gov|info|biz|io|eu|de|at|ch|fr|be|es|it|pt|nl|pl|ru|jp|uk|us|ca|example|test|invalid|localhost"
 _EMAIL = re.compile(r"[^\W_](?:[\w.+%'-]*\w)?(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)(?:[\w-]+(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?))+[A-Za-z]{2,}", re.I)
-_SPELLED = re.compile(rf"[\w+%-]+(?:(?:\.| dot )[\w+%-]+)*\s(?:at|@)\s[\w-]+(?:(?:\.|\sdot\s)[\w-]+)*(?:\.|\sdot\s)(?:{_TLD})\b(?!\s?@)", re.I)
+_SPELLED = re.compile(rf"[\w+%-]+(?:(?:\.|\s+dot\s+)[\w+%-]+)*\s+(?:at|@)\s+[\w-]+(?:(?:\.|\s+dot\s+)[\w-]+)*(?:\.|\s+dot\s+)(?:{_TLD})\b(?!\s?@)", re.I)
 _AT = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I)
-_AT_WORD = re.compile(r"\sat\s[\w-]+(?:\.|\sdot\s)\w", re.I)
+_AT_WORD = re.compile(r"\sat\s+[\w-]+(?:\.|\s+dot\s+)\w", re.I)
 
-_G = r"(?:[ \xa0]?[().\-/‑–]{0,2}[ \xa0]?|\r?\n(?:> ?)*(?!\d{1,4}[a-z]?,?\s[A-Za-zÀ-ÿ])\(?)"
+_G = r"(?:[ \xa0]?[().\-/‑–]{0,2}[ \xa0]?|\)?\r?\n(?:> ?)*(?!\d{1,4}[a-z]?,?\s[A-Za-zÀ-ÿ])\(?)"
 _NUMBER = re.compile(rf"(?<![\w@.+])(?!\d{{4}}-\d\d-\d\d(?!\d))[+(]{{0,2}}\d(?:{_G}\d){{6,17}}(?!\d)(?:[ -]?[A-Z]\b)?")
 
 #: What identity papers, social security, tax and licence numbers are called.
@@ -143,7 +143,7 @@ def emails(text: str) -> list[tuple[int, int]]:
         if got:
             out.append(got.span())
             at = got.end()
-    if " dot " in text or _AT_WORD.search(text):
+    if _AT_WORD.search(text):
         for m in _SPELLED.finditer(text):
             if not any(a < m.end() and m.start() < b for a, b in out):
                 out.append(m.span())
@@ -205,6 +205,15 @@ def addresses(text: str, anchors: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
+_FRENCH = re.compile(r"\b(?:le|la|les|des|du|une|est|et|à|au|pour|qui|sa|a|avec|dans)\b")
+_ENGLISH = re.compile(r"\b(?:the|of|and|to|in|for|with|is)\b")
+
+
+def _french(near: str) -> bool:
+    """Whether running text around is French, where M. is a title and no initial."""
+    return len(_FRENCH.findall(near)) >= 3 and not _ENGLISH.search(near)
+
+
 def names(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, shape): runs of name words, with initials and particles; shape is the kinds in order, u for words of cues only."""
     tokens = [t for t in tokens if not any(a <= t[0] < b for a, b in taken)] if taken else tokens
@@ -232,7 +241,7 @@ def names(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int,
         while True:
             before = text[max(0, a - 8) : a]
             m = re.search(r"(?:(?<!\w)[OD]['’]|(?<![\w.])(?:[A-Z]\.\s?){1,2}|(?<!\w)(?:von|van|di|da|del|der|zu|de la|de|du|ten)\s)$", before) if shape[0] == "f" or before.endswith(("'", "’")) else None
-            if not m or m.group().strip() == "d'":
+            if not m or m.group().strip() == "d'" or m.group().strip() == "M." and _french(text[max(0, a - 60) : b + 40]):
                 break
             a -= len(m.group())
         m = re.match(r"\s[A-Z]\.(?!\w)", text[b : b + 4]) if shape[-1] == "g" else None

@@ -107,7 +107,10 @@ def weak(kind: str, text: str, a: int, b: int, shape: str, keys: tuple[str, ...]
     if kind == "id_number":
         if junk:
             return 0
-        if pii._ID_LABEL.search(left[-40:]) and sum(c.isdigit() for c in s) >= 3 and len(re.sub(r"\W", "", s)) >= 6:
+        bare = re.sub(r"\W", "", s)
+        if pii._ID_LABEL.search(left[-40:]) and any(c.isdigit() for c in s) and len(bare) >= 6 and not re.search(r"[a-z]{3}", s if not text.islower() else ""):
+            return 1
+        if pii._ID_LABEL.search(left[-40:]) and sum(c.isdigit() for c in s) >= 3 and len(bare) >= 6:
             return 1
         return 0
     if kind == "address":
