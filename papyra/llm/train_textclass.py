@@ -16,8 +16,8 @@ import numpy as np
 from papyra.llm import gbt, textstats
 from papyra.llm.textclass import CLASSES, batches_of
 
-#: Most documents that a fit takes.
-SAMPLE = 6_000
+#: Most documents that a fit takes, and lines of each.
+SAMPLE, LINES = 6_000, 6
 
 _COMMON = set(textstats.COMMON)
 _ITEM = re.compile(r"^\s*(?:[-+*•–—·▪●o]\s|\[[ xX]?\]\s|\(?\w{1,2}[.)]\s|\(\w\)\s|\d+(?:\.\d+)*[.)]?\s|[A-Z]\t)")
@@ -110,13 +110,17 @@ def weak_labels(text: str) -> list[str | None]:
     label: dict[int, str | None] = {}
     for b in blocks:
         lines = [rows[i] for i in b]
+        bad = sum(len(x) for x in lines if junk_line(x) and not re.search(r"\.{4,}\s*\d+$", x))
+        if bad > 0.6 * sum(map(len, lines)):
+            label |= {i: "junk" for i in b}
+            continue
         if prose_block(lines):
             label |= {i: "prose" for i in b}
             continue
         tab = table_lines(lines)
         for k, i in enumerate(b):
             s = rows[i]
-            label[i] = "junk" if junk_line(s) else "table" if k in tab else "list" if _ITEM.match(s) or _PATHLIKE.match(s) or _KEY.match(s) or re.search(r"\.{4,}\s*\d+$", s) else None
+            label[i] = "list" if re.search(r"\.{4,}\s*\d+$", s) else "junk" if junk_line(s) else "table" if k in tab else "list" if _ITEM.match(s) or _PATHLIKE.match(s) or _KEY.match(s) or re.search(r"\.{4,}\s*\d+$", s) else None
             if label[i] is None and prose_block([s]) and re.search(r"[.!?。][\"'”]?\s*$", s):
                 label[i] = "prose"
     # short lines without a say take the class of the document's other lines
@@ -148,8 +152,9 @@ def doc_label(text: str) -> str | None:
     return by.most_common(1)[0][0] if by else None
 
 
-def training(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    xs, ys = [], []
+def training(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, classes (-1: none) and the document of each line."""
+    xs, ys, docs, base = [], [], [], 0
     for _, run in batches_of(texts):
         run = [t.replace("\x00", " ") for t in run]
         x, doc, _ = textstats.features(run)
@@ -165,7 +170,34 @@ def training(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 y += w if len(w) == m else [None] * m
         xs.append(x)
         ys += y
-    return np.concatenate(xs), np.array([CLASSES.index(c) if c else -1 for c in ys])
+        docs.append(doc + base)
+        base += len(run)
+    return np.concatenate(xs), np.array([CLASSES.index(c) if c else -1 for c in ys]), np.concatenate(docs)
+
+
+def made_up(n: int = 700, seed: int = 9) -> list[tuple[str, str]]:
+    """Small tables and lists of other words than the data's, so that neither length nor vocabulary decides."""
+    import random
+
+    rng, out = random.Random(seed), []
+    word = lambda: "".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.choice((1, 1, 3, 5, 8))))
+    cell = lambda: rng.choice((word(), word(), str(rng.randrange(10 ** rng.randrange(1, 6))), f"{rng.random() * 99:.2f}", "", f"{word()} {word()}"))
+    for _ in range(n):
+        rows, cols, d = rng.randrange(3, 14), rng.randrange(2, 7), rng.choice("||;\t,│ ")
+        grid = [[cell() or ("-" if d == " " else "") for _ in range(cols)] for _ in range(rows)]
+        if d == "|":
+            lines = ["| " + " | ".join(r) + " |" for r in grid]
+            if rng.random() < 0.7:
+                lines.insert(1, "|" + "---|" * cols)
+        elif d == " ":
+            lines = ["".join(c.ljust(14) for c in r) for r in grid]
+        else:
+            lines = [(f" {d} " if d == "│" else d).join(r) for r in grid]
+        out.append(("\n".join(lines), "table"))
+        sign = rng.choice(("- ", "* ", "+ ", "• ", "{}. ", "{}) ", "[ ] ", "", "({}) "))
+        items = [sign.replace("{}", str(i + 1)) + " ".join(word() for _ in range(rng.randrange(1, 5))) + rng.choice(("", "", ";", ",")) for i in range(rng.randrange(3, 14))]
+        out.append(("\n".join(items), "list"))
+    return out
 
 
 def main(data: str, holdout: str | None = None) -> None:
@@ -174,10 +206,19 @@ def main(data: str, holdout: str | None = None) -> None:
     rows = duckdb.sql(f"select result_id, any_value(content) from '{data}/extraction_results.parquet' where trim(content) <> '' group by 1 order by hash(result_id) limit {SAMPLE}").fetchall()
     checked = {int(k): v for k, v in json.load(open(holdout)).items()} if holdout else {}
     fit_rows = [t for r, t in rows if r not in checked]
-    x, y = training(fit_rows)
+    x, y, doc = training(fit_rows)
+    more = made_up()
+    mx, md, _ = textstats.features([t for t, _ in more])
+    my = np.array([CLASSES.index(c) for _, c in more])[md]
+    x, y, doc = np.concatenate([x, mx]), np.concatenate([y, my]), np.concatenate([doc, md + doc.max() + 1])
+    # at most LINES lines of a document, and every document weighs the same, so that long ones don't decide
     rng = np.random.default_rng(5)
-    pick = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:40_000] for k in range(4)])
-    models = {c: gbt.Boosted.fit(x[pick], (y[pick] == k).astype(float), trees=60, depth=5, rate=0.25) for k, c in enumerate(CLASSES)}
+    order = rng.permutation(np.flatnonzero(y >= 0))
+    order = order[np.argsort(doc[order], kind="stable")]
+    rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+    pick = order[rank < LINES]
+    weight = 1.0 / np.bincount(doc[pick])[doc[pick]]
+    models = {c: gbt.Boosted.fit(x[pick], (y[pick] == k).astype(float), trees=60, depth=5, rate=0.25, l2=0.5, weight=weight) for k, c in enumerate(CLASSES)}
     held = [(t, checked[r]) for r, t in rows if r in checked]
     if held:
         xs, ks = [], []
