@@ -38,6 +38,8 @@ BUCKETS, CHAIN, FEW = 1 << 15, 64, 4
 SURE = 0.75
 #: And this share, where it isn't the language of most of the whole text.
 SURE_OTHER = 0.9
+#: Of a short block, which may be no more than a greeting or a signature, this share.
+SHORT, SURE_SHORT = 12, 0.97
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MAIL = re.compile(r"[^\s@]*@[^\s@]+")
@@ -204,7 +206,7 @@ def block_languages(texts: list[str]) -> list[list[tuple[int, float]]]:
     for n in shape:
         got = []
         main = int(mass[at : at + n].sum(0).argmax())
-        enough = (counts[at : at + n] >= FEW) & (sure[at : at + n] >= np.where(best[at : at + n] == main, SURE, SURE_OTHER))
+        enough = (counts[at : at + n] >= FEW) & (sure[at : at + n] >= np.where(best[at : at + n] == main, SURE, np.where(counts[at : at + n] <= SHORT, SURE_SHORT, SURE_OTHER)))
         if not enough.any() and n:
             # nothing long enough: the text as a whole
             whole = mass[at : at + n].sum(0)
