@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyra.plans.text_queries import WS, trim_sql
 from papyra.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +120,13 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return without_residue(docs).select("doc_id", "source", "lang")
+
+
+def _longest(pieces: str) -> str:
+    return f"list_max(list_transform({pieces}, lambda p: length({trim_sql('p')}))) <= 1000"
+
+
+_SENTENCES = f"replace(regexp_replace(content, '([.!?])({WS})', '\\1' || chr(10) || '\\2', 'g'), '。', '。' || chr(10))"
+SQL["p5_found"] = f"""SELECT DISTINCT chunk_id, CASE WHEN {_longest(f"regexp_split_to_array(content, '{chr(92)}n{WS}*{chr(92)}n')")} THEN 'paragraph' WHEN {_longest("string_split(content, chr(10))")} THEN 'line'
+  WHEN {_longest(f"string_split({_SENTENCES}, chr(10))")} THEN 'sentence' WHEN {_longest(f"regexp_split_to_array({_SENTENCES}, '{WS}')")} THEN 'word' ELSE 'character' END AS cut_at
+  FROM chunks WHERE length(content) > 1000"""
