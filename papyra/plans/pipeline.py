@@ -110,15 +110,16 @@ _FUNCTION_WORDS = {
 
 def language_column(c: Column) -> Column:
     """The language with most of its function words in a text; null for a text with none. An expression, no shuffle."""
+
+    every = sorted({w for ws in _FUNCTION_WORDS.values() for w in ws.split()})
     tokens = F.regexp_extract_all(F.lower(c), F.lit(r"\p{IsLatin}+|\p{IsCyrillic}+|[\x{3040}-\x{309F}]"), F.lit(0))
 
-    def score(lang: str) -> Column:
+    def score(lang: str, found: Column) -> Column:
         own = _FUNCTION_WORDS[lang].split()
-        return F.struct(F.size(F.filter(tokens, lambda w: w.isin(own))).alias("n"), F.lit(lang).alias("lang"))
+        return F.struct(F.size(F.filter(found, lambda w: w.isin(own))).alias("n"), F.lit(lang).alias("lang"))
 
-    scores = [score(lang) for lang in sorted(_FUNCTION_WORDS)]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["lang"])
+    best = X.bind(F.filter(tokens, lambda w: w.isin(every)), lambda found: F.array_max(F.array(*[score(lang, found) for lang in sorted(_FUNCTION_WORDS)])))
+    return X.bind(best, lambda b: F.when(b["n"] > 0, b["lang"]))
 
 
 def _keywords(c: Column, stop: list[str], k: int = 10) -> Column:

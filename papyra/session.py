@@ -10,9 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Let the Python workers find this package where it lies, whatever folder the driver was started in.
+
+    The path goes to the workers with each Python stage; on machines without it, ship the package by --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def build_session(app: str = "papyra", cpus: int | str = "*", shuffle: int = 8) -> SparkSession:
     """A local session for tests and benches; on a cluster the caller's own session is used."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -29,7 +42,7 @@ def build_session(app: str = "papyra", cpus: int | str = "*", shuffle: int = 8)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name: one Parquet file or a folder of them."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,7 +76,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     Large inputs have at least as many splits as cores and stay as they are, so no shuffle is added there.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = ship(df.sparkSession).sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
