@@ -32,6 +32,8 @@ _TLD = "com|org|net|edu|gov|info|biz|io|eu|de|at|ch|fr|be|es|it|pt|nl|pl|ru|jp|u
 _EMAIL = re.compile(r"[^\W_](?:[\w.+%'-]*\w)?(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)(?:[\w-]+(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?))+[A-Za-z]{2,}", re.I)
 _SPELLED = re.compile(rf"[\w+%-]+(?:(?:\.|\s+dot\s+)[\w+%-]+)*\s+(?:at|@)\s+[\w-]+(?:(?:\.|\s+dot\s+)[\w-]+)*(?:\.|\s+dot\s+)(?:{_TLD})\b(?!\s?@)", re.I)
 _AT = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I)
+#: What only looks like an address: a handle, a version, a name at a bare host; the trees judge it.
+_LIKE = re.compile(r"(?:[^\W_](?:[\w.+%'-]*\w)?)?@[^\W_](?:[\w.-]*\w)?")
 _AT_WORD = re.compile(r"\sat\s+[\w-]+(?:\.|\s+dot\s+)\w", re.I)
 
 _G = r"(?:[ \xa0]?[().\-/‑–]{0,2}[ \xa0]?|\)?\r?\n(?:> ?)*(?!\d{1,4}[a-z]?,?\s[A-Za-zÀ-ÿ])\(?)"
@@ -67,6 +69,14 @@ _CUE = re.compile(r"(?:\b(?:Dear|Hello|Hi|Hallo|Liebe[r]?|Sehr geehrte[r]? (?:He
 _PARTICLE = {"von", "van", "de", "di", "da", "del", "der", "den", "du", "la", "le", "zu", "y", "ten", "ter", "dos", "das", "della"}
 
 _WORD = re.compile(r"[^\W\d_]+")
+_CAP = r"[A-ZÀ-Þ][^\W\d_]*[a-zß-ÿ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+_LINK = r"(?:[A-Z]\.[ ])?(?:(?:von|van|de la|de|di|da|del|der|zu|du|ten)[ ])?"
+#: Capitalised words in a row, joined by initials and particles.
+_RUN = re.compile(rf"(?<![\w@./'’-]){_CAP}(?:[ ]{_LINK}{_CAP})+(?![\w@])")
+_RUN_WORD = re.compile(_CAP)
+#: One capitalised word alone on its line, as in signatures, and a family name before the given one, as in senders.
+_ALONE = re.compile(rf"^(?:> ?)*({_CAP})[ ]?$", re.M)
+_TURNED = re.compile(rf"(?<![\w@./'’-])({_CAP},[ ]{_CAP})(?=\"?[ ]?<)")
 _DIGITS = re.compile(r"\d")
 
 
@@ -150,6 +160,13 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def address_like(text: str, mail: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Strings around an @ that have no form of an address."""
+    if "@" not in text:
+        return []
+    return [m.span() for m in _LIKE.finditer(text) if not any(a < m.end() and m.start() < b for a, b in mail)]
+
+
 def numbers(text: str) -> list[tuple[int, int]]:
     out = []
     for m in _NUMBER.finditer(text):
@@ -253,6 +270,21 @@ def names(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int,
     return sorted(spans.values())
 
 
+def capitalised(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int, int]], known: set[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Names by form alone: each two and three capitalised words in a row, words alone on a line, turned names. The shape has u for a word that isn't in the lexicon."""
+    kinds = {(a, b): k for a, b, k in tokens}
+    spans: set[tuple[int, int]] = {m.span(1) for p in (_ALONE, _TURNED) for m in p.finditer(text)}
+    for run in _RUN.finditer(text):
+        ws = [m.span() for m in _RUN_WORD.finditer(text, run.start(), run.end())]
+        spans |= {(ws[i][0], ws[i + n - 1][1]) for n in (2, 3) for i in range(len(ws) - n + 1)}
+    out = []
+    for a, b in sorted(spans - known):
+        if taken and any(x < b and a < y for x, y in taken):
+            continue
+        out.append((a, b, "".join(kinds.get(m.span(), "u") for m in _RUN_WORD.finditer(text, a, b))))
+    return out
+
+
 # ---------------------------------------------------------------- features
 
 
@@ -270,8 +302,14 @@ def shape_of(span: str) -> str:
     return re.sub(r"\d+", lambda m: "0" * min(len(m.group()), 6), s)[:18]
 
 
-NUMERIC = ("length", "digits", "letters", "upper", "spaces", "dots", "dashes", "slashes", "plus", "paren", "first_zero", "groups", "line_start", "line_end", "tabular", "prev_digit", "next_digit", "title", "given", "family", "unknown", "commas", "dated", "in_word", "lower_text")
-EVIDENCE = ("prev1", "prev2", "prev3", "next1", "next2", "shape")
+_CAP_BEFORE = re.compile(r"(?:[A-ZÀ-Þ][\w'’-]*[^\W\d_],?|(?<!\w)[A-Z]\.)[ ]$")
+_CAP_AFTER = re.compile(rf"[ ]{_LINK}[A-ZÀ-Þ][^\W\d_]")
+#: What follows a given name whose family name the lexicon lacks: an initial, a particle, a hyphen, a word on the next line.
+_NAME_AFTER = re.compile(rf"[-'’][A-ZÀ-Þ]|,[ ][A-ZÀ-Þ]|[ ](?:[A-Z]\.[ ]|(?:von|van|de|di|da|del|der|zu|du|ten)[ ])|\r?\n(?:> ?)*[A-ZÀ-Þ][^\W\d_]")
+NUMERIC = ("length", "digits", "letters", "upper", "spaces", "dots", "dashes", "slashes", "plus", "paren", "first_zero", "groups", "line_start", "line_end", "tabular", "prev_digit", "next_digit", "title", "given", "family", "unknown", "commas", "dated", "in_word", "lower_text", "cap_before", "cap_after", "name_after", "at_first", "odd_end", "bare_host")
+EVIDENCE = ("prev1", "prev2", "prev3", "next1", "next2", "shape", "first", "last")
+#: Evidence of a name's own words counts against it only, so that trees don't learn the names of the training data by heart.
+AGAINST = ("first", "last")
 
 
 def describe(text: str, a: int, b: int, shape: str, lower_text: bool) -> tuple[list[float], tuple[str, ...]]:
@@ -282,6 +320,7 @@ def describe(text: str, a: int, b: int, shape: str, lower_text: bool) -> tuple[l
     left, right = text[max(0, a - 40) : a], text[b : b + 30]
     lt, rt = _TOKENS.findall(left), _TOKENS.findall(right)
     line = left.rpartition("\n")[2] if "\n" in left else left
+    own = _WORD.findall(s)
     keys = (
         masked(lt[-1]) if lt else "^",
         masked(" ".join(lt[-2:])) if len(lt) > 1 else "^",
@@ -289,28 +328,37 @@ def describe(text: str, a: int, b: int, shape: str, lower_text: bool) -> tuple[l
         masked(rt[0]) if rt else "$",
         masked(rt[1]) if len(rt) > 1 else "$",
         shape or shape_of(s),
+        own[0].lower() if own else "",
+        own[-1].lower() if own else "",
     )
     values = [
         b - a, digits, letters, sum(map(str.isupper, s)), s.count(" ") + s.count("\xa0"), s.count("."), s.count("-"), s.count("/"), s.startswith("+"), "(" in s,
         s.lstrip("+(").startswith("0"), len(re.findall(r"\d+", s)), not line.strip(" >"), right.startswith(("\n", "\r")) or not right, sum(map(left.count, "|\t;")) + sum(map(right.count, "|\t;")),
         left[-1:].isdigit() or left[-2:-1].isdigit(), right[:1].isdigit() or right[1:2].isdigit(), bool(_TITLE.search(left)), shape.count("g"), shape.count("f"), shape.count("u"), s.count(","),
         bool(re.match(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}$", s)), left[-1:].isalnum() or left[-1:] in "@_", lower_text,
+        bool(_CAP_BEFORE.search(left)), bool(_CAP_AFTER.match(right)), bool(_NAME_AFTER.match(right)),
+        s.startswith("@"), not s[-2:].isalpha(), "@" in s and "." not in s.rpartition("@")[2],
     ]
     return [float(v) for v in values], keys
 
 
-def candidates(text: str, lexicon: Lexicon) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, name shape) of all proposals of all generators."""
+def candidates(text: str, lexicon: Lexicon, hidden: Callable[[str], bool] | None = None) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, name shape) of all proposals of all generators. Training hides words of the lexicon."""
     out: list[tuple[str, int, int, str]] = []
     mail = emails(text)
-    words, anchors = lexicon.find(_lower(text))
-    out += [("email", a, b, "") for a, b in mail]
+    low = _lower(text)
+    words, anchors = lexicon.find(low)
+    if hidden:
+        words = [w for w in words if not hidden(low[w[0] : w[1]])]
+    out += [("email", a, b, "") for a, b in [*mail, *address_like(text, mail)]]
     if _DIGITS.search(text):
         digits = [(a, b) for a, b in numbers(text) if not any(x <= a < y for x, y in mail)]
         out += [("phone", a, b, "") for a, b in digits]
         out += [("id_number", a, b, "") for a, b in identity(text, anchors, digits) if not any(x <= a < y for x, y in mail)]
         out += [("address", a, b, "") for a, b in addresses(text, anchors)]
-    out += [("name", a, b, k) for a, b, k in names(text, words, mail)]
+    found = names(text, words, mail)
+    out += [("name", a, b, k) for a, b, k in found]
+    out += [("name", a, b, k) for a, b, k in capitalised(text, words, mail, {(a, b) for a, b, _ in found})]
     return out
 
 

@@ -132,3 +132,21 @@ def test_components(spark):
     got = {r.node: r.root for r in residue.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert all(got[i] == 0 for i in range(1, 21)) and got[101] == got[102] == 100
     assert residue.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_models_of_personal_information_judge():
+    judge = pii.judge()
+    assert all(judge.models[k].trees for k in pii.KINDS)
+    text = "The parser@3.29.8 of Northfen Logistics was moved by Mr Zebulon Quarrick to the East Wing."
+    got = {(k, text[a:b]) for k, a, b, _ in pii.candidates(text, judge.lexicon)}
+    assert {("email", "parser@3.29.8"), ("name", "Northfen Logistics"), ("name", "Zebulon Quarrick"), ("name", "East Wing")} <= got
+    assert [(text[a:b], k) for a, b, k in judge.mentions([text])[0]] == [("Zebulon Quarrick", "name")]
+
+
+def test_training_refuses_a_model_without_trees():
+    import numpy as np
+
+    from papyra.llm import train_pii
+
+    with pytest.raises(ValueError):
+        train_pii.checked("email", gbt.Boosted.fit(np.ones((50, 3), dtype="float32"), np.ones(50)))
