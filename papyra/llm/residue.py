@@ -28,8 +28,8 @@ from papyra.session import cut, spread
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits in a SimHash, bits of a table's key (each table has its own bits), and the Hamming distance verified.
 LONGS, TABLE_BITS, HAMMING = 4, 16, 60
-#: A bucket with more texts is split by the bits of the next table, besides a link of each text to the bucket's first.
-HOT = 200
+#: A bucket with more texts is compared in blocks of about so many, each block against the whole bucket.
+HOT = 2_000
 #: So many ids of candidates, at most, are broadcast to fetch their texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: The share of residue that makes a document a case, and the looser one for near-duplicates of sure cases.
@@ -124,22 +124,24 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     per = 64 // TABLE_BITS
     mask = (1 << TABLE_BITS) - 1
     keys = [F.shiftrightunsigned(F.col(f"h{k}"), TABLE_BITS * j).bitwiseAND(mask) for k in range(LONGS) for j in range(per)]
-    n = len(keys)
     sims = [f"h{k}" for k in range(LONGS)]
     rows = reps.select("rep", "size", *sims, F.array(*keys).alias("keys"))
-    rows = rows.select("rep", "size", *sims, F.posexplode("keys").alias("t", "bucket"), F.expr(f"transform(sequence(1, {n}), i -> keys[i % {n}])").alias("after"))
-    rows = rows.select("rep", "size", *sims, (F.col("t") * (mask + 1) + F.col("bucket")).cast("int").alias("key"), F.col("after")[F.col("t")].cast("int").alias("next_bits"))
+    rows = rows.select("rep", "size", *sims, F.posexplode("keys").alias("t", "bucket"))
+    rows = rows.select("rep", "size", *sims, (F.col("t") * (mask + 1) + F.col("bucket")).cast("int").alias("key"))
     # one shuffle by bucket serves the counts and both sides of the join
     rows = rows.repartition("key")
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
-    rows = rows.join(counts, "key").withColumn("sub", F.when(F.col("n") > HOT, F.col("next_bits")).otherwise(F.lit(-1)))
-    left = rows.select("key", "sub", F.col("rep").alias("a"), F.col("size").alias("size_a"), *[F.col(h).alias(f"{h}a") for h in sims])
-    right = rows.select("key", "sub", F.col("rep").alias("b"), F.col("size").alias("size_b"), *[F.col(h).alias(f"{h}b") for h in sims])
-    pairs = left.withColumnRenamed("sub", "sub_a").join(right, "key").filter("sub_a = sub and a < b")
-    # in hot buckets also a link of each text with the first of the bucket
-    firsts = rows.filter((F.col("n") > HOT) & (F.col("rep") == F.col("first"))).select("key", F.col("rep").alias("a"), F.col("size").alias("size_a"), *[F.col(h).alias(f"{h}a") for h in sims])
-    star = right.drop("sub").join(firsts, "key").filter("a < b")
-    both = pairs.drop("sub", "sub_a").unionByName(star)
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / HOT).cast("int"))
+
+    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
+        return df.select("key", *more, F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), *[F.col(h).alias(f"{h}{x}") for h in sims])
+
+    cold, hot = rows.filter("blocks = 1"), rows.filter("blocks > 1")
+    pairs = side(cold, "a").join(side(cold, "b"), "key").drop("key")
+    # every pair of a hot bucket meets in the block of its first text
+    own = hot.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    every = hot.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = pairs.unionByName(side(own, "a", "block").join(side(every, "b", "block"), ["key", "block"]).drop("key", "block")).filter("a < b")
     distance = sum((F.bit_count(F.col(f"{h}a").bitwiseXOR(F.col(f"{h}b"))) for h in sims), F.lit(0))
     near = (distance <= HAMMING) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(SIMILARITY))
     return both.filter(near).select("a", "b").distinct()

@@ -150,3 +150,22 @@ def test_training_refuses_a_model_without_trees():
 
     with pytest.raises(ValueError):
         train_pii.checked("email", gbt.Boosted.fit(np.ones((50, 3), dtype="float32"), np.ones(50)))
+
+
+@pytest.mark.parametrize("n,hot", [(150, None), (300, None), (300, 40)])
+def test_hot_buckets_keep_all_pairs(spark, monkeypatch, n, hot):
+    import random
+
+    if hot:
+        monkeypatch.setattr(residue, "HOT", hot)
+    rng = random.Random(2)
+    # the first 16 bits are shared, each other run of 16 has one bit turned: all are within 30 bits, few share two keys
+    rows = []
+    for i in range(n):
+        bits = [0] * 16
+        for t in range(1, 16):
+            bits[t] = 1 << rng.randrange(16)
+        h = [sum(bits[4 * k + j] << (16 * j) for j in range(4)) for k in range(4)]
+        rows.append((i, 100, *[x - (1 << 64) if x >> 63 else x for x in h]))
+    reps = spark.createDataFrame(rows, "rep bigint, size int, h0 bigint, h1 bigint, h2 bigint, h3 bigint")
+    assert residue.candidate_pairs(reps).count() == n * (n - 1) // 2
