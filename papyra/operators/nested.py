@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.session import spread
+from papyra.session import cut, spread
 
 
 class _Number(str):
@@ -220,8 +220,52 @@ def group_fields(found: DataFrame) -> DataFrame:
     return found.filter("kind <> 'object'").groupBy("group_path", F.regexp_replace("field", r"\[\d+\]", "[]").alias("field")).agg(F.count("*").alias("n"))
 
 
+def element_objects(found: DataFrame, key: str) -> DataFrame:
+    """(key, elem_path, parent_path): one row for each object in an array, from the triples of kind object."""
+    return found.filter("kind = 'object'").select(key, "elem_path", "parent_path")
+
+
+def nested_tables(found: DataFrame, key: str) -> dict[str, DataFrame]:
+    """One pivoted table for each group path, with the fields that group_fields finds; those of records themselves have no ordinal.
+
+    A group whose objects have no plain field gives a table of its elements alone. Plain arrays are fields with the
+    ordinals left out, whose values stand in an array in their order.
+    """
+    found = cut(found)
+    fields = group_fields(found).select("group_path", "field").unionByName(found.filter("kind = 'object'").select("group_path", F.lit(None).cast("string").alias("field"))).distinct()
+    groups: dict[str, list[str]] = {}
+    for group, f in fields.collect():
+        groups.setdefault(group, []).extend([f] if f is not None else [])
+    return {group: nested_table(found, key, group, sorted(fs)) for group, fs in sorted(groups.items())}
+
+
 def nested_table(found: DataFrame, key: str, group_path: str, fields: list[str]) -> DataFrame:
     """One flat table of a group: key, elem_path, parent_path, ordinal and the named fields (null where absent)."""
     own = found.filter(F.col("group_path") == group_path)
-    pick = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f.replace(".", "_")) for f in fields]
-    return own.groupBy(key, "elem_path", "parent_path", F.element_at("ordinals", -1).alias("ordinal")).agg(F.count("*").alias("_n"), *pick).drop("_n")
+    names = column_names(fields, key)
+    pick = [_picked(f).alias(names[f]) for f in fields]
+    return own.groupBy(key, "elem_path", "parent_path", F.try_element_at("ordinals", F.lit(-1)).alias("ordinal")).agg(F.count("*").alias("_n"), *pick).drop("_n")
+
+
+def column_names(fields: list[str], key: str) -> dict[str, str]:
+    """Column of each field: dots and brackets give way to underscores; where two would be the same, ignoring case, a later one gets a number."""
+    out: dict[str, str] = {}
+    used = {key.lower(), "elem_path", "parent_path", "ordinal", "_n"}
+    for f in fields:
+        base = name = f.replace("[]", "").replace(".", "_") or "value"
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name.lower())
+        out[f] = name
+    return out
+
+
+def _picked(f: str):
+    """The value of a field; of one with arrays in its path, all values by their places."""
+    if "[]" not in f:
+        return F.max(F.when(F.col("field") == f, F.col("value")))
+    here = F.regexp_replace("field", r"\[\d+\]", "[]") == f
+    places = F.transform(F.regexp_extract_all("field", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    return F.transform(F.array_sort(F.collect_list(F.when(here, F.struct(places.alias("at"), F.col("value"))))), lambda x: x["value"])

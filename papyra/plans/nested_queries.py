@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from papyra.operators import nested
 from papyra.plans.registry import query
 from papyra.session import table
@@ -11,7 +13,7 @@ NESTED = ["metadata", "tables", "chunks", "pages"]
 
 @query()
 def p3_found(spark, sf_dir):
-    return nested.nested_objects(table(spark, sf_dir, "extraction_results"), "result_id", NESTED)
+    return nested.element_objects(nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", NESTED), "result_id")
 
 
 @query()
@@ -30,3 +32,12 @@ def p3_images(spark, sf_dir):
 def p3_boundaries(spark, sf_dir):
     found = nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", ["metadata"])
     return nested.nested_table(found, "result_id", "metadata.pages.boundaries[]", ["byte_start", "byte_end", "page_number"])
+
+
+@query()
+def p3_tables(spark, sf_dir):
+    """The rows of the tables of all groups in one pass, the fields of each as JSON; nested.nested_tables has a table for each group."""
+    found = nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", NESTED)
+    row = found.groupBy("group_path", "result_id", "elem_path", "parent_path", F.try_element_at("ordinals", F.lit(-1)).alias("ordinal"))
+    fields = F.array_sort(F.collect_list(F.when(F.col("kind") != "object", F.struct("field", "value"))))
+    return row.agg(F.to_json(fields).alias("fields"))

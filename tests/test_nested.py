@@ -59,3 +59,25 @@ def test_frames(spark):
     assert N.nested_objects(spark.createDataFrame([], schema), "id", ["m", "t"]).count() == 0
     found = N.nested_triples(spark.createDataFrame(rows, schema), "id", ["t"])
     assert [tuple(r) for r in N.nested_table(found, "id", "t[].y[]", ["z"]).collect()] == [(1, "t[0].y[0]", "t[0]", 0, "p")]
+
+
+def test_a_table_for_each_group(spark):
+    m = '{"n":1,"a":[{"x":"p","tags":["u","v"],"b":[{"y":2},{}]},{"x.z":3,"x_z":4,"id":5}],"e":[{}]}'
+    found = N.nested_triples(spark.createDataFrame([(1, m), (2, None)], "id bigint, m string"), "id", ["m"])
+    assert sorted(map(tuple, N.element_objects(found, "id").collect())) == [(1, "m.a[0]", ""), (1, "m.a[0].b[0]", "m.a[0]"), (1, "m.a[0].b[1]", "m.a[0]"), (1, "m.a[1]", ""), (1, "m.e[0]", "")]
+    tables = N.nested_tables(found, "id")
+    assert set(tables) == {"m", "m.a[]", "m.a[].b[]", "m.e[]"}
+    rows = {r.elem_path: r for t in tables.values() for r in t.collect()}
+    assert rows["m"].n == "1" and rows["m"].ordinal is None and rows["m.a[0]"].x == "p" and rows["m.a[0]"].tags == ["u", "v"]
+    assert [rows["m.a[1]"][c] for c in ("x_z", "x_z_2", "id_2")] == ["3", "4", "5"] and rows["m.a[0].b[0]"].y == "2" and rows["m.a[0].b[1]"].y is None and rows["m.e[0]"].parent_path == ""
+
+
+def test_found_goes_by_the_triples(spark, monkeypatch):
+    from papyra.plans import nested_queries as Q
+
+    monkeypatch.setattr(N, "nested_objects", None)
+    data = "/root/testdata/sf0.001"
+    got = Q.p3_found(spark, data)
+    assert got.columns == ["result_id", "elem_path", "parent_path"] and got.count() > 0
+    groups = {r.group_path for r in Q.p3_tables(spark, data).select("group_path").distinct().collect()}
+    assert {"tables[]", "chunks[]", "pages[]", "pages[].images[]", "metadata.pages.boundaries[]"} <= groups
