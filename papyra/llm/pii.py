@@ -458,18 +458,20 @@ def redact_text(text: str, mentions: list[tuple[int, int, str]]) -> str:
 
 
 def redact(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, redacted, n_mentions): the text with each mention replaced by its placeholder; null stays null."""
+    """(key, item_no, redacted, n_mentions): the text, or each entry of an array of texts, with placeholders for its mentions; null stays null."""
     kind = dict(df.dtypes)[key]
-    rows = spread(df.select(key, column), key)
+    listed = dict(df.dtypes)[column].startswith("array")
+    rows = df.select(key, F.posexplode(column).alias("item_no", "t")) if listed else df.select(key, F.lit(0).alias("item_no"), F.col(column).alias("t"))
+    rows = spread(rows, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = judge()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                texts = part.column(1).to_pylist()
+                texts = part.column(2).to_pylist()
                 got = own.mentions([t or "" for t in texts])
                 new = [None if t is None else redact_text(t, m) for t, m in zip(texts, got)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), pa.array([len(m) for m in got], pa.int32())], [key, "redacted", "n_mentions"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(new, pa.string()), pa.array([len(m) for m in got], pa.int32())], [key, "item_no", "redacted", "n_mentions"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, redacted string, n_mentions int").dropDuplicates([key])
+    return rows.mapInArrow(run, f"`{key}` {kind}, item_no int, redacted string, n_mentions int").distinct()

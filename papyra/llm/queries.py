@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyra.plans.text_queries import WS, trim_sql
 from papyra.session import table
@@ -33,7 +34,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyra.llm.pii import redact
 
-    return redact(table(spark, sf_dir, "extraction_results"), "result_id", "content")
+    results, mails = table(spark, sf_dir, "extraction_results"), table(spark, sf_dir, "email_metadata")
+    parts = [redact(df, "result_id", field).withColumn("field", F.lit(field)) for df, field in ((results, "content"), (mails, "from_email"), (mails, "to_emails"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("result_id", "field", "item_no", "redacted", "n_mentions")
 
 
 @query

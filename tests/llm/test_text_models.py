@@ -169,3 +169,17 @@ def test_hot_buckets_keep_all_pairs(spark, monkeypatch, n, hot):
         rows.append((i, 100, *[x - (1 << 64) if x >> 63 else x for x in h]))
     reps = spark.createDataFrame(rows, "rep bigint, size int, h0 bigint, h1 bigint, h2 bigint, h3 bigint")
     assert residue.candidate_pairs(reps).count() == n * (n - 1) // 2
+
+
+def test_redacted_entries_of_arrays(spark):
+    df = spark.createDataFrame([(1, ["Hanno Moretti <c@d.example>", None, "x y"]), (2, None)], "result_id bigint, to_emails array<string>")
+    got = sorted((r.result_id, r.item_no, r.redacted, r.n_mentions) for r in pii.redact(df, "result_id", "to_emails").collect())
+    assert got == [(1, 0, "[NAME] <[EMAIL]>", 2), (1, 1, None, 0), (1, 2, "x y", 0)]
+
+
+def test_redacting_query_covers_mail_headers(spark):
+    from papyra.llm.queries import p1_redacted
+
+    got = p1_redacted(spark, "/root/testdata/sf0.001")
+    assert {r.field for r in got.select("field").distinct().collect()} == {"content", "from_email", "to_emails"}
+    assert got.filter("field <> 'content' and redacted rlike '[a-z]@[a-z]'").count() == 0
