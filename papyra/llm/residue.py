@@ -28,6 +28,8 @@ from papyra.session import cut, spread
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits in a SimHash, bits of a table's key (each table has its own bits), and the Hamming distance verified.
 LONGS, TABLE_BITS, HAMMING = 4, 16, 60
+#: Sets of tables that use each bit once: three give 48 tables, of which a pair at similarity 0.8 shares one with 0.97.
+ROUNDS = 3
 #: A bucket with more texts is compared in blocks of about so many, each block against the whole bucket.
 HOT = 2_000
 #: So many ids of candidates, at most, are broadcast to fetch their texts (8 bytes each); more are joined by a shuffle.
@@ -121,9 +123,10 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of texts that share a bucket of a table and are near by Hamming distance and size."""
-    per = 64 // TABLE_BITS
-    mask = (1 << TABLE_BITS) - 1
-    keys = [F.shiftrightunsigned(F.col(f"h{k}"), TABLE_BITS * j).bitwiseAND(mask) for k in range(LONGS) for j in range(per)]
+    half, mask = TABLE_BITS // 2, (1 << TABLE_BITS) - 1
+    parts = [F.shiftrightunsigned(F.col(f"h{k}"), half * j).bitwiseAND((1 << half) - 1) for k in range(LONGS) for j in range(64 // half)]
+    # a key joins two parts; in each round every part is in one key, and no two keys have both parts in common
+    keys = [F.shiftleft(parts[i + 2 * r + 1 - len(parts)], half).bitwiseOR(parts[i]) for r in range(ROUNDS) for i in range(0, len(parts), 2)]
     sims = [f"h{k}" for k in range(LONGS)]
     rows = reps.select("rep", "size", *sims, F.array(*keys).alias("keys"))
     rows = rows.select("rep", "size", *sims, F.posexplode("keys").alias("t", "bucket"))

@@ -183,3 +183,21 @@ def test_redacting_query_covers_mail_headers(spark):
     got = p1_redacted(spark, "/root/testdata/sf0.001")
     assert {r.field for r in got.select("field").distinct().collect()} == {"content", "from_email", "to_emails"}
     assert got.filter("field <> 'content' and redacted rlike '[a-z]@[a-z]'").count() == 0
+
+
+def test_recall_between_the_threshold_and_nine_tenths(spark):
+    import random
+
+    rng = random.Random(11)
+    docs, sets = [], {}
+    while len(docs) < 800:
+        base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(200), rng.randrange(2, 6)):
+            other[at] = "zz" + "".join(rng.choice("abcdef") for _ in range(6))
+        a, b = (set(residue.shingles(residue.word_hashes(" ".join(t))).tolist()) for t in (base, other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(other))]
+    _, pairs = residue.near_duplicate_classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert got <= {(i, i + 1) for i in range(0, 800, 2)} and len(got) >= 0.95 * 400
