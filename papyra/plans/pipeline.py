@@ -124,8 +124,18 @@ def language_column(c: Column) -> Column:
 
 def _keywords(c: Column, stop: list[str], k: int = 10) -> Column:
     """The most frequent words of a text outside of a list, longest first among equals; none below ten words."""
-    ws = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"\pL{4,}"), F.lit(0)), lambda w: ~w.isin(stop))
-    return F.when(X.word_count(c) >= 10, F.slice(F.array_sort(F.array_distinct(ws)), 1, k)).otherwise(F.array().cast("array<string>"))
+    ws = F.array_sort(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"\pL{4,}"), F.lit(0)), lambda w: ~w.isin(stop)))
+    # in the sorted words the places where a word begins; the next place less this one is its count
+    def ranked(found: Column) -> Column:
+        n = F.size(found)
+        starts = F.filter(F.transform(found, lambda w, i: F.when((i == 0) | (F.get(found, i - 1) != w), i)), lambda i: i.isNotNull())
+        return X.bind(starts, lambda at: F.transform(F.array_sort(F.transform(at, lambda i, j: F.struct((i - F.coalesce(F.get(at, j + 1), n)).alias("n"), (-F.length(F.get(found, i))).alias("size"), F.get(found, i).alias("w")))), lambda x: x["w"]))
+
+    return F.when(X.word_count(c) >= 10, F.slice(X.bind(ws, ranked), 1, k)).otherwise(F.array().cast("array<string>"))
+
+
+def default_validators(content: str = "content") -> list[Validator]:
+    return [Validator("empty", 50, lambda d: F.when(F.coalesce(F.trim(F.col(content)), F.lit("")) == "", F.lit("empty text")))]
 
 
 def default_processors(content: str = "content") -> list[Processor]:

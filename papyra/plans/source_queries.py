@@ -204,8 +204,8 @@ def validators(spark, sf_dir):
 @query()
 def pipeline(spark, sf_dir):
     """The default stages over all results: language and quality early, keywords and chunks in the middle, validators last."""
-    from papyra.plans.pipeline import default_processors, run
+    from papyra.plans.pipeline import default_processors, default_validators, run
 
     rows = _results(spark, sf_dir).select("result_id", "content", "mime_type").dropDuplicates(["result_id"])
-    out = run(rows, default_processors())
-    return out.select("result_id", "quality_score", "detected_language", F.size("chunks").alias("n_chunks"), F.size("keywords").alias("n_keywords"), "error")
+    out = run(rows, default_processors(), default_validators())
+    return out.select("result_id", "quality_score", "detected_language", F.size("chunks").alias("n_chunks"), F.size("keywords").alias("n_keywords"), "error", "keywords")

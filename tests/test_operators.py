@@ -89,3 +89,13 @@ def test_every_query_is_named_once():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pipeline_keywords_by_count_and_validators(spark):
+    from papyra.plans import pipeline as P
+
+    words = "alpha beta2 " + "zebra " * 3 + "yonder " * 2 + "apples cherries dates figsx grapes hazel indigo jasmine kernel lemon"
+    df = spark.createDataFrame([(1, words), (2, " "), (3, None), (4, "zebra zebra")], "id int, content string")
+    rows = {r.id: r for r in P.run(df, P.default_processors(), P.default_validators()).collect()}
+    assert rows[1].keywords == ["zebra", "yonder", "cherries", "jasmine", "apples", "grapes", "indigo", "kernel", "alpha", "dates"]
+    assert rows[4].keywords == [] and [rows[i].error for i in (1, 2, 3, 4)] == [None, "empty text", "empty text", None]
