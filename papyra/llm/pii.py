@@ -13,6 +13,8 @@ Texts are read whole. Extra columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,6 +133,49 @@ class Lexicon:
         return names, anchors
 
 
+def fold(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+
+
+def header_words(sender: str | None, name: str | None, to: list[str | None] | None) -> list[tuple[str, str]]:
+    """(word, g or f) of the sender's name and of display names that agree with the address beside them."""
+    out: list[tuple[str, str]] = []
+
+    def add(first: str, rest: list[str]) -> None:
+        out.extend((w.lower(), "g") for w in first.split("-"))
+        out.extend((w.lower(), "f") for r in rest for w in re.split(r"[-'’]", r) if len(w) > 2 and w.lower() not in _PARTICLE)
+
+    if name and len(name.split()) > 1:
+        first, *rest = name.split()
+        add(first, rest)
+    for entry in [sender, *(to or [])]:
+        m = re.match(r'\s*"?([^"<(]+?)"?\s*<([^@<>]+)@', entry or "")
+        if not m:
+            continue
+        shown, local = m.group(1), fold(m.group(2))
+        if "," in shown:
+            back, _, front = shown.partition(",")
+            shown = f"{front.strip()} {back.strip()}"
+        words = shown.split()
+        if len(words) > 1 and fold(words[0]) in local and fold(words[-1]).replace("-", "") in local.replace("-", "") and "," in entry.partition("<")[0]:
+            add(words[0], words[1:])
+    return out
+
+
+def name_words(mails: DataFrame) -> dict[str, str]:
+    """Word -> g or f, of all mail headers; counts are summed in batches first, and only the words reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = Counter(wk for row in zip(*[c.to_pylist() for c in batch.columns]) for wk in header_words(*row))
+            ws = list(n)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in ws], pa.string()), pa.array([n[x] * (1 if x[1] == "g" else -1) for x in ws], pa.int64())], ["w", "n"])
+
+    sums = mails.select("from_email", "from_name", "to_emails").mapInArrow(run, "w string, n bigint").filter("length(w) > 2").groupBy("w").agg(F.sum("n").alias("n"))
+    out = {r.w: "g" if r.n >= 0 else "f" for r in sums.collect()}
+    return {**{fold(w): k for w, k in out.items()}, **out}
+
+
 def _lower(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -365,9 +410,9 @@ def candidates(text: str, lexicon: Lexicon, hidden: Callable[[str], bool] | None
 class Judge:
     """Lexicon, evidence tables, trees and thresholds of the trained model."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: dict[str, str] | None = None) -> None:
         self.models, more = gbt.load("pii")
-        self.lexicon = Lexicon(more["lexicon"])
+        self.lexicon = Lexicon({**(words or {}), **more["lexicon"]})
         self.evidence = {k: [dict(t) for t in tables] for k, tables in more["evidence"].items()}
         self.threshold = more["threshold"]
 
@@ -405,27 +450,33 @@ def resolve(found: list[tuple[float, int, int, str]]) -> list[tuple[int, int, st
     return sorted(kept)
 
 
-_judge: list[Judge] = []
+_judges: dict[frozenset, Judge] = {}
 
 
-def judge() -> Judge:
-    if not _judge:
-        _judge.append(Judge())
-    return _judge[0]
+def judge(words: dict[str, str] | None = None) -> Judge:
+    """The judge with these words of names besides those of the training; one is kept for the last words, one for none."""
+    key = frozenset((words or {}).items())
+    if key not in _judges:
+        for old in [k for k in _judges if k]:
+            del _judges[old]
+        _judges[key] = Judge(words)
+    return _judges[key]
 
 
 # ---------------------------------------------------------------- operators
 
 
-def find_mentions(df: DataFrame, key: str, field: str, column: str) -> DataFrame:
+def find_mentions(df: DataFrame, key: str, field: str, column: str, words: dict[str, str] | None = None) -> DataFrame:
     """(key, field, item_no, char_start, char_end, pii_kind) of a column of texts or of arrays of texts."""
     kind = dict(df.dtypes)[key]
     listed = dict(df.dtypes)[column].startswith("array")
     rows = df.select(key, F.posexplode(column).alias("item_no", "t")) if listed else df.select(key, F.lit(0).alias("item_no"), F.col(column).alias("t"))
     rows = spread(rows.filter("t is not null and length(t) > 1"), key)
 
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = judge()
+        own = judge(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
@@ -457,15 +508,17 @@ def redact_text(text: str, mentions: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def redact(df: DataFrame, key: str, column: str) -> DataFrame:
+def redact(df: DataFrame, key: str, column: str, words: dict[str, str] | None = None) -> DataFrame:
     """(key, item_no, redacted, n_mentions): the text, or each entry of an array of texts, with placeholders for its mentions; null stays null."""
     kind = dict(df.dtypes)[key]
     listed = dict(df.dtypes)[column].startswith("array")
     rows = df.select(key, F.posexplode(column).alias("item_no", "t")) if listed else df.select(key, F.lit(0).alias("item_no"), F.col(column).alias("t"))
     rows = spread(rows, key)
 
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = judge()
+        own = judge(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)

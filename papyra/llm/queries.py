@@ -21,21 +21,23 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from papyra.llm.pii import find_mentions
+    from papyra.llm.pii import find_mentions, name_words
 
     results, mails = table(spark, sf_dir, "extraction_results"), table(spark, sf_dir, "email_metadata")
-    found = find_mentions(results, "result_id", "content", "content")
-    found = found.unionByName(find_mentions(mails, "result_id", "from_email", "from_email"))
-    found = found.unionByName(find_mentions(mails, "result_id", "to_emails", "to_emails"))
+    words = name_words(mails)
+    found = find_mentions(results, "result_id", "content", "content", words)
+    found = found.unionByName(find_mentions(mails, "result_id", "from_email", "from_email", words))
+    found = found.unionByName(find_mentions(mails, "result_id", "to_emails", "to_emails", words))
     return found.select("result_id", "field", "item_no", "char_start", "pii_kind")
 
 
 @query
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from papyra.llm.pii import redact
+    from papyra.llm.pii import name_words, redact
 
     results, mails = table(spark, sf_dir, "extraction_results"), table(spark, sf_dir, "email_metadata")
-    parts = [redact(df, "result_id", field).withColumn("field", F.lit(field)) for df, field in ((results, "content"), (mails, "from_email"), (mails, "to_emails"))]
+    words = name_words(mails)
+    parts = [redact(df, "result_id", field, words).withColumn("field", F.lit(field)) for df, field in ((results, "content"), (mails, "from_email"), (mails, "to_emails"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("result_id", "field", "item_no", "redacted", "n_mentions")
 
 

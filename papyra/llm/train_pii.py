@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import re
 import sys
-import unicodedata
 import zlib
 from collections import Counter
 
@@ -32,37 +31,13 @@ _REACH = set("phone tel telefon téléphone tél mobile mobil móvil teléfono f
 _NOT_NAME_AFTER = set("gmbh ag ltd inc sarl sa llc kg press trust logistics data works team desk street road close avenue weg platz & und".split())
 
 
-def fold(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
-
-
 def lexicon_of(mails: list[tuple[str | None, str | None, list[str | None] | None]]) -> dict[str, str]:
     """Word -> g or f, by where it stands in names that agree with an address."""
     given, family = Counter(), Counter()
 
-    def add(first: str, rest: list[str]) -> None:
-        for w in re.split(r"[-]", first):
-            given[w.lower()] += 1
-        for r in rest:
-            for w in re.split(r"[-'’]", r):
-                if len(w) > 2 and w.lower() not in pii._PARTICLE:
-                    family[w.lower()] += 1
-
-    for sender, name, to in mails:
-        if name and len(name.split()) > 1:
-            first, *rest = name.split()
-            add(first, rest)
-        for entry in [sender, *(to or [])]:
-            m = re.match(r'\s*"?([^"<(]+?)"?\s*<([^@<>]+)@', entry or "") or re.match(r"\s*()([^@<>\s]+)@", entry or "")
-            if not m or not m.group(1):
-                continue
-            shown, local = m.group(1), fold(m.group(2))
-            if "," in shown:
-                back, _, front = shown.partition(",")
-                shown = f"{front.strip()} {back.strip()}"
-            words = shown.split()
-            if len(words) > 1 and fold(words[0]) in local and fold(words[-1]).replace("-", "") in local.replace("-", "") and "," in entry.partition("<")[0]:
-                add(words[0], words[1:])
+    for mail in mails:
+        for w, k in pii.header_words(*mail):
+            (given if k == "g" else family)[w] += 1
     out = {}
     for w in set(given) | set(family):
         if given[w] + family[w] >= 1 and len(w) > 2:
@@ -82,7 +57,7 @@ def lexicon_of(mails: list[tuple[str | None, str | None, list[str | None] | None
             if len(st + e) >= 6:
                 out.setdefault(st + e, "f")
     for w, k in list(out.items()):
-        out.setdefault(fold(w), k)
+        out.setdefault(pii.fold(w), k)
     return out
 
 

@@ -201,3 +201,12 @@ def test_recall_between_the_threshold_and_nine_tenths(spark):
     _, pairs = residue.near_duplicate_classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
     got = {(r.a, r.b) for r in pairs.collect()}
     assert got <= {(i, i + 1) for i in range(0, 800, 2)} and len(got) >= 0.95 * 400
+
+
+def test_names_of_the_input_headers(spark):
+    mails = spark.createDataFrame([("x@y.example", "Zebulon Quarrick", None), (None, None, None)], "from_email string, from_name string, to_emails array<string>")
+    words = pii.name_words(mails)
+    assert words == {"zebulon": "g", "quarrick": "f"}
+    df = spark.createDataFrame([(1, "the box that zebulon quarrick left was moved.")], "result_id bigint, content string")
+    assert pii.find_mentions(df, "result_id", "content", "content").count() == 0
+    assert [r.char_start for r in pii.find_mentions(df, "result_id", "content", "content", words).collect()] == [13]
