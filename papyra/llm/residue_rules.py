@@ -7,7 +7,11 @@ furniture lie in such passages.
 
 from __future__ import annotations
 
+import bisect
 import re
+from functools import cache
+
+from papyra.llm.prefilter import Rules, fold
 
 # ---------------------------------------------------------------- template fields
 
@@ -53,10 +57,12 @@ def without_code(text: str) -> str:
     return text
 
 
-def template_fields(text: str) -> int:
-    """Number of unfilled fields in running text."""
-    plain, n = without_code(text), 0
-    for m in [*_FIELD.finditer(plain), *_ASK.finditer(plain)]:
+def template_fields(text: str, alternatives: list[re.Pattern] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, text without code) of each unfilled field in running text."""
+    plain, out, last = without_code(text), [], -1
+    for m in sorted((m for p in ([_FIELD, _ASK] if alternatives is None else alternatives) for m in p.finditer(plain)), key=lambda m: (m.start(), -m.end())):
+        if m.start() < last:
+            continue  # within a field that counts already
         a = plain.rfind("\n", 0, m.start()) + 1
         b = plain.find("\n", m.end())
         line = plain[a : b if b >= 0 else len(plain)]
@@ -73,8 +79,9 @@ def template_fields(text: str) -> int:
             continue  # not running text: symbols, data, coded
         if _QUOTED.search(plain[max(0, m.start() - 1) : m.start()]) and plain[m.end() : m.end() + 1] in "\"”’'»“":
             continue  # a field that is spoken of
-        n += 1
-    return n
+        out.append((m.start(), m.end(), plain))
+        last = m.end()
+    return out
 
 
 # ---------------------------------------------------------------- passages
@@ -91,7 +98,7 @@ _SCRIPT = re.compile(
     re.I | re.X,
 )
 _SCRIPT_ASK = re.compile(
-    r"""enabl|activ|aktiv|habilit|abilit|attiv|włącz|включ|отключ|ative\b|schakel|turn\son|switch\son|allow|requir|need|nécessit|benötig|erforder|exig|richied|wymaga|vereist|werkt\sniet|zonder|ohne|sans|senza|sin\b|sem\b|bez|без|disabled|désactiv|deaktiv|desactiv|disattiv|desativ|uitgeschakeld|wyłączon|blocked|bloqu|blockier|bloccat|zablokow|geblokkeerd|заблокир|noscript|could\snot\srun|cannot|führt|funktioniert|有効|無効|必要|checking\syour\sbrowser|not\sload|no\sadmite|not\ssupport|unterstützt\skein|ne\sprend|non\ssupport|não\ssuport|niet\sondersteun|nie\sobsługuj|не\sподдержив|properly\swithout|work\sproperly""",
+    r"""enabl|activ|aktiv|necesit|precisa|potrzeb|нужен|нужн|nodig|habilit|abilit|attiv|włącz|включ|отключ|ative\b|schakel|turn\son|switch\son|allow|requir|need|nécessit|benötig|erforder|exig|richied|wymaga|vereist|werkt\sniet|zonder|ohne|sans|senza|sin\b|sem\b|bez|без|disabled|désactiv|deaktiv|desactiv|disattiv|desativ|uitgeschakeld|wyłączon|blocked|bloqu|blockier|bloccat|zablokow|geblokkeerd|заблокир|noscript|could\snot\srun|cannot|führt|funktioniert|有効|無効|必要|checking\syour\sbrowser|not\sload|no\sadmite|not\ssupport|unterstützt\skein|ne\sprend|non\ssupport|não\ssuport|niet\sondersteun|nie\sobsługuj|не\sподдержив|properly\swithout|work\sproperly""",
     re.I | re.X,
 )
 #: A sentence that tells of an error or of filler is none.
@@ -100,11 +107,12 @@ _TELLS = re.compile(r"\b(?:told|said|wrote|explained|answered with|filled the|so
 _ABOUT = re.compile(r"needs no javascript|block scripts see|without any|as a plain image|\b(?:he|she|they|we) (?:wrote|explained|described)\b", re.I)
 
 _ERROR = re.compile(
-    r"""^\W*(?:(?:http\s)?(?:error|fehler|erreur|errore|erro|fout|błąd|ошибка|エラー|código|code)\W{0,3}\s?\d{2,4}\b|[45]\d\d\W{0,3}\s?(?:not\sfound|bad\s|forbidden|internal|service|gateway|seite|page|página|pagina|error|unavailable|too\smany|unauthorized|access|request|страница|strona|ページ|erreur|fehler|errore|niet|nie\s|non\s|no\s)|error\scode\b)
+    r"""^\W*(?:(?:http\s)?(?:error|fehler|erreur|errore|erro|fout|błąd|ошибка|エラー|código|code)\W{0,3}\s?\d{2,4}\b|[45][0-9][0-9]\W{0,3}\s?(?:not\sfound|bad\s|forbidden|internal|service|gateway|seite|page|página|pagina|error|unavailable|too\smany|unauthorized|access|request|страница|strona|ページ|erreur|fehler|errore|niet|nie\s|non\s|no\s)|error\scode\b)
     |(?:page|seite|página|pagina|strona|страниц\w|ページ|url|site|resource|file|document)\b.{0,40}(?:not\sfound|could\snot\sbe\sfound|nicht\sgefunden|introuvable|n'existe\splus|no\s(?:encontrad|existe|disponible)|ya\sno\sexiste|não\s(?:encontrad|existe)|non\s(?:trovat|esiste|disponibile)|niet\s(?:gevonden|beschikbaar|bestaat)|bestaat\sniet|nie\s(?:została\s)?znalezion|nie\sistnieje|не\s(?:найден|существует)|見つかりません|moved\sor\sdeleted|verschoben\soder\sgelöscht|can't\sbe\sreached|cannot\sbe\sreached|no\slonger\s(?:exists|available)|existiert\snicht|verplaatst|usunięt|удален|eliminad|removid|supprim|rimoss)
     |(?:access|zugriff|accès|acceso|accesso|acesso|toegang|dostęp|доступ)\b.{0,20}(?:denied|verweigert|refusé|denegado|negato|negado|geweigerd|zabroniony|запрещ\w+|forbidden)|アクセス.{0,8}拒否
     |don't\shave\spermission|do\snot\shave\spermission|authorization\srequired|not\sauthori[sz]ed\sto\s(?:view|access)|odmowa\sdostępu|keine\sberechtigung|session\s(?:has\s)?(?:expired|timed\sout)|login\shas\stimed\sout|sitzung\s(?:ist\s)?abgelaufen|session\sa?\s?expir|sesión\s(?:ha\s)?(?:expirado|caducado)|request\stimed\sout|timed?\sout,?\splease|gateway\stime-?out|server\s?fehler|serverfout|erreur\sinterne|error\sinterno|errore\sinterno|erro\sinterno|wewnętrzny\sbłąd|внутренняя\sошибка|server\serror|内部エラー|too\smany\srequests|service\sunavailable|servizio\snon\sdisponibile|servicio\sno\sdisponible|serviço\sindisponível|service\sindisponible|dienst\s(?:nicht\sverfügbar|niet\sbeschikbaar)|bad\sgateway|internal\sserver\serror
     |server\s(?:took\stoo\slong|returned\san\sinvalid|is\s(?:down|overloaded|unavailable)|antwortet\snicht|error)|upstream\s(?:server|timeout)|could\snot\sconnect\sto|unable\sto\sconnect|verbindung.{0,20}fehlgeschlagen|connection\s(?:refused|reset|timed)
+    |\b(?:error|fehler|erreur|errore|erro|fout|błąd|ошибка)\s[45][0-9][0-9]\b|failed\sto\sopen\s(?:stream|file)|cannot\smodify\sheader|\.php\son\sline|undefined\s(?:variable|index|offset|method|function)|call\sto\sundefined|(?:parse|syntax)\serror,?\sunexpected|sqlstate\[|ora-[0-9]{5}|you\shave\san\serror\sin\syour\ssql
     |fatal\serror|uncaught\sexception|traceback\s\(most\srecent|stack\strace|nullpointerexception|\b\w+(?:\.\w+)+exception\b|^\s*at\s[\w.$<>]+\([\w.]+:\d+\)|segmentation\sfault|errno\s\d|exception\sin\s\S+\son\sline
     |requested\surl|this\ssite\scan't|nothing\sto\ssee|we\sare\sworking\son\sit\sand\swill|be\sback\sshortly|under\smaintenance|wartungsarbeiten|down\sfor\smaintenance|(?:can't|cannot|could\snot)\sfind\sthat|en\smaintenance|en\smantenimiento|in\smanutenzione|em\smanutenção|in\sonderhoud|технические\sработы
     |(?:please\s)?try\sagain\s(?:later|in)|später\s(?:erneut|noch\seinmal|wieder)|réessayer\splus\stard|inténtelo\sde\snuevo|riprov\w+\spiù\stardi|tente\s(?:novamente|mais\starde)|probeer\shet\s(?:later|opnieuw)|spróbuj\s(?:ponownie|później)|попробуйте\sпозже|повторите\sпопытку|後でもう一度
@@ -124,109 +132,187 @@ _FILLER = re.compile(
 )
 #: Page furniture, which counts for nothing on either side.
 _FURNITURE = re.compile(
-    r"""^\W*(?:home|start|menu|menü|reload|search|contact|loading|redirecting|nginx\S*|apache\S*|noscript|log\s?in|register|sign\sin|skip\sto|©|copyright|back\sto|return\sto\sthe|zurück|volver|retour|torna|voltar|terug|wróć|назад|ray|cookies?)\b.{0,60}$|^\W*(?:©|\d{1,4}|[A-Z]\w*(?:\s[A-Z&]\w*){0,3})\W*$|^[^\w]*$|^\W*home\s/""",
+    r"""^\W*(?:home|start|menu|menü|reload|search|contact|loading|redirecting|nginx\S*|apache\S*|noscript|log\s?in|register|sign\sin|skip\sto|©|copyright|back\sto|return\sto\sthe|zurück|volver|retour|torna|voltar|terug|wróć|назад|ray|cookies?)\b.{0,60}$|^\W*(?:©|\d{1,4}|[A-Z]\w*(?:\s[A-Z&]\w*){0,3})\W*$|^[^\w]*$|^\W*home\s/[^.!?]{0,60}$""",
     re.I | re.X,
 )
 _FURNITURE_STRICT = re.compile(r"^\W*(?:©.*|\d{1,4}|[A-ZÀ-Þ][\w&]*(?:\s(?:[A-ZÀ-Þ&][\w&]*|GmbH|Ltd)){0,3})\W*$")
-_SPLIT = re.compile(r"\n+|(?<=[.!?…。])\s+(?=\S)|\s[-–|·]\s(?=[A-ZÀ-ÞА-Я\d<{\"])")
+_SPLIT = re.compile(r"\s(?:(?<=[.!?…。]\s)\s*(?=\S)|[-–|·]\s(?=[A-ZÀ-ÞА-Я\d<{\"]))")
 
-#: Words of which a text must have one before its passages are looked at.
-CUES = """\xa0script "script 'script (script javascript noscript scripting skript skrypt скрипт スクリプト guion error fehler erreur errore erro fout błąd ошибк エラー 404 500 502 503 403 401 429 504 not\xa0found forbidden denied verweigert refus denegad negat negado geweigerd запрещ exception traceback errno
-timed timeout expired abgelaufen caduc unavailable gateway upstream requested permission maintenance wartung mantenim manuten onderhoud introuvable existe nicht\xa0gefunden encontrad trovat gevonden znalezion найден existiert gelöscht deleted
-try\xa0again später réessayer inténtelo riprov tente probeer spróbuj позже lorem ipsum adipiscing consectetur blindtext platzhalter beispieltext mustertext fülltext folgt hier\xa0steht durch\xa0klicken placeholder dummy sample\xa0text filler
-to\xa0follow insert your\xa0text your\xa0content body\xa0copy introduction\xa0here this\xa0paragraph click\xa0to todo: todo\xa0- tbd goes\xa0here factice d'exemple à\xa0venir votre\xa0texte votre\xa0titre cliquez relleno de\xa0ejemplo de\xa0exemplo pendiente aquí\xa0va clic\xa0para clique\xa0para
-segnaposto di\xa0esempio di\xa0prova fare\xa0clic fai\xa0clic voorbeeldtekst opvultekst volgt klik\xa0om zastępczy przykładow kliknij пример\xa0текста заполнитель щелкните щёлкните ダミー サンプル ここに クリック 仮の went\xa0wrong oops checking\xa0your browser anim\xa0 velit mollit fugiat
-""".replace("\n", " ").split(" ")
-CUES = [c.replace("\xa0", " ") for c in CUES if c]
+#: A sign of residue speaks for so many characters of its passage; a longer passage is judged by what its signs cover.
+STRETCH = 300
+#: Shortest word of the pseudo-Latin filler that gives it away; a filler passage has one of them.
+TELLING = 5
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Longest series of words that filler repeats, and how often on end it does.
+PERIOD, REPEATS = 4, 4
+_WORDS = re.compile(r"\S+")
 
 
-#: Longest passage, pseudo-Latin left out, that is taken as filler, error message or notice.
-LONGEST = 300
+@cache
+def rules() -> Rules:
+    """All patterns behind one automaton of the literals that they need, so that a pattern runs where it can match."""
+    patterns = {"error": _ERROR, "filler": _FILLER, "script": _SCRIPT, "field": _FIELD, "ask": _ASK}
+    words = {w for w in LOREM if len(w) >= TELLING and w not in ("minim", "culpa", "massa", "porta")}
+    return Rules({k: (p.pattern, p.flags & ~re.U) for k, p in patterns.items()}, {"lorem": words})
 
 
-def automaton():
-    """The keyword automaton: 1 for words of CUES and of the filler, 2 for what a template field may open with."""
-    import ahocorasick
+def passages(text: str) -> list[tuple[int, int]]:
+    """Where sentences and lines begin and end, white space at their ends left out."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        out += _in_line(line, at)
+        at += len(line) + 1
+    return out
 
-    own = ahocorasick.Automaton()
-    for c in [*CUES, "took too long", "не существует", "working on it", "bestaat niet", "nie istnieje", "non esiste", "find that page", "too many requests", "be reached", "session ", "sesión ", "xxx", ".java:", "authorization required", "disponib", "odmowa", "shortly", "must sign in", " ray ", "request id", "référence", "referencia ", "referência ", "riferimento ", "referentie ", "vorgangsnummer", "código ", "codice ", "kenmerk ", "zgłoszenie", "\nscript", "\ntodo", " js ", "navegador", "browser", *[w for w in sorted(LOREM) if len(w) > 4 and w not in ("minim", "culpa", "massa", "porta")]]:
-        own.add_word(c, 1)
-    letters = "abcdefghijklmnopqrstuvwxyzäöüéèàñçабвгдежзийклмнопрстуфхцчшщэюя"
-    opens = ["{{", "${", "#{", "{%", "<%", "[[", "<<", "@@", "__", "*|", "&lt;", "«", "‹", "%(", "xx.", "xx/", "xx-", "xxxx", "tt.", "dd.", "jj/", "を入力", "を記入", " here)", " hier)", " ici)", " aquí)", " here]", " here>"]
-    opens += [x + c for c in letters for x in ("{", "[", "<", "$", "~", "‹")] + [f"{{{d}" for d in range(10)] + [f"%{c}" for c in letters[:26]] + [f"##{c}" for c in letters[:26]]
-    opens += [f"({w} " for w in "please insert enter add fill your choose select type write escriba insertar inserte introduzca indique indicar su rellenar añada añadir saisir saisissez insérer insérez indiquer indiquez compléter votre bitte ihr ihre ihren hier inserire inserisci indicare inserir insira preencher seu sua invoegen vul uw wpisz wstaw podaj введите вставьте укажите ваш ваше ваша".split()]
-    for c in opens:
-        own.add_word(c, 2)
-    own.make_automaton()
-    return own
 
+def _in_line(line: str, at: int) -> list[tuple[int, int]]:
+    out, begin = [], 0
+    for m in [*_SPLIT.finditer(line), None]:
+        p = line[begin : m.start() if m else len(line)]
+        if p and not p.isspace():
+            a = at + begin + len(p) - len(p.lstrip())
+            out.append((a, a + len(p.strip())))
+        begin = m.end() if m else begin
+    return out
 
-def signs(text: str, cues) -> tuple[bool, bool]:
-    """Whether passages with a cue can make up a good part of the text, and whether a template field may be in it.
 
-    A passage of residue has a cue and is at most LONGEST, so too few cues for the length rule residue out.
-    """
-    hits, field, need = 0, False, 0.33 * len(text) / LONGEST
-    for _, k in cues.iter(" " + text.lower()):
-        if k == 1:
-            hits += 1
-        else:
-            field = True
-        if field and hits > need:
-            break
-    return hits > need, field
-
-
-def passages(text: str) -> list[str]:
-    return [s.strip() for s in _SPLIT.split(text) if s and s.strip()]
-
-
-def kind_of(passage: str) -> str:
-    """script, error, filler, furniture or other."""
-    p = passage[:2000]
-    if len(p) <= LONGEST and _SCRIPT.search(p) and _SCRIPT_ASK.search(p) and not _ABOUT.search(p):
-        return "script"
-    words = re.findall(r"[^\W\d_]+", p.lower())
-    if words and sum(w in LOREM for w in words) > 0.7 * len(words) and (len(words) >= 4 or "lorem" in words):
-        return "filler"
-    if len(p) <= LONGEST and _FILLER.search(p) and not _TELLS.search(p):
-        return "filler"
-    if len(p) <= LONGEST and _ERROR.search(p) and not _TELLS.search(p):
-        return "error"
-    if len(p) < 80 and (_FURNITURE_STRICT.match(p) or _FURNITURE.match(p)):
-        return "furniture"
-    return "other"
-
-
-def shares(text: str, cues=None) -> tuple[float, float, float, float]:
-    """Characters in filler, error, script and other passages, as shares of all but furniture.
-
-    Only passages with a cue can be residue. Once the others make up two thirds of a text, the rest isn't looked
-    at: its share of residue is below every threshold then, and comes out as 0.
-    """
-    n = {"filler": 0, "error": 0, "script": 0, "other": 0, "furniture": 0}
-    open_, short = [], []
-    for p in passages(without_code(text)):
-        if cues is None or next(cues.iter(f" {p.lower()} "), None) is not None:
-            open_.append(p)
-        elif len(p) < 80:
-            short.append(p)
+def _places(plain: str, hits: list[tuple[int, tuple[int, ...]]] | None, signs: set[int]) -> dict[tuple[int, int], set[int]]:
+    """The rules that may hold in each passage; without hits, all of `signs` in every passage."""
+    if hits is None:
+        return {p: signs for p in passages(plain)}
+    out: dict[tuple[int, int], set[int]] = {}
+    spans, begins, stop = [], [], -1
+    for end, rs in hits:
+        rs = signs.intersection(rs)
+        if not rs:
+            continue
+        if end > stop:  # the next line that has a literal
+            start = plain.rfind("\n", 0, end + 1) + 1
+            stop = plain.find("\n", end)
+            stop = len(plain) if stop < 0 else stop
+            spans = _in_line(plain[start:stop], start)
+            begins = [a for a, _ in spans]
+        k = bisect.bisect_right(begins, end) - 1
+        if k >= 0:
+            out.setdefault(spans[k], set()).update(rs)
+    return out
+
+
+def _covered(p: str, places: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    """Characters of a passage within the stretches around some places, and those stretches."""
+    if len(p) <= STRETCH:
+        return (len(p) if places else 0), [(0, len(p))] if places else []
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        lo = max(0, min((a + b - STRETCH) // 2, a, len(p) - STRETCH))
+        hi = max(b, lo + STRETCH)
+        if spans and lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
         else:
-            n["other"] += len(p)
-            if 3 * n["other"] > 2 * len(text):
-                return 0.0, 0.0, 0.0, 1.0
-    for p in short:
-        if _FURNITURE_STRICT.match(p) or _FURNITURE.match(p):
-            n["furniture"] += len(p)
+            spans.append((lo, hi))
+    return sum(b - a for a, b in spans), spans
+
+
+def _lorem(p: str) -> int:
+    """Characters of a passage in pseudo-Latin, judged by blocks of up to STRETCH characters."""
+    n, block = 0, []
+    for m in [*_LETTERS.finditer(p), None]:
+        if block and (m is None or m.end() - block[0].start() > STRETCH and len(p) > STRETCH):
+            known = sum(x.group().lower() in LOREM for x in block)
+            if known > 0.7 * len(block) and (len(block) >= 4 or any(x.group().lower() == "lorem" for x in block)):
+                n += len(p) if len(p) <= STRETCH else (m.start() if m else len(p)) - block[0].start()
+            block = []
+        if m is not None:
+            block.append(m)
+    return n
+
+
+def repeated(text: str) -> list[tuple[int, int]]:
+    """Stretches in which up to PERIOD words with letters come REPEATS times or more on end, as in "asdf asdf asdf asdf"."""
+    words = text.split()
+    if len(words) < REPEATS or 2 * len(set(words)) > len(words):
+        return []
+    found = list(_WORDS.finditer(text))
+    out: list[tuple[int, int]] = []
+    for period in range(1, PERIOD + 1):
+        begin = 0
+        for i in range(period, len(words) + 1):
+            if i < len(words) and words[i] == words[i - period]:
+                continue
+            if i - begin >= REPEATS * period and all(any(map(str.isalpha, w)) for w in words[begin : begin + period]):
+                out.append((found[begin].start(), found[i - 1].end()))
+            begin = i - period + 1
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
-            n["other"] += len(p)
-            if 3 * n["other"] > 2 * len(text):
-                return 0.0, 0.0, 0.0, 1.0
-    for p in open_:
-        n[kind_of(p)] += len(p)
-        if 3 * n["other"] > 2 * len(text):
-            return 0.0, 0.0, 0.0, 1.0
-    total = n["filler"] + n["error"] + n["script"] + n["other"]
-    if not total:
-        return 0.0, 0.0, 0.0, 0.0
-    return n["filler"] / total, n["error"] / total, n["script"] / total, n["other"] / total
+            merged.append((a, b))
+    return merged
+
+
+def judge(p: str, which: dict[str, list[re.Pattern | None]]) -> tuple[str, int]:
+    """The kind of a passage (script, filler, error or other), and its characters of that kind."""
+    best = ("other", 0)
+    if "script" in which:
+        at = [m.span() for r in which["script"] for m in r.finditer(p)]
+        at = [s for s in at for _, w in [_covered(p, [s])] if _SCRIPT_ASK.search(p, *w[0]) and not _ABOUT.search(p, *w[0])]
+        best = ("script", _covered(p, at)[0])
+    if not best[1] and "lorem" in which:
+        best = ("filler", _lorem(p))
+    for kind in ("filler", "error"):
+        if not best[1] and kind in which:
+            at = [m.span() for r in which[kind] for m in r.finditer(p)]
+            at = [s for s in at for _, w in [_covered(p, [s])] if not _TELLS.search(p, *w[0])]
+            best = (kind, _covered(p, at)[0])
+    return best if best[1] else ("other", 0)
+
+
+def furniture(p: str) -> bool:
+    return len(p) < 80 and bool(_FURNITURE_STRICT.match(p) or _FURNITURE.match(p))
+
+
+def examine(text: str) -> tuple[list[tuple[int, int, str]], dict[str, int], list[str]]:
+    """The unfilled fields of a text, its characters by kind (filler, error, script, other), and its residue passages.
+
+    Every passage counts, whatever its length; a pattern is run on the passages that have a literal it needs.
+    """
+    own, folded = rules(), fold(text)
+    hits = own.hits(folded)
+    present = {r for _, rs in hits for r in rs}
+    fields = template_fields(text, [own.rules[r][1] for r in sorted(present) if own.rules[r][0] in ("field", "ask")]) if any(own.rules[r][0] in ("field", "ask") for r in present) else []
+    n = {"filler": 0, "error": 0, "script": 0, "other": 0}
+    signs = {r for r in present if own.rules[r][0] in ("error", "filler", "script", "lorem")}
+    again = repeated(text)
+    if not signs and not again:
+        return fields, n, []
+    plain = without_code(text)
+    if plain is not text:
+        again = repeated(plain)
+        folded = fold(plain)
+        hits = own.hits(folded)
+    found: dict[tuple[int, int], tuple[str, int]] = {}
+    for (a, b), rs in _places(plain, hits if len(folded) == len(plain) else None, signs).items():
+        which: dict[str, list] = {}
+        for r in sorted(rs):
+            which.setdefault(own.rules[r][0], []).append(own.rules[r][1])
+        kind, chars = judge(plain[a:b], which)
+        if chars:
+            found[a, b] = (kind, chars)
+    if not found and not again:
+        return fields, n, []
+    for a, b in passages(plain):
+        kind, chars = found.get((a, b), ("other", 0))
+        if again and not chars and (chars := sum(max(0, min(b, y) - max(a, x)) for x, y in again)):
+            kind = "filler"
+            found[a, b] = (kind, chars)
+        n[kind] += chars
+        if chars or not furniture(plain[a:b]):
+            n["other"] += b - a - chars
+    return fields, n, [plain[a:b] for a, b in sorted(found)]
+
+
+def residue_share(n: dict[str, int]) -> float:
+    """Share of filler, errors and notices in the characters outside of page furniture."""
+    total = sum(n.values())
+    return (total - n["other"]) / total if total else 0.0

@@ -2,7 +2,7 @@
 
 import pytest
 
-from papyra.llm import gbt, langseg, pii, residue, residue_rules, textclass
+from papyra.llm import gbt, langseg, pii, prefilter, residue, residue_rules, textclass
 
 MENTIONS = [
     ("Please call Tamsin Ulmquist on 020 7946 0268 today.", {("Tamsin", "name"), ("020", "phone")}),
@@ -122,7 +122,7 @@ def test_near_duplicates_against_brute_force(spark):
             docs.append((i * 10 + j, " ".join(other)))
     _, pairs = residue.near_duplicate_classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
     got = {(r.a, r.b) for r in pairs.collect()}
-    sets = {k: set(residue.shingles(residue.word_hashes(t)).tolist()) for k, t in docs}
+    sets = {k: set(residue.shingle_sets([t])[0].tolist()) for k, t in docs}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert got <= want and len(got & want) >= 0.9 * len(want)
 
@@ -152,23 +152,63 @@ def test_training_refuses_a_model_without_trees():
         train_pii.checked("email", gbt.Boosted.fit(np.ones((50, 3), dtype="float32"), np.ones(50)))
 
 
-@pytest.mark.parametrize("n,hot", [(150, None), (300, None), (300, 40)])
-def test_hot_buckets_keep_all_pairs(spark, monkeypatch, n, hot):
+def test_hot_buckets_keep_all_components(spark, monkeypatch):
+    """A group of near copies, a chain that hangs on one of them, and other texts: the same classes with and without hot buckets."""
     import random
 
-    if hot:
-        monkeypatch.setattr(residue, "HOT", hot)
     rng = random.Random(2)
-    # the first 16 bits are shared, each other run of 16 has one bit turned: all are within 30 bits, few share two keys
-    rows = []
-    for i in range(n):
-        bits = [0] * 16
-        for t in range(1, 16):
-            bits[t] = 1 << rng.randrange(16)
-        h = [sum(bits[4 * k + j] << (16 * j) for j in range(4)) for k in range(4)]
-        rows.append((i, 100, *[x - (1 << 64) if x >> 63 else x for x in h]))
-    reps = spark.createDataFrame(rows, "rep bigint, size int, h0 bigint, h1 bigint, h2 bigint, h3 bigint")
-    assert residue.candidate_pairs(reps).count() == n * (n - 1) // 2
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base, docs = [word() for _ in range(150)], []
+    for i in range(80):
+        docs.append([*base[:75], f"x{word()}", *base[76:]])
+    chain = list(base)
+    for k in range(4):  # each link changes two words more, so that the last is far from the base
+        chain[10 + 30 * k] = word()
+        chain[15 + 30 * k] = word()
+        docs.append(list(chain))
+    docs += [[word() for _ in range(150)] for _ in range(30)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    want = {r.doc_id: r.class_id for r in residue.near_duplicate_classes(df)[0].collect()}
+    monkeypatch.setattr(residue, "HOT", 10)
+    got = {r.doc_id: r.class_id for r in residue.near_duplicate_classes(df)[0].collect()}
+    assert got == want and sum(c == 0 for c in want.values()) >= 80
+
+
+FILLED = "Dear {}, thank you for your letter of the third of March about the boxes in the cellar. We have passed it to the archive, which will answer within two weeks. Until then please keep the receipt and do not send the form again. The office is closed on Monday and on the day after the holiday, and the reading room opens at nine."
+
+
+def test_labels_spread_to_near_duplicates(spark):
+    texts = ["{{ customer_name }}", "¦customer_narne¦", "Ms Tamsin Ulmquist", "`customer name`"]
+    body = "The page that you asked for is no longer here because the archive has moved to the new building on the hill beside the river and the old address has been given up for good"
+    rows = [(i, FILLED.format(x)) for i, x in enumerate(texts)] + [(10, f"404 Not Found: {body}"), (11, f"404 Nof Found: {body}")]
+    got = {r.doc_id: r for r in residue.label(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k for k, r in got.items() if r.propagated} == {1, 11} and {k for k, r in got.items() if r.is_residue} == {0, 1, 10, 11}
+
+
+WHOLE = [
+    ("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do " * 34 + "the archive moved ninety boxes into the cellar before the winter came " * 79, False),
+    ("the archive moved ninety boxes into the cellar before the winter came " * 30 + "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do " * 60, True),
+    ("\n".join(f"Menu item {chr(97 + k % 26)}" for k in range(160)) + "\n404 Not Found\nThe page could not be found.", True),
+    ("The server could not complete your request because " + "the upstream service that it depends on has been very busy and " * 4 + "gave an internal server error", True),
+    ("asdf asdf asdf asdf asdf", True), ("foo bar\n" * 6, True), ("n/a | n/a | n/a | n/a |", False), ("Home / Contact Fehler 506 Vorgangsnummer 77380422", True),
+]
+
+
+@pytest.mark.parametrize("text,want", WHOLE)
+def test_residue_counts_whole_texts(text, want):
+    assert (residue_rules.residue_share(residue_rules.examine(text)[1]) > 0.5) == want
+
+
+def test_literals_are_a_sound_filter():
+    """A pattern run on every passage finds nothing that the automaton's literals leave out."""
+    import pyarrow.parquet as pq
+
+    own = residue_rules.rules()
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
+        if text:
+            present = {r for _, rs in own.hits(prefilter.fold(text)) for r in rs}
+            for k, (_, pattern) in enumerate(own.rules):
+                assert pattern is None or k in present or not any(pattern.search(text[a:b]) for a, b in residue_rules.passages(text)), pattern
 
 
 def test_redacted_entries_of_arrays(spark):
@@ -195,7 +235,7 @@ def test_recall_between_the_threshold_and_nine_tenths(spark):
         other = list(base)
         for at in rng.sample(range(200), rng.randrange(2, 6)):
             other[at] = "zz" + "".join(rng.choice("abcdef") for _ in range(6))
-        a, b = (set(residue.shingles(residue.word_hashes(" ".join(t))).tolist()) for t in (base, other))
+        a, b = (set(residue.shingle_sets([" ".join(t)])[0].tolist()) for t in (base, other))
         if 0.8 <= len(a & b) / len(a | b) <= 0.9:
             docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(other))]
     _, pairs = residue.near_duplicate_classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
