@@ -179,7 +179,7 @@ FILLED = "Dear {}, thank you for your letter of the third of March about the box
 
 def test_labels_spread_to_near_duplicates(spark):
     texts = ["{{ customer_name }}", "¦customer_narne¦", "Ms Tamsin Ulmquist", "`customer name`"]
-    body = "The page that you asked for is no longer here because the archive has moved to the new building on the hill beside the river and the old address has been given up for good"
+    body = "The page that you asked for is no longer here since our archive has moved to the new building on the hill beside the river and the old address has been given up for good"
     rows = [(i, FILLED.format(x)) for i, x in enumerate(texts)] + [(10, f"404 Not Found: {body}"), (11, f"404 Nof Found: {body}")]
     got = {r.doc_id: r for r in residue.label(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {k for k, r in got.items() if r.propagated} == {1, 11} and {k for k, r in got.items() if r.is_residue} == {0, 1, 10, 11}
