@@ -74,7 +74,7 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyra.llm.split import split_oversized
 
-    return split_oversized(table(spark, sf_dir, "chunks"), with_pieces=False).select("chunk_id", "cut_at").distinct()
+    return split_oversized(table(spark, sf_dir, "chunks"), with_pieces=False).filter("piece_no = 0").select("chunk_id", "cut_at").distinct()
 
 
 @query

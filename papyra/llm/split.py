@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.tokenise import TOKENIZER_PATH, Encoder
-from papyra.session import spread
 
 LIMIT, OVERLAP = 1000, (100, 200)
 #: Words on each side of a boundary whose counts are compared.
@@ -101,6 +100,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP, fo
     """(start, end) of each piece, in order, white space at both ends left out."""
     found = found or boundaries(text)
     cohesion, out, start, n = Cohesion(text), [], 0, len(text)
+    last = len(text.rstrip(WHITE))
 
     def within(own: list[int], low: int, high: int) -> list[int]:
         return own[bisect.bisect_left(own, low) : bisect.bisect_right(own, high)]
@@ -110,8 +110,8 @@ def pieces(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP, fo
             start += 1
         if start >= n:
             break
-        if len(text[start:].rstrip(WHITE)) <= limit:
-            out.append((start, len(text.rstrip(WHITE))))
+        if last - start <= limit:
+            out.append((start, last))
             break
         top = start + limit
         while top < n and text[top] in WHITE:  # white space after the last sign doesn't count
@@ -141,6 +141,12 @@ def pieces(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP, fo
     return out
 
 
+def byte_places(text: str) -> np.ndarray:
+    """The place in UTF-8 of each character of a text, and of its end."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])
+
+
 def _first(text: str, at: int) -> int:
     while at < len(text) and text[at] in WHITE:
         at += 1
@@ -153,8 +159,9 @@ _own: dict[str, Encoder] = {}
 def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "content", limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP, ranks_path: str = TOKENIZER_PATH, with_pieces: bool = True) -> DataFrame:
     """One row for each piece: key, cut_at, piece_no, char_start, char_end, byte_start, byte_end, token_count, content.
 
-    Only oversized rows leave the scan; repeated rows are dropped by key and text. With `with_pieces` off, the
-    pieces' text and token counts are left out, which callers that only want places or cut_at save.
+    Only oversized rows leave the scan; repeated rows are dropped by key and text, and that shuffle also spreads the
+    work. With `with_pieces` off, the pieces' text and token counts are left out, which callers that only want places
+    or cut_at save. cut_at is a property of all boundaries, the same in each row of a text.
     """
     kind = dict(df.dtypes)[key]
     big = df.select(F.col(key), F.col(text)).filter(F.length(text) > limit).dropDuplicates([key, text])
@@ -167,8 +174,7 @@ def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "content",
             for row, t in enumerate(batch.column(1).to_pylist()):
                 found = boundaries(t)
                 level = cut_level(t, limit, found)
-                at, byte = 0, 0
-                sizes = None if t.isascii() else np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "replace")) for c in t])])
+                sizes = None if t.isascii() else byte_places(t)
                 for no, (a, b) in enumerate(pieces(t, limit, overlap, found)):
                     keys.append(row)
                     values = (level, no, a, b, a if sizes is None else int(sizes[a]), b if sizes is None else int(sizes[b]), 0, t[a:b] if with_pieces else None)
@@ -181,4 +187,4 @@ def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "content",
             types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *[pa.array(v, t) for v, t in zip(cols.values(), types)]], [key, *cols])
 
-    return spread(big, key).mapInArrow(run, f"`{key}` {kind}, cut_at string, piece_no int, char_start bigint, char_end bigint, byte_start bigint, byte_end bigint, token_count bigint, content string")
+    return big.mapInArrow(run, f"`{key}` {kind}, cut_at string, piece_no int, char_start bigint, char_end bigint, byte_start bigint, byte_end bigint, token_count bigint, content string")
