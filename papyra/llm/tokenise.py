@@ -3,8 +3,10 @@
 The frequent words of the corpus (counts over all documents) are compiled once into a minimal acyclic
 automaton with shared suffixes. Every arc carries the number of words that sort before it, so that the sum
 along a path is the word's rank (the transducer's output), and the rank addresses the word's ids. The
-automaton is four flat arrays in one file in the shared folder; every Python worker memory-maps that file, so
-it is in memory once per machine. Words that the automaton lacks are merged exactly by the vocabulary's ranks.
+automaton is a few flat arrays in the shared folder; every Python worker memory-maps those files, so the lexicon is in
+memory once per machine. Words that the automaton lacks are merged exactly by the vocabulary's ranks. In front of both,
+each worker keeps the ids of the pieces it met last (at most MEMO entries, then it starts anew), since a repeated piece
+needs no second walk through the automaton; the ids are the same with and without it.
 
 Results: null and empty texts give the empty list; strings that look like special tokens are ordinary text;
 white-space runs, unusual Unicode and very long words are encoded in full. Rows are never dropped or doubled;
@@ -13,10 +15,13 @@ columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import atexit
 import base64
 import itertools
 import os
 import re
+import shutil
+import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -329,11 +334,19 @@ def build_lexicon(docs: DataFrame, text: str = "text", ranks_path: str = TOKENIZ
     if path.startswith("file:") or "://" not in path:
         local = re.sub("^file:/*", "/", path)
         automaton.save(local)
+        _dropped_at_exit(local)
         return local, ranks
-    here = f"{path.rsplit('/', 1)[1]}"  # a shared folder that isn't a file system: the files travel with the job
+    # a shared folder that isn't a file system: the files travel with the job from a temporary folder of the driver
+    here = f"{tempfile.mkdtemp(prefix='papyra-')}/{path.rsplit('/', 1)[1]}"
     automaton.save(here)
     spark.sparkContext.addFile(here, recursive=True)
-    return f"sparkfile:{here}", ranks
+    _dropped_at_exit(os.path.dirname(here))
+    return f"sparkfile:{os.path.basename(here)}", ranks
+
+
+def _dropped_at_exit(path: str) -> None:
+    """Lexicons are needed as long as frames made with them may run, so they go with the driver."""
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
 
 
 _workers: dict[str, Encoder] = {}
@@ -374,21 +387,21 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path:
     return docs.mapInArrow(run, f"`{key}` {_id_type(docs, key)}, ids array<int>")
 
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), ranks_path: str = TOKENIZER_PATH, words: int = LEXICON_WORDS) -> DataFrame:
-    """(key, *keep, n_tokens): number of tokens of each row's text; 0 for null and empty texts."""
+def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), ranks_path: str = TOKENIZER_PATH) -> DataFrame:
+    """(key, *keep, n_tokens): number of tokens of each row's text; 0 for null and empty texts.
+
+    Counting needs no lexicon, so the texts are read once.
+    """
     docs = spread(docs.select(key, *keep, text), key)
-    path, ranks = build_lexicon(docs, text, ranks_path, words)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    with open(ranks_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # under 1 MB, the public vocabulary
     schema = ", ".join(f"`{c}` {_id_type(docs, c)}" for c in (key, *keep)) + ", n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(path, shared.value)
+        if "count" not in _workers:
+            _workers["count"] = Encoder(shared.value, None)
         for batch in batches:
-            n = own.count_all(batch.column(batch.num_columns - 1).to_pylist())
+            n = _workers["count"].count_all(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [key, *keep, "n_tokens"])
 
     return docs.mapInArrow(run, schema)
-
-
-def session_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
