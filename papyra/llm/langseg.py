@@ -6,7 +6,8 @@ between blank lines) has the language with most of its text; blocks with too few
 blocks around them. See train_langseg.py for the fit.
 
 Results: null, blank and junk contents have no language; a text without words has none either; ties go to the
-first code in order; a repeated row counts once. Texts are read whole. Extra columns are not read.
+first code in order; a repeated row counts once. Stretches in a language that isn't among the ten come out neither as
+findings nor as segments, and break the runs around them. Texts are read whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,17 @@ CODES = {
     "rus": "ru rus russian русский", "spa": "es spa spanish español espanol castellano",
 }
 _OF_CODE = {c: lang for lang, cs in CODES.items() for c in cs.split()}
-#: Size of the table of hashed features; words in a chain; words that a block needs for a language of its own.
-BUCKETS, CHAIN, FEW = 1 << 15, 64, 4
+#: Size of the table of hashed features; words that a block needs for a language of its own.
+BUCKETS, FEW = 1 << 15, 4
+#: Words that are worked on together: memory for the chains of a batch, whose lengths may differ widely.
+TOGETHER = 1 << 18
+#: The language of a block that is in none of LANGS, and the share of foreign letters that makes it so.
+UNKNOWN, FOREIGN = -2, 0.03
+#: Letters beyond a to z of each language (all letters, for Cyrillic); a Japanese text has kana.
+LETTERS = {
+    "deu": "äöüßéà", "eng": "éèêïöçñà", "fra": "àâæçéèêëîïôœùûüÿ", "ita": "àèéìíîòóùú", "nld": "áéèëêïíóöüúĳ", "pol": "ąćęłńóśźżé", "por": "áâãàçéêíóôõúü", "spa": "áéíñóúüç",
+    "rus": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя",
+}
 #: A block needs this share of its text for a language of its own; a sole language below it doesn't overrule a label.
 SURE = 0.75
 #: And this share, where it isn't the language of most of the whole text.
@@ -81,9 +92,38 @@ def words_of(block: str) -> list[str]:
     return out
 
 
+def foreign(block: str, lang: str) -> bool:
+    """Whether the letters of a block tell that it isn't in its language.
+
+    Of the letters in the language's script more than FOREIGN are none of its own, or most letters are in another
+    script; Han text without kana is Chinese where Chinese particles are frequent.
+    """
+    if block.isascii():
+        return lang in ("rus", "jpn")
+    if lang == "jpn":
+        signs = sum("\u3040" <= c <= "\u9fff" for c in block)
+        return not _KANA.search(block) and sum(c in CHINESE for c in block) > FOREIGN * max(signs, 1)
+    own, inside, odd, other = _OWN[lang], 0, 0, 0
+    low, high = (0x400, 0x530) if lang == "rus" else (0, 0x250)
+    for c, k in Counter(block.lower()).items():
+        if c.isalpha():
+            if low <= ord(c) < high:
+                inside += k
+                odd += k if c not in own else 0
+            else:
+                other += k
+    return odd > FOREIGN * inside or other > 2 * inside
+
+
+#: Fixed value: the most frequent particles and pronouns of written Chinese.
+CHINESE = frozenset("的了是我们們这這个個不他她在吗嗎没沒")
+_KANA = re.compile("[\u3040-\u30ff]")
+_OWN = {lang: frozenset(signs if lang == "rus" else signs + "abcdefghijklmnopqrstuvwxyz") for lang, signs in LETTERS.items()}
+
+
 def word_features(word: str) -> list[int]:
     """Buckets of a word's features: the word, prefixes, suffixes, character n-grams and script."""
-    w = word[:24]
+    w = word
     if w[0] >= "぀":
         keys = ["script:cjk", *["c:" + c for c in w[:4]]]
     elif "Ѐ" <= w[0] <= "ӿ":
@@ -133,9 +173,13 @@ class Field:
         order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
         trans = np.exp(self.transition - self.transition.max())
         first = np.exp(self.begin - self.begin.max())
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
-            longest = len(chains[part[-1]])
+        parts: list[list[int]] = [[]]
+        for i in order:
+            if parts[-1] and (len(parts[-1]) + 1) * len(chains[i]) > TOGETHER:
+                parts.append([])
+            parts[-1].append(i)
+        for part in parts:
+            longest = len(chains[part[-1]]) if part else 0
             if not longest:
                 continue
             e = np.zeros((len(part), longest, len(LANGS)), dtype=np.float32)
@@ -173,24 +217,23 @@ def field() -> Field:
 
 
 def block_languages(texts: list[str]) -> list[list[tuple[int, float]]]:
-    """For each text and block (language, confidence); language -1 where no block of the text has enough words."""
+    """For each text and block (language, confidence); language -1 where no block of the text has enough words, UNKNOWN where it is none of LANGS."""
     own = field()
     words: list[str] = []
     sizes: list[int] = []
     shape: list[int] = []
+    blocks: list[str] = []
     for t in texts:
         bs = blocks_of(t)
         shape.append(len(bs))
+        blocks += bs
         for b in bs:
             ws = words_of(b)
             words += ws
             sizes.append(len(ws))
     ids = own.scores_of(words)
-    chains, at = [], 0
-    for n in sizes:
-        for lo in range(0, n, CHAIN):
-            chains.append(ids[at + lo : at + min(n, lo + CHAIN)])
-        at += n
+    ends = np.cumsum(sizes)
+    chains = [ids[e - n : e] for e, n in zip(ends, sizes)]
     p = own.posteriors(chains)
     weight = np.fromiter(map(len, words), dtype=np.float32, count=len(words))
     many = len(sizes)
@@ -218,8 +261,9 @@ def block_languages(texts: list[str]) -> list[list[tuple[int, float]]]:
                 if enough[i]:
                     last = int(best[at + i])
                     got.append((last, float(sure[at + i])))
-                else:
-                    got.append((last, 0.5))
+                else:  # too short to tell: the language of the blocks around it, with the mass it has here
+                    got.append((last, float(mass[at + i, last] / total[at + i]) if total[at + i] else float(sure[at : at + n][enough].max())))
+        got = [(UNKNOWN, c) if k >= 0 and counts[at + i] >= FEW and foreign(blocks[at + i], LANGS[k]) else (k, c) for i, (k, c) in enumerate(got)]
         out.append(got)
         at += n
     return out
@@ -227,21 +271,23 @@ def block_languages(texts: list[str]) -> list[list[tuple[int, float]]]:
 
 def findings(langs: list[tuple[int, float]], labels: list[str | None] | None) -> list[tuple[int, str, float]]:
     """(block_no, language, confidence): runs of blocks if languages differ, else the one language where the label isn't exactly it."""
-    langs = [x for x in langs if x[0] >= 0]
-    if not langs:
+    known = [x for x in langs if x[0] >= 0]
+    if not known:
         return []
-    if len({k for k, _ in langs}) == 1:
-        lang = LANGS[langs[0][0]]
+    if len({k for k, _ in known}) == 1 and len(known) == len([x for x in langs if x[0] != -1]):
+        lang = LANGS[known[0][0]]
         named = {label_of(c) for c in labels or []}
-        sure = max(c for _, c in langs)
+        sure = max(c for _, c in known)
         if named == {lang} or sure < SURE and len(named) == 1 and None not in named:
             return []
         return [(0, lang, sure)]
     out, last = [], -1
     for i, (k, c) in enumerate(langs):
-        if k != last:
+        if k == -1:
+            continue
+        if k != last and k >= 0:
             out.append((i, LANGS[k], c))
-            last = k
+        last = k
     return out
 
 

@@ -14,9 +14,11 @@ import sys
 import numpy as np
 
 from papyra.llm import gbt
-from papyra.llm.langseg import BUCKETS, CHAIN, LANGS, label_of, word_features, words_of
+from papyra.llm.langseg import BUCKETS, LANGS, label_of, word_features, words_of
 
 SAMPLE, CHAINS, STEPS = 6_000, 9_000, 60
+#: Words of a made-up chain.
+CHAIN = 64
 
 #: Function words that vote on a text's language in training.
 _VOTES = {
