@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHUFFLES = re.compile(r"^[\s:+-]*(?:Aggregate|Join|Repartition\w*|RebalancePartitions|Sort|Distinct|Deduplicate|Window|Intersect|Except)\b", re.M)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let the Python workers find this package where it lies, whatever folder the driver was started in.
 
@@ -46,14 +52,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, set to a new local folder only where unset.
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a session on one machine gets a new temporary folder, dropped at exit; on a cluster that fails.
 
     Returned as the URI or path that the session names; a fresh subfolder is to be made by the caller.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="papyra-checkpoint-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -74,9 +85,10 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread rows when a handful of input splits would leave most of the cores idle.
 
-    Large inputs have at least as many splits as cores and stay as they are, so no shuffle is added there.
+    Large inputs have at least as many splits as cores and stay as they are, so no shuffle is added there. A frame that
+    holds a shuffle is spread by it already; asking for its splits would run it.
     """
     cores = ship(df.sparkSession).sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()) or df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
