@@ -2,8 +2,10 @@
 
 Generators with high recall propose spans, which may overlap; boosted trees judge each span by its format and
 context; thresholds calibrated by kind select the mentions, and overlaps are resolved by probability. The
-generators anchor on cheap signs (an @, a run of digits, a word of the name lexicon), so that plain text costs
-little. The name lexicon and the evidence of neighbouring words are learned in training; see train_pii.py.
+generators anchor on cheap signs (an @, a run of digits, a capital), so that plain text costs little. Words of names
+come from the input's own mail headers and from a short list of common given names; names without any listed word are
+proposed by form (capitalised words in a row, initials, particles, "Family, Given", a word alone on its line) and
+judged by context. No name of the training data is kept. The evidence of neighbouring words is learned; see train_pii.py.
 
 Results: null, blank and junk texts have no mentions; a repeated row counts once; positions count Unicode
 characters from 0 and exclude labels, titles, quotes and brackets; names inside e-mail addresses don't count.
@@ -68,17 +70,18 @@ _TOWN_BEFORE_EN = re.compile(r"[A-Z][a-z]+,?\s[A-Z]{1,2}\s?\d{1,5}(?:\s\d[A-Z]{2
 #: Titles, greetings and the like before a name.
 _TITLE = re.compile(r"(?:\b(?:Mrs?|Ms|Miss|Mx|Dr|Prof|Sir|Herrn?|Frau|Fr|Mme|Mlle|Madame|Monsieur|M|Sra?|Srta|Se[ñn]ora?|Don|Doña|Sig|Dott)\.?)\s$", re.I)
 _CUE = re.compile(r"(?:\b(?:Dear|Hello|Hi|Hallo|Liebe[r]?|Sehr geehrte[r]? (?:Herr|Frau)|Guten Tag|Good (?:morning|afternoon)|Bonjour|Cher|Ch[èe]re|Salut|Hola|Estimad[oa]|Querid[oa]|Mrs?|Ms|Dr|Prof|Herrn?|Frau|Mme|Mlle|Madame|Monsieur|Sra?|Srta|Se[ñn]ora?)\b\.?,?)\s+(?=([A-ZÀ-Þ][\w'’-]+(?:[ ](?:[A-Z]\.[ ])?(?:(?:von|van|de|di|da|del|der)[ ])?[A-ZÀ-Þ][\w'’-]+){0,2}))")
+_GREETED = re.compile(r"(?:^|[\n>])[ ]?(?:Dear|Hello|Hi|Hallo|Liebe[r]?|Guten Tag|Good (?:morning|afternoon)|Bonjour|Cher|Ch[èe]re|Salut|Hola|Estimad[oa]|Querid[oa])\b,?\s+$")
 _PARTICLE = {"von", "van", "de", "di", "da", "del", "der", "den", "du", "la", "le", "zu", "y", "ten", "ter", "dos", "das", "della"}
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CAP = r"[A-ZÀ-Þ][^\W\d_]*[a-zß-ÿ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 _LINK = r"(?:[A-Z]\.[ ])?(?:(?:von|van|de la|de|di|da|del|der|zu|du|ten)[ ])?"
-#: Capitalised words in a row, joined by initials and particles.
-_RUN = re.compile(rf"(?<![\w@./'’-]){_CAP}(?:[ ]{_LINK}{_CAP})+(?![\w@])")
-_RUN_WORD = re.compile(_CAP)
-#: One capitalised word alone on its line, as in signatures, and a family name before the given one, as in senders.
-_ALONE = re.compile(rf"^(?:> ?)*({_CAP})[ ]?$", re.M)
-_TURNED = re.compile(rf"(?<![\w@./'’-])({_CAP},[ ]{_CAP})(?=\"?[ ]?<)")
+#: A capitalised word, with parts joined by hyphens or apostrophes, or an initial.
+_CAPITAL = re.compile(r"[A-ZÀ-Þ](?:\.(?!\w)|[^\W\d_]*(?:[-'’][^\W\d_]+)*)")
+#: What may stand between the words of a name: a space, and a particle.
+_BETWEEN = re.compile(r"[ \xa0](?:(?:von|van|de la|de|di|da|del|der|zu|du|ten)[ ])?")
+_PARTS = re.compile(r"(?:[-'’][A-ZÀ-Þ][^\W\d_]+)+")
+#: Words of greetings and titles, which are no part of a name.
+_NO_NAME = frozenset("dear hello hi hallo lieber liebe guten tag herr herrn frau bonjour cher chère salut hola estimado estimada querido querida mr mrs ms miss mx dr prof sir mme mlle madame monsieur señor señora sr sra srta don doña sig signor signora gentile caro cara geachte beste szanowny szanowna pan pani".split())
 _DIGITS = re.compile(r"\d")
 
 
@@ -91,8 +94,16 @@ _STREET_ENDS = "str. straße strasse weg platz ring allee gasse ufer damm steig
 _STREET_HEADS = "rue avenue av. allée allee impasse quai place pl. boulevard bd chemin cours passage square route ruelle voie sentier calle c/ avda avda. avenida paseo plaza pza pza. camino ronda travesía carrera glorieta vía am im zum zur".split()
 
 
+#: Common given names of the languages here, so that they count as such in any input.
+GIVEN = """aaron adam agnieszka ahmed alan albert alejandro alexander alice amelia amina amy ana andrea andreas andrew andrzej angela anita anna anne antonio barbara beatriz ben bernard birgit brian carla carlos carmen caroline catherine
+charles charlotte chiara christian christine christopher claire clara claudia daniel david deborah dennis diana diego dieter dmitri dorothy edward elena elias elisabeth elizabeth emily emma eric erik eva fatima felix fernando
+francesca francesco frank frederic gabriel george giovanni giulia grace hans heinz helen helena henri henry ines ingrid irina isabel ivan jacob james jan jane javier jean jennifer jens jessica joan johannes john jonas jose
+joseph juan julia julie jürgen karen karl katarzyna katharina kevin klaus krzysztof lars laura leon liam linda lisa louis lucas lucia lukas manuel marco margaret maria marie mark markus marta martin mary matteo matthew maurice
+max michael michel miguel mohammed monika natalia nicolas nina oliver olga pablo patricia patrick paul peter petra philippe pierre piotr priya rachel richard robert roberto""".split()
+
+
 class Lexicon:
-    """Words of names from mail headers, and anchors of other generators, found by one pass of a keyword automaton."""
+    """Words of names from mail headers, common given names, and anchors of other generators, found by one pass of a keyword automaton."""
 
     def __init__(self, words: dict[str, str]):
         import ahocorasick
@@ -101,7 +112,9 @@ class Lexicon:
         for k, group in (("i", _ID_ANCHORS), ("d", _STREET_ENDS), ("s", _STREET_HEADS), ("e", _EN_TYPES.split("|"))):
             for w in group:
                 kinds.setdefault(w, set()).add(k)
-        for w, k in words.items():
+        #: Common names that no header has count where they are written with a capital: some are words of a language.
+        self.common = frozenset(GIVEN) - set(words)
+        for w, k in {**dict.fromkeys(GIVEN, "g"), **words}.items():
             kinds.setdefault(w, set()).add(k)
         self.auto = ahocorasick.Automaton()
         for w, ks in kinds.items():
@@ -187,14 +200,13 @@ def emails(text: str) -> list[tuple[int, int]]:
         if m.start() < at:
             continue
         lo = m.start()
-        while lo > 0 and m.start() - lo < 66 and (text[lo - 1].isalnum() or text[lo - 1] in "._+%'-" or (m.start() - lo < 2 and text[lo - 1].isspace())):
+        while lo > 0 and (text[lo - 1].isalnum() or text[lo - 1] in "._+%'-" or (m.start() - lo < 2 and text[lo - 1].isspace())):
             lo -= 1
         while lo < m.start() and not text[lo].isalnum():
             lo += 1
-        got = _EMAIL.match(text, lo, m.end() + 120)
-        if not got:
-            got = _EMAIL.search(text, max(0, m.start() - 66), m.end() + 120)
-            got = got if got and got.start() <= m.start() < got.end() else None
+        got = _EMAIL.match(text, lo)
+        if not got or not got.start() <= m.start() < got.end():  # its first word holds no @: from the next word on
+            got = next((g for k in _WORD.finditer(text, lo, m.start()) if (g := _EMAIL.match(text, k.start())) and g.start() <= m.start() < g.end()), None)
         if got:
             out.append(got.span())
             at = got.end()
@@ -299,6 +311,8 @@ def names(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int,
         runs.append([a, b, k])
     spans = {}
     for a, b, shape in runs:
+        if a > 1 and text[a - 1] == "-" and text[a - 2].isalpha():
+            continue  # a part of a double name whose other part isn't listed
         # to the left: O', an initial, a particle; to the right an initial after a lone given name
         while True:
             before = text[max(0, a - 8) : a]
@@ -307,7 +321,9 @@ def names(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int,
                 break
             a -= len(m.group())
         m = re.match(r"\s[A-Z]\.(?!\w)", text[b : b + 4]) if shape[-1] == "g" else None
-        spans[a] = (a, b + (len(m.group()) if m else 0), shape)
+        b += len(m.group()) if m else 0
+        m = _PARTS.match(text, b)  # the rest of a double name
+        spans[a] = (a, m.end(), shape + "u") if m else (a, b, shape)
     for m in _CUE.finditer(text):
         a, b = m.span(1)
         if a not in spans and not any(x < b and a < y for x, y, _ in spans.values()) and not any(x <= a < y for x, y in taken):
@@ -316,20 +332,59 @@ def names(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int,
 
 
 def capitalised(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int, int]], known: set[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Names by form alone: each two and three capitalised words in a row, words alone on a line, turned names. The shape has u for a word that isn't in the lexicon."""
+    """Names by form alone: two and three capitalised words or initials in a row, "Family, Given", words alone on a line.
+
+    The shape has u for a word that isn't in the lexicon, i for an initial.
+    """
     kinds = {(a, b): k for a, b, k in tokens}
-    spans: set[tuple[int, int]] = {m.span(1) for p in (_ALONE, _TURNED) for m in p.finditer(text)}
-    for run in _RUN.finditer(text):
-        ws = [m.span() for m in _RUN_WORD.finditer(text, run.start(), run.end())]
-        spans |= {(ws[i][0], ws[i + n - 1][1]) for n in (2, 3) for i in range(len(ws) - n + 1)}
+    runs: list[list[tuple[int, int]]] = []
+    spans: set[tuple[int, int]] = set()
+    last, n = -1, len(text)
+    for m in _CAPITAL.finditer(text):
+        a, b = m.span()
+        if a and (text[a - 1].isalnum() or text[a - 1] in "@_./'’-") or b < n and (text[b].isalnum() or text[b] in "@_"):
+            last = -1
+            continue
+        if b - a == 1 or text[a:b].lower() in _NO_NAME:
+            last = -1
+            continue
+        if text[a:b] == "M." and _french(text[max(0, a - 60) : b + 40]):
+            last = -1  # a title
+            continue
+        gap = text[last:a] if last >= 0 and a - last <= 7 else None
+        if gap is not None and _BETWEEN.fullmatch(gap):
+            runs[-1].append((a, b))
+        else:
+            if gap == ", " and text[b - 1] != "." and text[last - 1] != ".":
+                spans.add((runs[-1][-1][0], b))
+            runs.append([(a, b)])
+        last = b
+    for run in runs:
+        if len(run) == 1:
+            (a, b), = run
+            if text[b - 1] != "." and (b == n or text[b] in "\r\n" or text[b : b + 2] in (" \n", " ")) and not text[text.rfind("\n", 0, a) + 1 : a].strip("> "):
+                spans.add((a, b))
+        for k in (2, 3):
+            spans |= {(run[i][0], run[i + k - 1][1]) for i in range(len(run) - k + 1) if text[run[i + k - 1][1] - 1] != "."}
     out = []
     for a, b in sorted(spans - known):
         if taken and any(x < b and a < y for x, y in taken):
             continue
-        out.append((a, b, "".join(kinds.get(m.span(), "u") for m in _RUN_WORD.finditer(text, a, b))))
+        words = [m.span() for m in _CAPITAL.finditer(text, a, b) if m.end() - m.start() > 1]
+        if len(words) > 1 and all(y - x <= 4 and text[x:y].isupper() for x, y in words):
+            continue  # a row of abbreviations
+        out.append((a, b, "".join("i" if text[y - 1] == "." else _kind(kinds, text, x, y) for x, y in words)))
     return out
 
 
+def _kind(kinds: dict[tuple[int, int], str], text: str, a: int, b: int) -> str:
+    """The kind of a word in the lexicon; of a joined one, that of its parts."""
+    if (a, b) in kinds:
+        return kinds[a, b]
+    parts = [kinds.get(m.span()) for m in _WORD.finditer(text, a, b)]
+    return parts[-1] if parts and all(parts) else "u"
+
+
 # ---------------------------------------------------------------- features
 
 
@@ -349,26 +404,33 @@ def shape_of(span: str) -> str:
 
 _CAP_BEFORE = re.compile(r"(?:[A-ZÀ-Þ][\w'’-]*[^\W\d_],?|(?<!\w)[A-Z]\.)[ ]$")
 _CAP_AFTER = re.compile(rf"[ ]{_LINK}[A-ZÀ-Þ][^\W\d_]")
+_DATED = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}$")
+#: A list or table right under a line, which makes the line a heading.
+_ITEM_AFTER = re.compile(r"\s*\n\s*(?:[-–•*+]|\[|\(?\w[.)]|\d+(?:\.\d+)*[.)]?\s|[^\n]{0,24}(?:[|;\t/]|: ))")
+_GROUP = re.compile(r"\d+")
 #: What follows a given name whose family name the lexicon lacks: an initial, a particle, a hyphen, a word on the next line.
 _NAME_AFTER = re.compile(rf"[-'’][A-ZÀ-Þ]|,[ ][A-ZÀ-Þ]|[ ](?:[A-Z]\.[ ]|(?:von|van|de|di|da|del|der|zu|du|ten)[ ])|\r?\n(?:> ?)*[A-ZÀ-Þ][^\W\d_]")
-NUMERIC = ("length", "digits", "letters", "upper", "spaces", "dots", "dashes", "slashes", "plus", "paren", "first_zero", "groups", "line_start", "line_end", "tabular", "prev_digit", "next_digit", "title", "given", "family", "unknown", "commas", "dated", "in_word", "lower_text", "cap_before", "cap_after", "name_after", "at_first", "odd_end", "bare_host")
+NUMERIC = ("length", "digits", "letters", "upper", "spaces", "dots", "dashes", "slashes", "plus", "paren", "first_zero", "groups", "line_start", "line_end", "tabular", "prev_digit", "next_digit", "title", "given", "family", "unknown", "commas", "dated", "in_word", "lower_text", "cap_before", "cap_after", "name_after", "at_first", "odd_end", "bare_host", "initials", "all_upper", "agrees", "blank_after", "at_start", "greeted", "list_after")
 EVIDENCE = ("prev1", "prev2", "prev3", "next1", "next2", "shape", "first", "last")
 #: Evidence of a name's own words counts against it only, so that trees don't learn the names of the training data by heart.
 AGAINST = ("first", "last")
 
 
-def describe(text: str, a: int, b: int, shape: str, lower_text: bool) -> tuple[list[float], tuple[str, ...]]:
-    """Numbers and evidence keys of one span."""
+def mail_locals(text: str, mail: list[tuple[int, int]]) -> list[str]:
+    """The folded parts before the @ of a text's addresses."""
+    return [fold(text[a:b].partition("@")[0]) for a, b in mail]
+
+
+def describe(text: str, a: int, b: int, shape: str, lower_text: bool, locals_: list[str] = ()) -> tuple[list[float], tuple[str, ...]]:
+    """Numbers and evidence keys of one span; shape is that of a name, else empty."""
     s = text[a:b]
-    digits = sum(map(str.isdigit, s))
-    letters = sum(map(str.isalpha, s))
     left, right = text[max(0, a - 40) : a], text[b : b + 30]
-    lt, rt = _TOKENS.findall(left), _TOKENS.findall(right)
+    lt, rt = _TOKENS.findall(left[-24:]), _TOKENS.findall(right[:24])
     line = left.rpartition("\n")[2] if "\n" in left else left
     own = _WORD.findall(s)
     keys = (
         masked(lt[-1]) if lt else "^",
-        masked(" ".join(lt[-2:])) if len(lt) > 1 else "^",
+        masked(f"{lt[-2]} {lt[-1]}") if len(lt) > 1 else "^",
         masked(lt[-2]) if len(lt) > 1 else "^",
         masked(rt[0]) if rt else "$",
         masked(rt[1]) if len(rt) > 1 else "$",
@@ -376,13 +438,16 @@ def describe(text: str, a: int, b: int, shape: str, lower_text: bool) -> tuple[l
         own[0].lower() if own else "",
         own[-1].lower() if own else "",
     )
+    digits = 0 if shape else sum(map(str.isdigit, s))
     values = [
-        b - a, digits, letters, sum(map(str.isupper, s)), s.count(" ") + s.count("\xa0"), s.count("."), s.count("-"), s.count("/"), s.startswith("+"), "(" in s,
-        s.lstrip("+(").startswith("0"), len(re.findall(r"\d+", s)), not line.strip(" >"), right.startswith(("\n", "\r")) or not right, sum(map(left.count, "|\t;")) + sum(map(right.count, "|\t;")),
+        b - a, digits, sum(map(str.isalpha, s)), sum(map(str.isupper, s)), s.count(" ") + s.count("\xa0"), s.count("."), s.count("-"), s.count("/"), s[:1] == "+", "(" in s,
+        not shape and s.lstrip("+(").startswith("0"), 0 if shape else len(_GROUP.findall(s)), not line.strip(" >"), right[:1] in "\r\n", sum(map(left.count, "|\t;")) + sum(map(right.count, "|\t;")),
         left[-1:].isdigit() or left[-2:-1].isdigit(), right[:1].isdigit() or right[1:2].isdigit(), bool(_TITLE.search(left)), shape.count("g"), shape.count("f"), shape.count("u"), s.count(","),
-        bool(re.match(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}$", s)), left[-1:].isalnum() or left[-1:] in "@_", lower_text,
-        bool(_CAP_BEFORE.search(left)), bool(_CAP_AFTER.match(right)), bool(_NAME_AFTER.match(right)),
-        s.startswith("@"), not s[-2:].isalpha(), "@" in s and "." not in s.rpartition("@")[2],
+        not shape and bool(_DATED.match(s)), left[-1:].isalnum() or left[-1:] in "@_", lower_text,
+        bool(_CAP_BEFORE.search(left[-30:])), bool(_CAP_AFTER.match(right)), bool(_NAME_AFTER.match(right)),
+        s[:1] == "@", not s[-2:].isalpha(), "@" in s and "." not in s.rpartition("@")[2],
+        shape.count("i"), s.isupper(), bool(shape and locals_ and len(own[-1]) > 2 and any(fold(own[-1]) in x or len(own) > 1 and len(own[0]) > 2 and fold(own[0]) in x for x in locals_)),
+        right.startswith(("\n\n", "\r\n\r\n")), not text[max(0, a - 3) : a].strip("# "), bool(_GREETED.search(left[-24:])), bool(_ITEM_AFTER.match(right)),
     ]
     return [float(v) for v in values], keys
 
@@ -393,6 +458,7 @@ def candidates(text: str, lexicon: Lexicon, hidden: Callable[[str], bool] | None
     mail = emails(text)
     low = _lower(text)
     words, anchors = lexicon.find(low)
+    words = [w for w in words if text[w[0]].isupper() or low[w[0] : w[1]] not in lexicon.common]
     if hidden:
         words = [w for w in words if not hidden(low[w[0] : w[1]])]
     out += [("email", a, b, "") for a, b in [*mail, *address_like(text, mail)]]
@@ -408,11 +474,11 @@ def candidates(text: str, lexicon: Lexicon, hidden: Callable[[str], bool] | None
 
 
 class Judge:
-    """Lexicon, evidence tables, trees and thresholds of the trained model."""
+    """Evidence tables, trees and thresholds of the trained model, and the lexicon of the input at hand."""
 
     def __init__(self, words: dict[str, str] | None = None) -> None:
         self.models, more = gbt.load("pii")
-        self.lexicon = Lexicon({**(words or {}), **more["lexicon"]})
+        self.lexicon = Lexicon(words or {})
         self.evidence = {k: [dict(t) for t in tables] for k, tables in more["evidence"].items()}
         self.threshold = more["threshold"]
 
@@ -428,9 +494,10 @@ class Judge:
             got = candidates(t, self.lexicon)
             if got:
                 lower_text = t.islower()
+                locals_ = mail_locals(t, [(a, b) for kind, a, b, _ in got if kind == "email"])
                 for kind, a, b, shape in got:
                     spans[kind].append((i, a, b))
-                    facts[kind].append(describe(t, a, b, shape, lower_text))
+                    facts[kind].append(describe(t, a, b, shape, lower_text, locals_))
         chosen: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
         for kind in KINDS:
             if spans[kind]:
@@ -454,7 +521,7 @@ _judges: dict[frozenset, Judge] = {}
 
 
 def judge(words: dict[str, str] | None = None) -> Judge:
-    """The judge with these words of names besides those of the training; one is kept for the last words, one for none."""
+    """The judge with these words of names; one is kept for the last words, one for none."""
     key = frozenset((words or {}).items())
     if key not in _judges:
         for old in [k for k in _judges if k]:
