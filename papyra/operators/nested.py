@@ -24,142 +24,136 @@ from pyspark.sql import types as T
 from papyra.session import cut, spread
 
 
-class _Number(str):
-    """The text of a number, true or false in a record."""
+_TOKEN = re.compile(r'[ \t\r\n]*([{}\[\],:]|"(?:[^"\\\x00-\x1f]+|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)')
+_KINDS = {"t": "boolean", "f": "boolean"}
 
+Triple = tuple[str, str, str, list[int], str, str | None, str]
 
-def _refuse(name: str):
-    raise ValueError(name)
 
+class _Open:
+    """An open container: where it is, and what comes next in it."""
 
-_DECODER = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_refuse)
-_TOKEN = re.compile(r'[ \t\r\n]*([{}\[\],:]|"(?:[^"\\\x00-\x1f]|\\.)*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)')
+    __slots__ = ("listed", "group", "elem", "parent", "field", "ords", "above", "place", "key", "begin", "seen")
 
+    def __init__(self, listed: bool, group: str, elem: str, parent: str, field: str, ords: tuple[int, ...], above: str):
+        self.listed, self.group, self.elem, self.parent, self.field, self.ords, self.above = listed, group, elem, parent, field, ords, above
+        self.place, self.key, self.begin, self.seen = -1, "", 0, {}
 
-def _deep(text: str):
-    """The same result by a stack of open containers, for records nested deeper than the fast parser goes."""
-    stack, at, end, key, root, state = [], 0, len(text.rstrip(" \t\r\n")), None, None, "value"
+
+def _unescaped(token: str) -> str:
+    """The string that a token stands for; half a surrogate pair becomes the replacement character."""
+    return json.loads(token).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def triples(text: str | None, column: str, decode_twice: bool = True) -> list[Triple]:
+    """(group_path, elem_path, parent_path, ordinals, field, value, kind) of each leaf, and one of kind "object" for each element object.
+
+    The text is read token by token with a stack of the open containers; no record is built. group_path is elem_path
+    with its ordinals left out. field is the path from the element to the leaf; arrays of plain values are leaves one
+    by one, with the ordinal in the field. Text that is no valid JSON has none; of a key that an object has twice the
+    last value counts.
+    """
+    if text is None:
+        return []
+    try:
+        return _stream(text, column, decode_twice)
+    except ValueError:
+        return []
+
+
+def _stream(text: str, column: str, decode_twice: bool) -> list[Triple]:
+    out: list[Triple | None] = []
+    stack: list[_Open] = []
+    match, at, end = _TOKEN.match, 0, len(text.rstrip(" \t\r\n"))
+    state, replaced = "value", False  # value, value or end, key, key or end, colon, next
     while at < end:
-        m = _TOKEN.match(text, at)
-        if not m:
+        m = match(text, at)
+        if m is None:
             raise ValueError(at)
         tok, at = m.group(1), m.end()
-        if state in ("key", "key!"):
-            if tok == "}" and state == "key" and not stack[-1][0]:
-                stack.pop()
-                state = "next"
-                continue
-            if tok[0] != '"':
-                raise ValueError(at)
-            key, state = json.loads(tok), "colon"
-        elif state == "colon":
-            if tok != ":":
-                raise ValueError(at)
-            state = "value"
-        elif state == "next":
+        first = tok[0]
+        if state == "next":
             if not stack:
                 raise ValueError(at)
-            top = stack[-1][0]
-            if tok == ",":
-                state = "key!" if isinstance(top, dict) else "value!"
-            elif tok == ("}" if isinstance(top, dict) else "]"):
+            top = stack[-1]
+            if first == ",":
+                state = "value" if top.listed else "key"
+                if not top.listed:
+                    top.seen[top.key] = (top.begin, len(out))
+            elif first == ("]" if top.listed else "}"):
                 stack.pop()
             else:
                 raise ValueError(at)
             continue
-        if state in ("value", "value!") and tok != ":":
-            if tok == "]" and state == "value" and stack and isinstance(stack[-1][0], list) and not stack[-1][0]:
+        if state == "colon":
+            if first != ":":
+                raise ValueError(at)
+            state = "value"
+            continue
+        if state == "key" or state == "key or end":
+            if first == "}" and state == "key or end":
                 stack.pop()
                 state = "next"
                 continue
-            if tok in "}],:":
+            if first != '"':
                 raise ValueError(at)
-            new = {} if tok == "{" else [] if tok == "[" else json.loads(tok) if tok[0] == '"' else {"true": True, "false": False, "null": None}.get(tok, _Number(tok))
-            if stack:
-                top = stack[-1][0]
-                if isinstance(top, dict):
-                    top[key] = new
+            top = stack[-1]
+            top.key = tok[1:-1] if "\\" not in tok else _unescaped(tok)
+            if top.key in top.seen:  # the earlier value of a repeated key
+                x, y = top.seen[top.key]
+                out[x:y] = [None] * (y - x)
+                replaced = True
+            top.begin = len(out)
+            state = "colon"
+            continue
+        if first == "]" and state == "value or end":
+            stack.pop()
+            state = "next"
+            continue
+        if first in "}],:":
+            raise ValueError(at)
+        # a value, at the place that the open container gives
+        if not stack:
+            if first == '"' and decode_twice:
+                if at != end:
+                    raise ValueError(at)
+                return _stream(_unescaped(tok), column, False)
+            group, elem, parent, field, ords, above = column, column, "", "", (), ""
+        else:
+            top = stack[-1]
+            group, elem, parent, ords, above = top.group, top.elem, top.parent, top.ords, top.above
+            if top.listed:
+                top.place += 1
+                base = f".{top.field}" if top.field else ""
+                if first == "{":
+                    group, elem, parent, ords = f"{group}{base}[]", f"{elem}{base}[{top.place}]", above, (*ords, top.place)
+                    field, above = "", elem
+                    out.append((group, elem, parent, list(ords), "", None, "object"))
+                elif first == "[":
+                    group, elem, field, ords = f"{group}{base}[]", f"{elem}{base}[{top.place}]", "", (*ords, top.place)
                 else:
-                    top.append(new)
-            else:
-                root = new
-            if tok in "{[":
-                stack.append((new,))
-                state = "key" if tok == "{" else "value"
+                    field = f"{top.field}[{top.place}]"
             else:
-                state = "next"
+                field = f"{top.field}.{top.key}" if top.field else top.key
+        if first == "{" or first == "[":
+            stack.append(_Open(first == "[", group, elem, parent, field, ords, above))
+            state = "value or end" if first == "[" else "key or end"
+            continue
+        state = "next"
+        if tok == "null":
+            continue
+        if first == '"':
+            out.append((group, elem, parent, list(ords), field, tok[1:-1] if "\\" not in tok else _unescaped(tok), "string"))
+        else:
+            out.append((group, elem, parent, list(ords), field, tok, _KINDS.get(first, "number")))
     if stack or state != "next":
         raise ValueError("cut off")
-    return root
-
-
-def parse(text: str | None, decode_twice: bool = True):
-    """The parsed record, or None where there is none."""
-    if text is None:
-        return None
-    try:
-        got = _DECODER.decode(text)
-    except RecursionError:
-        try:
-            got = _deep(text)
-        except ValueError:
-            return None
-    except ValueError:
-        return None
-    if decode_twice and isinstance(got, str) and not isinstance(got, _Number):
-        return parse(got, False)
-    return got
+    return [t for t in out if t is not None] if replaced else out
 
 
-def objects(root, column: str) -> list[tuple[str, str]]:
+def objects(text: str | None, column: str) -> list[tuple[str, str]]:
     """(elem_path, parent_path) of each object that is an element of an array."""
-    out, todo = [], [(root, column, "")]
-    while todo:
-        node, path, parent = todo.pop()
-        if type(node) is dict:
-            for k, v in node.items():
-                if type(v) is dict or type(v) is list and v:
-                    todo.append((v, f"{path}.{k}", parent))
-        elif type(node) is list:
-            for i, v in enumerate(node):
-                if type(v) is dict:
-                    own = f"{path}[{i}]"
-                    out.append((own, parent))
-                    todo.append((v, own, own))
-                elif type(v) is list:
-                    todo.append((v, f"{path}[{i}]", parent))
-    return out
-
-
-def triples(root, column: str) -> list[tuple[str, str, str, list[int], str, str | None, str]]:
-    """(group_path, elem_path, parent_path, ordinals, field, value, kind) of each leaf, and one of kind "object" for each element object.
-
-    group_path is elem_path with its ordinals left out. field is the path from the element to the leaf; arrays of
-    plain values are leaves one by one, with the ordinal in the field.
-    """
-    out, todo = [], [(root, column, column, "", "", (), "")]
-    while todo:
-        node, group, elem, parent, field, ords, above = todo.pop()
-        if type(node) is dict:
-            for k, v in node.items():
-                todo.append((v, group, elem, parent, f"{field}.{k}" if field else k, ords, above))
-        elif type(node) is list:
-            base = elem + (f".{field}" if field and elem != column else f".{field}" if field else "")
-            gbase = group + (f".{field}" if field else "")
-            for i, v in enumerate(node):
-                if type(v) is dict:
-                    own = f"{base}[{i}]"
-                    out.append((f"{gbase}[]", own, above, [*ords, i], "", None, "object"))
-                    todo.append((v, f"{gbase}[]", own, above, "", (*ords, i), own))
-                elif type(v) is list:
-                    todo.append((v, f"{gbase}[]", f"{base}[{i}]", above, "", (*ords, i), above))
-                elif v is not None:
-                    todo.append((v, group, elem, parent, f"{field}[{i}]", ords, above))
-        elif node is not None:
-            kind = "boolean" if node is True or node is False else "number" if isinstance(node, _Number) else "string"
-            value = ("true" if node else "false") if kind == "boolean" else str(node)
-            out.append((group, elem, parent, list(ords), field, value, kind))
-    return out
+    return [(t[1], t[2]) for t in triples(text, column) if t[6] == "object"]
 
 
 def _as_json(df: DataFrame, columns: list[str]):
@@ -168,33 +162,18 @@ def _as_json(df: DataFrame, columns: list[str]):
         yield F.col(c) if isinstance(kind, T.StringType) else F.to_json(F.col(c)).alias(c)
 
 
-def nested_objects(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, elem_path, parent_path): one row for each object in an array, at any depth, in any of the columns."""
-    kind = dict(df.dtypes)[key]
-    typed = {c: not isinstance(df.schema[c].dataType, T.StringType) for c in columns}
-    rows = spread(df.select(key, *columns), key).select(key, *_as_json(df, columns))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, elem, parent = [], [], []
-            for i, c in enumerate(columns):
-                for row, text in enumerate(batch.column(i + 1).to_pylist()):
-                    if text is None or not typed[c] and "[" not in text:
-                        continue
-                    for e, p in objects(parse(text, not typed[c]), c):
-                        at.append(row)
-                        elem.append(e)
-                        parent.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(elem, pa.string()), pa.array(parent, pa.string())], [key, "elem_path", "parent_path"])
-
-    return rows.mapInArrow(run, f"`{key}` {kind}, elem_path string, parent_path string").distinct()
+#: So many repeated keys, at most, are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def nested_triples(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, group_path, elem_path, parent_path, ordinals, field, value, kind): all triples of all records, each once."""
+    """(key, group_path, elem_path, parent_path, ordinals, field, value, kind): all triples of all records, each once.
+
+    Only the keys are shuffled to find the repeated ones; the triples of their rows are made distinct, those of all
+    other rows come straight from the scan.
+    """
     kind = dict(df.dtypes)[key]
     typed = {c: not isinstance(df.schema[c].dataType, T.StringType) for c in columns}
-    rows = spread(df.select(key, *columns), key).select(key, *_as_json(df, columns))
     names = ("group_path", "elem_path", "parent_path", "ordinals", "field", "value", "kind")
     types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string())
 
@@ -205,14 +184,18 @@ def nested_triples(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
                 at, out = [], []
                 for i, c in enumerate(columns):
                     for row, text in enumerate(part.column(i + 1).to_pylist()):
-                        got = triples(parse(text, not typed[c]), c)
+                        got = triples(text, c, not typed[c])
                         at += [row] * len(got)
                         out += got
                 cols = list(zip(*out)) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *[pa.array(list(v), t) for v, t in zip(cols, types)]], [key, *names])
 
     schema = f"`{key}` {kind}, group_path string, elem_path string, parent_path string, ordinals array<int>, field string, value string, kind string"
-    return rows.mapInArrow(run, schema).distinct()
+    again = cut(df.groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_again"))
+    again = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    made = lambda how: spread(df.select(key, *columns), key).join(again, same, how).select(key, *_as_json(df, columns)).mapInArrow(run, schema)
+    return made("left_anti").unionByName(made("left_semi").distinct())
 
 
 def group_fields(found: DataFrame) -> DataFrame:

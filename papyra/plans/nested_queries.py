@@ -21,14 +21,19 @@ def p3_triples(spark, sf_dir):
     return nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", NESTED)
 
 
-@query()
+@query("""WITH p AS (SELECT result_id, generate_subscripts(pages, 1) AS i, unnest(pages) AS page FROM extraction_results WHERE pages IS NOT NULL),
+  m AS (SELECT result_id, i, generate_subscripts(page.images, 1) AS j, unnest(page.images) AS im FROM p WHERE page IS NOT NULL AND page.images IS NOT NULL)
+  SELECT DISTINCT result_id, 'pages[' || (i - 1) || '].images[' || (j - 1) || ']' AS elem_path, 'pages[' || (i - 1) || ']' AS parent_path, (j - 1)::INTEGER AS ordinal, im.image_index::VARCHAR AS image_index, im.format AS format, im.page_number::VARCHAR AS page_number,
+  im.width::VARCHAR AS width, im.height::VARCHAR AS height, im.is_mask::VARCHAR AS is_mask, im.description AS description, im.ocr_result.content AS ocr_result_content, im.ocr_result.mime_type AS ocr_result_mime_type FROM m WHERE im IS NOT NULL""")
 def p3_images(spark, sf_dir):
     found = nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", ["pages"])
     fields = ["image_index", "format", "page_number", "width", "height", "is_mask", "description", "ocr_result.content", "ocr_result.mime_type"]
     return nested.nested_table(found, "result_id", "pages[].images[]", fields)
 
 
-@query()
+@query("""WITH r AS (SELECT result_id, CASE WHEN json_type(metadata) = 'VARCHAR' THEN metadata::JSON ->> '$' ELSE metadata END AS m FROM extraction_results WHERE json_valid(metadata)),
+  b AS (SELECT result_id, json_extract(m, '$.pages.boundaries[*]') AS bs FROM r WHERE json_valid(m)), e AS (SELECT result_id, generate_subscripts(bs, 1) - 1 AS i, unnest(bs) AS x FROM b)
+  SELECT DISTINCT result_id, 'metadata.pages.boundaries[' || i || ']' AS elem_path, '' AS parent_path, i::INTEGER AS ordinal, x ->> '$.byte_start' AS byte_start, x ->> '$.byte_end' AS byte_end, x ->> '$.page_number' AS page_number FROM e WHERE json_type(x) = 'OBJECT'""")
 def p3_boundaries(spark, sf_dir):
     found = nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", ["metadata"])
     return nested.nested_table(found, "result_id", "metadata.pages.boundaries[]", ["byte_start", "byte_end", "page_number"])
