@@ -319,10 +319,24 @@ def kept_word(w: Column, stop: Column) -> Column:
     )
 
 
+#: Fenced and inline code.
+CODE = r"```[\s\S]*?```|`[^`\n]+`"
+
+
 def reduce_moderate(c: Column, stop: Column) -> Column:
-    """Light, then stop words out, code between backticks kept; words join by one space."""
-    kept = F.filter(words(reduce_light(c)), lambda w: kept_word(w, stop))
-    return F.array_join(kept, " ")
+    """Light, then stop words out; words join by one space; code between backticks is kept as it is.
+
+    Code stands as NUL among the words and comes back in order; NULs of a text with code are dropped before.
+    """
+    kept = lambda x: F.array_join(F.filter(words(x), lambda w: kept_word(w, stop)), " ")
+
+    def around(x: Column) -> Column:
+        codes = F.regexp_extract_all(x, F.lit(CODE), F.lit(0))
+        left = F.filter(words(F.regexp_replace(x, CODE, "\x00")), lambda w: w.contains("\x00") | kept_word(w, stop))
+        pieces = F.split(F.array_join(left, " "), "\x00")
+        return F.array_join(F.zip_with(pieces, F.concat(codes, F.array(F.lit(""))), lambda p, q: F.concat(F.coalesce(p, F.lit("")), F.coalesce(q, F.lit("")))), "")
+
+    return bind(reduce_light(c), lambda x: F.when(x.contains("`"), around(F.replace(x, F.lit("\x00"), F.lit("")))).otherwise(kept(x)))
 
 
 def cjk_pieces(w: Column) -> Column:

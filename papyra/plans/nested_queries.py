@@ -11,7 +11,10 @@ from papyra.session import table
 NESTED = ["metadata", "tables", "chunks", "pages"]
 
 
-@query()
+@query(r"""WITH s AS (SELECT DISTINCT result_id, 'metadata' AS c, CASE WHEN json_type(metadata) = 'VARCHAR' THEN metadata::JSON ->> '$' ELSE metadata END AS j FROM extraction_results WHERE json_valid(metadata)
+  UNION SELECT result_id, 'tables', to_json(tables)::VARCHAR FROM extraction_results UNION SELECT result_id, 'chunks', to_json(chunks)::VARCHAR FROM extraction_results UNION SELECT result_id, 'pages', to_json(pages)::VARCHAR FROM extraction_results),
+  t AS (SELECT s.result_id, s.c || replace(x.fullkey[2:], '"', '') AS elem_path FROM (SELECT * FROM s WHERE json_valid(j)) s, json_tree(s.j::JSON) x WHERE x.type = 'OBJECT' AND ends_with(x.fullkey, ']'))
+  SELECT DISTINCT result_id, elem_path, coalesce(regexp_extract(elem_path, '^(.*\])\.[^\]]*(?:\[[0-9]+\])+$', 1), '') AS parent_path FROM t""".replace(chr(92) * 2, chr(92)))
 def p3_found(spark, sf_dir):
     return nested.element_objects(nested.nested_triples(table(spark, sf_dir, "extraction_results"), "result_id", NESTED), "result_id")
 

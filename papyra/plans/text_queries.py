@@ -121,10 +121,13 @@ def reduce_light(spark, sf_dir):
 #: ISO 639-1 of documents to the codes of the stop words.
 ISO = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "it": "ita", "pt": "por", "nl": "nld", "pl": "pol", "ru": "rus", "ja": "jpn"}
 _ISO_SQL = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ISO.items())
+_CODE = r"```[\s\S]*?```|`[^`\n]+`"
 _MODERATE = f"""WITH s AS (SELECT lang, list(word) AS stop FROM stopwords GROUP BY lang),
   d AS (SELECT doc_id, text, {_LIGHT} AS light, CASE lower(lang) {_ISO_SQL} ELSE 'eng' END AS l3 FROM documents),
-  r AS (SELECT doc_id, text, array_to_string(list_filter({words_sql('light')}, lambda w: (strlen(w) > 1 AND regexp_full_match(w, '[^a-z\\x{{80}}-\\x{{10FFFF}}]+')) OR regexp_matches(w, '[0-9]')
-    OR strlen(regexp_replace(w, '\\PL', '', 'g')) <= 1 OR NOT list_contains(stop, lower(regexp_replace(w, '\\PL', '', 'g')))), ' ') AS reduced FROM d JOIN s ON s.lang = d.l3)"""
+  h AS (SELECT *, regexp_extract_all(light, '{_CODE}') AS codes, regexp_replace(light, '{_CODE}', chr(1), 'g') AS plain FROM d),
+  k AS (SELECT doc_id, text, codes, array_to_string(list_filter({words_sql('plain')}, lambda w: contains(w, chr(1)) OR (strlen(w) > 1 AND regexp_full_match(w, '[^a-z\\x{{80}}-\\x{{10FFFF}}]+')) OR regexp_matches(w, '[0-9]')
+    OR strlen(regexp_replace(w, '\\PL', '', 'g')) <= 1 OR NOT list_contains(stop, lower(regexp_replace(w, '\\PL', '', 'g')))), ' ') AS reduced FROM h JOIN s ON s.lang = h.l3),
+  r AS (SELECT doc_id, text, array_to_string(list_transform(string_split(reduced, chr(1)), lambda p, i: p || coalesce(codes[i], '')), '') AS reduced FROM k)"""
 
 
 def _moderate(spark, sf_dir):
