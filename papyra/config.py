@@ -37,6 +37,9 @@ class Keywords:
     min_score: float = 0.0
     ngram_range: tuple[int, int] = (1, 3)
     language: str = "en"
+    window: int = 2
+    min_length: int = 1
+    max_words: int = 3
 
     def __post_init__(self) -> None:
         if self.algorithm not in ("yake", "rake") or self.max_keywords < 1 or self.ngram_range[0] < 1 or self.ngram_range[0] > self.ngram_range[1]:

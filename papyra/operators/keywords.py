@@ -1,8 +1,9 @@
-"""Keywords: RAKE as a relational plan, YAKE by document in Arrow batches.
+"""Keywords: RAKE and YAKE by document, and the choice between them by configuration.
 
-RAKE: candidate phrases are runs of words between stop words and delimiters; a word's score is its degree by its
-frequency within the document; a phrase's score is the sum of its words'. Scores are scaled to 0..1 by document
-(all equal: 1). Results: null and empty texts have no keywords; ties go to the phrase that sorts first.
+RAKE: candidate phrases are runs of words between stop words and delimiters, found by an array expression; a word's
+score is its degree by its frequency within the document; a phrase's score is the sum of its words'. Scores are scaled
+to 0..1 by document (all equal: 1). All of it lies within one document, so nothing is shuffled. Results: null and empty
+texts have no keywords; ties go to the phrase that sorts first.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
+from papyra.config import Keywords
+
 
 def phrases(text: Column, stop: Column) -> Column:
     """Candidate phrases of a text, in order, in lower case: an array expression, no shuffle."""
@@ -27,18 +29,45 @@ def phrases(text: Column, stop: Column) -> Column:
     return F.filter(runs, lambda p: p != "")
 
 
-def rake(df: DataFrame, key: str, text: str, stop: str, k: int = 10, min_score: float = 0.0, max_words: int = 3) -> DataFrame:
-    """(key, keyword, score): the k best phrases of each row; `stop` is a column with the row's stop words."""
-    found = df.select(key, F.explode(phrases(F.col(text), F.col(stop))).alias("phrase"))
-    found = found.groupBy(key, "phrase").agg(F.count("*").alias("n")).withColumn("words", F.split("phrase", " "))
-    per_word = found.select(key, "phrase", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
-    weight = per_word.groupBy(key, "word").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("w"))
-    raw = per_word.join(weight, [key, "word"]).groupBy(key, "phrase").agg(F.sum("w").alias("raw"), F.first("size").alias("size")).filter(F.col("size") <= max_words)
-    by = Win.partitionBy(key)
-    low, high = F.min("raw").over(by), F.max("raw").over(by)
-    scored = raw.withColumn("score", F.when(high > low, F.try_divide(F.col("raw") - low, high - low)).otherwise(F.lit(1.0)))
-    rank = F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "phrase"))
-    return scored.filter(F.col("score") >= min_score).withColumn("r", rank).filter(F.col("r") <= k).select(key, F.col("phrase").alias("keyword"), "score")
+def rake_one(found: list[str], k: int = 10, min_score: float = 0.0, ngrams: tuple[int, int] = (1, 3), max_words: int = 3, min_length: int = 1) -> list[tuple[str, float]]:
+    """The k best of a document's candidate phrases; a phrase has min_length bytes, and words within both bounds."""
+    count = Counter(found)
+    freq, degree = Counter(), Counter()
+    split = {p: p.split(" ") for p in count}
+    for p, n in count.items():
+        for w in split[p]:
+            freq[w] += n
+            degree[w] += n * len(split[p])
+    raw = {p: sum(degree[w] / freq[w] for w in ws) for p, ws in split.items() if ngrams[0] <= len(ws) <= min(ngrams[1], max_words) and len(p.encode()) >= min_length}
+    if not raw:
+        return []
+    low, high = min(raw.values()), max(raw.values())
+    scored = [(p, (v - low) / (high - low) if high > low else 1.0) for p, v in raw.items()]
+    kept = [x for x in scored if min_score <= 0 or x[1] >= min_score]
+    return sorted(kept, key=lambda x: (-round(x[1], 9), x[0]))[:k]
+
+
+def rake(df: DataFrame, key: str, text: str, stop: str, k: int = 10, min_score: float = 0.0, max_words: int = 3, ngrams: tuple[int, int] = (1, 3), min_length: int = 1, fallback: list[str] | None = None) -> DataFrame:
+    """(key, keyword, score): the k best phrases of each row; `stop` is a column with the row's stop words.
+
+    `fallback` is another list of stop words, English ones as a rule, tried for rows that have no keyword with their own.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, words, scores = [], [], []
+            for i, found in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, batch.num_columns)))):
+                got = next((g for f in found if (g := rake_one(f or [], k, min_score, ngrams, max_words, min_length))), [])
+                at += [i] * len(got)
+                words += [p for p, _ in got]
+                scores += [v for _, v in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(scores, pa.float64())], [key, "keyword", "score"])
+
+    lists = [phrases(F.col(text), F.col(stop)).alias("p")]
+    if fallback is not None:
+        lists.append(phrases(F.col(text), F.array(*[F.lit(w) for w in fallback])).alias("q"))
+    return df.select(key, *lists).mapInArrow(run, f"`{key}` {kind}, keyword string, score double")
 
 
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n+")
@@ -97,18 +126,49 @@ def yake_one(text: str, stop: set[str], k: int = 10, longest: int = 3, window: i
     return [(g, 1 / (1 + max(v, 0.0))) for g, v in out[:k]]
 
 
-def yake(df: DataFrame, key: str, text: str, stop: str, k: int = 10) -> DataFrame:
-    """(key, keyword, score) by yake_one."""
+def yake_kept(text: str, stop: set[str], k: int, ngrams: tuple[int, int], window: int, min_score: float) -> list[tuple[str, float]]:
+    """The k best first, then those with enough words and a high enough score: fewer than k may stay."""
+    best = yake_one(text, stop, k, ngrams[1], window)
+    return [(g, v) for g, v in best if len(g.split()) >= ngrams[0] and (min_score <= 0 or v >= min_score)]
+
+
+def yake(df: DataFrame, key: str, text: str, stop: str, k: int = 10, ngrams: tuple[int, int] = (1, 3), window: int = 2, min_score: float = 0.0) -> DataFrame:
+    """(key, keyword, score) by yake_one and the filters after it."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, words, scores = [], [], []
             for i, (t, s) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for g, v in yake_one(t or "", set(s or []), k):
+                for g, v in yake_kept(t or "", set(s or []), k, ngrams, window, min_score):
                     at.append(i)
                     words.append(g)
                     scores.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(scores, pa.float32())], [key, "keyword", "score"])
 
     return df.select(key, text, stop).mapInArrow(run, f"`{key}` {kind}, keyword string, score float")
+
+
+def extract(df: DataFrame, key: str, text: str, stop: str, settings: Keywords = Keywords(), english: list[str] | None = None) -> DataFrame:
+    """(key, keyword, score) by the algorithm of the settings."""
+    if settings.algorithm == "rake":
+        return rake(df, key, text, stop, settings.max_keywords, settings.min_score, settings.max_words, settings.ngram_range, settings.min_length, english)
+    return yake(df, key, text, stop, settings.max_keywords, settings.ngram_range, settings.window, settings.min_score)
+
+
+def column(text: Column, stop: list[str], settings: Keywords = Keywords()) -> Column:
+    """The keywords of a text with their scores, best first: an array of structs, by Arrow batches."""
+    from pyspark.sql.functions import pandas_udf
+
+    kind = "array<struct<keyword:string,score:double>>"
+    own = set(stop)
+
+    @pandas_udf(kind)
+    def of_phrases(found):
+        return found.map(lambda ps: [{"keyword": p, "score": v} for p, v in rake_one(list(ps) if ps is not None else [], settings.max_keywords, settings.min_score, settings.ngram_range, settings.max_words, settings.min_length)])
+
+    @pandas_udf(kind)
+    def of_text(texts):
+        return texts.map(lambda t: [{"keyword": p, "score": float(v)} for p, v in yake_kept(t or "", own, settings.max_keywords, settings.ngram_range, settings.window, settings.min_score)])
+
+    return of_phrases(phrases(text, F.array(*[F.lit(w) for w in stop]))) if settings.algorithm == "rake" else of_text(text)

@@ -1,8 +1,10 @@
 """Plugins and the pipeline: extractors, processors and validators by stage and priority, composed into one plan.
 
 Processors are DataFrame -> DataFrame functions in the stages early, middle, late; within a stage higher priority
-first, then order of registration. Validators give an error or null; they run last, and the first failure by
-priority is the row's error. The registries are read whenever a plan is built, so later registrations count.
+first, then order of registration. A processor has a gate by configuration, which is decided when the plan is built,
+and may have one by row, a condition: rows that don't meet it keep null in the columns it makes. Chunks and languages
+of the configuration come after the processors; validators run last, and the first failure by priority is the row's
+error. The registries are read whenever a plan is built, so later registrations count.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from papyra.config import Chunking, Extraction, Keywords, LanguageDetection
 from papyra.functions import text as X
+from papyra.functions.stopwords import FUNCTION_WORDS, built_in
 
 STAGES = ("early", "middle", "late")
 
@@ -26,6 +30,12 @@ class Processor:
     stage: str
     priority: int
     apply: Callable[[DataFrame], DataFrame]
+    #: Whether the configuration asks for it; without one, always.
+    enabled: Callable[[Extraction], bool] = lambda config: True
+    #: Which rows it is for; without one, all.
+    where: Callable[[DataFrame], Column] | None = None
+    #: Milliseconds that a row takes, roughly.
+    estimate: Callable[[DataFrame], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -77,10 +87,46 @@ def run(df: DataFrame, items: list[Processor], checks: list[Validator] | None =
     """All stages, then the validators; rows keep their other columns."""
     order = sorted(selected(items, allow, deny), key=lambda p: (STAGES.index(p.stage), -p.priority))
     for p in order:
-        df = p.apply(df)
+        df = applied(df, p)
     return validate(df, checks or [])
 
 
+def applied(df: DataFrame, p: Processor) -> DataFrame:
+    """The frame with a processor's columns, null in rows that it isn't for."""
+    if p.where is None:
+        return p.apply(df)
+    out = p.apply(df)
+    new = [c for c in out.columns if c not in df.columns]
+    return out.withColumns({c: F.when(p.where(out), F.col(c)) for c in new})
+
+
+def estimated_ms(df: DataFrame, items: list[Processor]) -> Column:
+    """What the processors that give an estimate take for a row."""
+    return sum((p.estimate(df) for p in items if p.estimate), F.lit(0))
+
+
+def run_configured(df: DataFrame, config: Extraction, content: str = "content", extra: list[Processor] | None = None, checks: list[Validator] | None = None) -> DataFrame:
+    """The pipeline as a configuration asks for it: processors, then chunks and languages, then validators.
+
+    Processors are those of the defaults, of the registry and of `extra`, as far as the lists of the configuration and
+    their own gates let them run. With post-processing off none runs, chunks and languages do.
+    """
+    items = {p.name: p for p in [*default_processors(content, config), *processors.items.values(), *(extra or [])]}
+    if not config.postprocessor.enabled:
+        items = {}
+    post = config.postprocessor
+    allow = set(post.enabled_processors) if post.enabled_processors is not None else None
+    chosen = [p for p in selected(list(items.values()), allow, set(post.disabled_processors or ())) if p.enabled(config)]
+    for p in sorted(chosen, key=lambda p: (STAGES.index(p.stage), -p.priority)):
+        df = applied(df, p)
+    c = F.col(content)
+    if config.chunking:
+        df = df.withColumn("chunks", chunks_column(c, config.chunking)).withColumn("chunk_count", F.size("chunks"))
+    if config.language_detection and config.language_detection.enabled:
+        df = df.withColumn("detected_languages", languages_column(c, config.language_detection))
+    return validate(df, [*validators.items.values(), *(checks or [])])
+
+
 def validate(df: DataFrame, checks: list[Validator]) -> DataFrame:
     """Column error: the first failure by priority, null where all pass."""
     ordered = sorted(checks, key=lambda v: -v.priority)
@@ -93,57 +139,58 @@ def strict(df: DataFrame) -> DataFrame:
     return df.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("error")))
 
 
-@pandas_udf(ArrayType(StringType()))
-def _chunks(texts):
-    from papyra.operators.chunking import split_text
+def chunks_column(c: Column, settings: Chunking = Chunking()) -> Column:
+    """The pieces of a text by the settings."""
 
-    return texts.map(lambda t: split_text(t or "", 1000, 200))
+    @pandas_udf(ArrayType(StringType()))
+    def cut(texts):
+        from papyra.operators.chunking import split_text
 
+        return texts.map(lambda t: split_text(t or "", settings.max_chars, settings.max_overlap))
 
-#: Function words that tell the language in the default pipeline.
-_FUNCTION_WORDS = {
-    "deu": "der die das und ist nicht mit von dem den ein eine zu auf für", "eng": "the of and to in is was for on with that this it as are", "fra": "le la les des une est dans pour qui que et du au sur par",
-    "ita": "il della una che per di nel sono è un gli la e con del", "nld": "de het een van en is niet voor dat zijn op met te aan er", "pol": "nie na do jest się że w z i oraz to dla po od", "por": "o os da do uma não para com que em na no as um e",
-    "rus": "и в на не что с по из для как это все после", "spa": "el los las una del que no para con en la y por es al", "jpn": "は が を に で の と",
-}
+    return cut(c)
 
 
 def language_column(c: Column) -> Column:
     """The language with most of its function words in a text; null for a text with none. An expression, no shuffle."""
 
-    every = sorted({w for ws in _FUNCTION_WORDS.values() for w in ws.split()})
+    every = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
     tokens = F.regexp_extract_all(F.lower(c), F.lit(r"\p{IsLatin}+|\p{IsCyrillic}+|[\x{3040}-\x{309F}]"), F.lit(0))
 
     def score(lang: str, found: Column) -> Column:
-        own = _FUNCTION_WORDS[lang].split()
+        own = FUNCTION_WORDS[lang].split()
         return F.struct(F.size(F.filter(found, lambda w: w.isin(own))).alias("n"), F.lit(lang).alias("lang"))
 
-    best = X.bind(F.filter(tokens, lambda w: w.isin(every)), lambda found: F.array_max(F.array(*[score(lang, found) for lang in sorted(_FUNCTION_WORDS)])))
+    best = X.bind(F.filter(tokens, lambda w: w.isin(every)), lambda found: F.array_max(F.array(*[score(lang, found) for lang in sorted(FUNCTION_WORDS)])))
     return X.bind(best, lambda b: F.when(b["n"] > 0, b["lang"]))
 
 
-def _keywords(c: Column, stop: list[str], k: int = 10) -> Column:
-    """The most frequent words of a text outside of a list, longest first among equals; none below ten words."""
-    ws = F.array_sort(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"\pL{4,}"), F.lit(0)), lambda w: ~w.isin(stop)))
-    # in the sorted words the places where a word begins; the next place less this one is its count
-    def ranked(found: Column) -> Column:
-        n = F.size(found)
-        starts = F.filter(F.transform(found, lambda w, i: F.when((i == 0) | (F.get(found, i - 1) != w), i)), lambda i: i.isNotNull())
-        return X.bind(starts, lambda at: F.transform(F.array_sort(F.transform(at, lambda i, j: F.struct((i - F.coalesce(F.get(at, j + 1), n)).alias("n"), (-F.length(F.get(found, i))).alias("size"), F.get(found, i).alias("w")))), lambda x: x["w"]))
+def languages_column(c: Column, settings: LanguageDetection) -> Column:
+    """The languages of a text: the one of the whole, or with detect_multiple those of its slices by frequency."""
+    from papyra.operators.language import detector
 
-    return F.when(X.word_count(c) >= 10, F.slice(X.bind(ws, ranked), 1, k)).otherwise(F.array().cast("array<string>"))
+    @pandas_udf(ArrayType(StringType()))
+    def found(texts):
+        return texts.map(lambda t: detector().languages(t or "", settings.min_confidence, settings.detect_multiple))
+
+    return found(c)
 
 
 def default_validators(content: str = "content") -> list[Validator]:
     return [Validator("empty", 50, lambda d: F.when(F.coalesce(F.trim(F.col(content)), F.lit("")) == "", F.lit("empty text")))]
 
 
-def default_processors(content: str = "content") -> list[Processor]:
+def default_processors(content: str = "content", config: Extraction | None = None) -> list[Processor]:
+    """Language and quality early, keywords and chunks in the middle; keywords by the settings, in texts of ten words or more."""
+    from papyra.operators import keywords
+
     c = F.col(content)
-    words = sorted({w for ws in _FUNCTION_WORDS.values() for w in ws.split()})
+    settings = config.keywords if config and config.keywords else Keywords()
+    stop = built_in({"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "it": "ita", "nl": "nld", "pl": "pol", "pt": "por", "ru": "rus", "ja": "jpn"}.get((settings.language or "en")[:2], "eng"))
+    words = lambda d: F.coalesce(X.word_count(c), F.lit(0))
     return [
-        Processor("language", "early", 40, lambda d: d.withColumn("detected_language", language_column(c))),
-        Processor("quality", "early", 30, lambda d: d.withColumn("quality_score", X.quality_score(c))),
-        Processor("keywords", "middle", 50, lambda d: d.withColumn("keywords", _keywords(c, words))),
-        Processor("chunking", "middle", 50, lambda d: d.withColumn("chunks", _chunks(c))),
+        Processor("language", "early", 40, lambda d: d.withColumn("detected_language", language_column(c)), lambda g: g.language_detection is not None),
+        Processor("quality", "early", 30, lambda d: d.withColumn("quality_score", X.quality_score(c)), lambda g: g.enable_quality_processing, estimate=lambda d: F.coalesce(F.octet_length(c), F.lit(0)) / F.lit(100_000)),
+        Processor("keywords", "middle", 50, lambda d: d.withColumn("keywords", keywords.column(c, stop, settings)), lambda g: g.keywords is not None, lambda d: words(d) >= 10, lambda d: words(d) / F.lit(100) + F.lit(10)),
+        Processor("chunking", "middle", 50, lambda d: d.withColumn("chunks", chunks_column(c, config.chunking if config and config.chunking else Chunking())), lambda g: False, estimate=lambda d: F.coalesce(F.octet_length(c), F.lit(0)) / F.lit(10_000)),
     ]
