@@ -381,6 +381,16 @@ def content_capacity(size: Column, ext: Column) -> Column:
     return F.ceil(size * ratio).cast("bigint")
 
 
+#: Fields that metadata has by name; all others are attributes.
+KNOWN = ["title", "subject", "authors", "keywords", "language", "created_at", "modified_at", "pages", "format_type", "error"]
+
+
+def known_fields(metadata: Column) -> tuple[Column, Column]:
+    """Names of the known fields of a JSON object, and of its attributes."""
+    keys = F.json_object_keys(metadata)
+    return F.filter(keys, lambda k: k.isin(KNOWN)), F.filter(keys, lambda k: ~k.isin(KNOWN))
+
+
 def is_image_mime(c: Column) -> Column:
     return F.lower(c).startswith("image/")
 

@@ -13,7 +13,24 @@ from pyspark.sql import functions as F
 _LEVELS = [re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?。])\s+"), re.compile(r"\s+")]
 
 
-def split_text(text: str, size: int = 1000, overlap: int = 200, trim: bool = True) -> list[str]:
+#: Boundaries of Markdown, the coarsest first: headings by level, rules, blocks, then those of plain text.
+_MARKDOWN = [*(re.compile(rf"\n(?=#{{1,{n}}} )") for n in range(1, 7)), re.compile(r"\n(?=(?:-{3,}|\*{3,}|_{3,})[ \t]*\n)"), re.compile(r"\n\s*\n"), re.compile(r"\n(?=[ \t]*(?:[-*+]|\d+[.)]) )"), *_LEVELS[1:]]
+
+
+def split_markdown(text: str, size: int = 1000, overlap: int = 200, trim: bool = True) -> list[str]:
+    """As split_text, at headings, rules, blocks and items first; fenced code is kept whole where it fits."""
+    fences = [m.span() for m in re.finditer(r"^(```|~~~).*?^\1[ \t]*$", text, re.M | re.S) if m.end() - m.start() <= size]
+    return split_text(text, size, overlap, trim, _MARKDOWN, fences)
+
+
+def utf8_boundary(text: Column, place: Column) -> Column:
+    """Whether a place in the UTF-8 bytes of a text lies between characters."""
+    data = text.cast("binary")
+    first = F.substring(F.hex(F.substring(data, (place + 1).cast("int"), F.lit(1))), 1, 1)
+    return (place >= 0) & (place <= F.octet_length(data)) & ((place == F.octet_length(data)) | ~first.isin("8", "9", "A", "B"))
+
+
+def split_text(text: str, size: int = 1000, overlap: int = 200, trim: bool = True, levels: list[re.Pattern] = _LEVELS, whole: list[tuple[int, int]] | None = None) -> list[str]:
     """Pieces of at most `size` characters at the coarsest boundaries that fit, neighbours merged greedily.
 
     The next piece begins up to `overlap` characters back, at a word. Empty texts give none.
@@ -24,13 +41,15 @@ def split_text(text: str, size: int = 1000, overlap: int = 200, trim: bool = Tru
     def atoms(a: int, b: int, level: int) -> Iterator[tuple[int, int]]:
         if b - a <= size:
             yield a, b
-        elif level == len(_LEVELS):
+        elif level == len(levels):
             for i in range(a, b, size):
                 yield i, min(b, i + size)
         else:
             last = a
-            for m in [*_LEVELS[level].finditer(text, a, b), None]:
+            for m in [*levels[level].finditer(text, a, b), None]:
                 end = m.end() if m else b
+                if m and any(x < end < y for x, y in whole or ()):
+                    continue
                 if end > last:
                     yield from atoms(last, end, level + 1)
                     last = end
@@ -53,15 +72,16 @@ def split_text(text: str, size: int = 1000, overlap: int = 200, trim: bool = Tru
     return [p for p in pieces if p]
 
 
-def chunk(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(key, chunk_index, content)."""
+def chunk(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200, kind_of: str = "text") -> DataFrame:
+    """(key, chunk_index, content); kind_of is text or markdown."""
+    split = split_markdown if kind_of == "markdown" else split_text
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, no, parts = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                for j, p in enumerate(split_text(t or "", size, overlap)):
+                for j, p in enumerate(split(t or "", size, overlap)):
                     at.append(i)
                     no.append(j)
                     parts.append(p)

@@ -63,6 +63,11 @@ def spans(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataF
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, kind string, value string, char_start int, char_end int")
 
 
+def with_values(text: Column, *values: Column) -> Column:
+    """A text and the values of its metadata, which count for its class as well."""
+    return F.concat_ws(" ", text, *values)
+
+
 def class_scores(text: Column) -> Column:
     """An array of (confidence, document_type): patterns of the class in the text, as a share of the class's."""
     t = F.lower(text)

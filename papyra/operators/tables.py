@@ -22,6 +22,16 @@ def markdown(cells: Column) -> Column:
     return F.when(cells.isNull() | (F.size(cells) == 0) | (width <= 0), F.lit("")).otherwise(text)
 
 
+def rendered(content: Column, shown: Column, metadata: Column) -> Column:
+    """A result as one Markdown document: content, tables under numbered headings, metadata as JSON; empty parts are left out."""
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    part = lambda c: F.nullif(trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    each = F.transform(shown, lambda t, i: F.concat(F.lit("### Table "), (i + 1).cast("string"), F.lit("\n\n"), F.coalesce(part(t), F.lit("_No table data available._"))))
+    listed = F.when(F.size(shown) > 0, F.concat(F.lit("## Tables\n\n"), F.array_join(each, "\n\n")))
+    meta = F.when(metadata != "", F.concat(F.lit("## Metadata\n\n```json\n"), metadata, F.lit("\n```")))
+    return F.concat_ws("\n\n", part(content), listed, meta)
+
+
 def csv_line(row: Column, sep: str = ",") -> Column:
     """One row as delimited text; cells with quotes, separators or line feeds are quoted."""
     quote = lambda c: F.when(c.rlike(f'["{sep}\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

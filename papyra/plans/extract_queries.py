@@ -43,14 +43,6 @@ def extract_errors(spark, sf_dir):
     return out.groupBy("asked").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
 
 
-@query(r"""SELECT doc_id, regexp_extract(h, '<title>([^<]*)</title>', 1) AS title, regexp_extract(h, '<meta name="author" content="([^"]*)"', 1) AS author, len(regexp_extract_all(h, '<td>'))::BIGINT AS cells
-  FROM (SELECT doc_id, '<title>' || coalesce(source, 'none') || '</title><meta name="author" content="' || coalesce(lang, '?') || '"><table><tr><td>1</td><td>' || n_chars || '</td></tr></table>' AS h FROM documents WHERE text IS NOT NULL)""")
-def html_metadata(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null")
-    h = F.concat(F.lit("<title>"), F.coalesce("source", F.lit("none")), F.lit('</title><meta name="author" content="'), F.coalesce("lang", F.lit("?")), F.lit('"><table><tr><td>1</td><td>'), F.col("n_chars").cast("string"), F.lit("</td></tr></table>"))
-    one = lambda p: F.regexp_extract("h", p, 1)
-    return d.select("doc_id", h.alias("h")).select("doc_id", one("<title>([^<]*)</title>").alias("title"), one('<meta name="author" content="([^"]*)"').alias("author"), F.size(F.regexp_extract_all("h", F.lit("<td>"), F.lit(0))).cast("bigint").alias("cells"))
-
 
 def _level(level: str):
     def run(spark, sf_dir):
@@ -63,8 +55,9 @@ def _level(level: str):
 reduce_aggressive, reduce_maximum = _level("aggressive"), _level("maximum")
 
 
-@query()
+@query("SELECT doc_id, length(nfc_normalize(text))::BIGINT AS n, text <> nfc_normalize(text) AS changed FROM documents")
 def unicode_nfc(spark, sf_dir):
+    """Composed form of texts; ASCII texts stay on the JVM side."""
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.types import StringType
 
@@ -72,11 +65,15 @@ def unicode_nfc(spark, sf_dir):
     def nfc(s):
         return s.map(lambda t: None if t is None else reduce.nfc(t))
 
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", nfc("text").alias("nfc"))
-    return d.select("doc_id", F.length("nfc").alias("n"), (F.col("text") != F.col("nfc")).alias("changed"))
+    t = table(spark, sf_dir, "documents").select("doc_id", "text")
+    plain = t.filter("text is null or length(text) = octet_length(text)").withColumn("nfc", F.col("text"))
+    d = plain.unionByName(t.filter("length(text) <> octet_length(text)").withColumn("nfc", nfc("text")))
+    return d.select("doc_id", F.length("nfc").cast("bigint").alias("n"), (F.col("text") != F.col("nfc")).alias("changed"))
 
 
-@query()
+@query("""WITH c AS (SELECT c_custkey, unnest(range(1, length(c_name) + 1)) AS i, c_name FROM customer), g AS (SELECT c_custkey, i, substr(c_name, i::INT, 1) AS ch, (i - 1) * 6 + CASE WHEN substr(c_name, i::INT, 1) = '#' THEN 9 ELSE 0 END AS x FROM c),
+  n AS (SELECT *, CASE WHEN x - (lag(x) OVER w + 5) > 3 THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY c_custkey ORDER BY i)), k AS (SELECT *, (sum(new) OVER (PARTITION BY c_custkey ORDER BY i))::BIGINT AS word_no FROM n)
+  SELECT c_custkey, word_no, string_agg(ch, '' ORDER BY i) AS text, min(x)::DOUBLE AS "left", 0.0::DOUBLE AS top, (max(x) + 5)::DOUBLE AS "right", 10.0::DOUBLE AS bottom FROM k GROUP BY c_custkey, word_no""")
 def group_characters(spark, sf_dir):
     """Characters of the first lines of stored tables, laid out on a page, grouped back to words."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(F.split("c_name", "")).alias("i", "ch")).filter("ch <> ''")
@@ -84,12 +81,6 @@ def group_characters(spark, sf_dir):
     return tables.group_characters(laid, "c_custkey")
 
 
-@query("""SELECT doc_id, md5(coalesce(text, '') || chr(10) || chr(10) || '## Metadata' || chr(10) || coalesce(lang, '') || ' ' || coalesce(source, '')) AS rendered_md5 FROM documents""")
-def render_markdown(spark, sf_dir):
-    e = lambda c: F.coalesce(c, F.lit(""))
-    r = F.concat(e(F.col("text")), F.lit("\n\n## Metadata\n"), e(F.col("lang")), F.lit(" "), e(F.col("source")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(r.cast("binary")).alias("rendered_md5"))
-
 
 @query()
 def clean_then_score(spark, sf_dir):

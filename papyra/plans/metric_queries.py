@@ -111,7 +111,11 @@ def cache_eviction(spark, sf_dir):
     return files.join(before, "bucket").select("file_path", "size", (run - F.col("size") < F.col("total") - F.floor(F.col("total") / 2)).alias("evicted"))
 
 
-@query("SELECT count(DISTINCT file_path) AS files, sum(size) AS bytes, min(seen) AS oldest, max(seen) AS newest FROM (SELECT file_path, max(file_size) AS size, max(run_at) AS seen FROM benchmark_results WHERE file_path IS NOT NULL GROUP BY file_path)")
+#: Bytes that the cache's disk is taken to have.
+CAPACITY = 10**12
+
+
+@query(f"SELECT count(DISTINCT file_path) AS files, sum(size) AS bytes, greatest(0, {CAPACITY} - sum(size))::BIGINT AS free_bytes, min(seen) AS oldest, max(seen) AS newest FROM (SELECT file_path, max(file_size) AS size, max(run_at) AS seen FROM benchmark_results WHERE file_path IS NOT NULL GROUP BY file_path)")
 def cache_stats(spark, sf_dir):
     files = table(spark, sf_dir, "benchmark_results").filter("file_path is not null").groupBy("file_path").agg(F.max("file_size").alias("size"), F.max("run_at").alias("at"))
-    return files.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.min("at").alias("oldest"), F.max("at").alias("newest"))
+    return files.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.greatest(F.lit(0), F.lit(CAPACITY) - F.sum("size")).alias("free_bytes"), F.min("at").alias("oldest"), F.max("at").alias("newest"))

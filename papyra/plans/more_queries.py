@@ -22,45 +22,19 @@ def ocr_support(spark, sf_dir):
     return r.join(o, "code").groupBy("backend").agg(F.countDistinct("result_id").alias("results"), F.countDistinct("code").alias("codes"))
 
 
-#: Fields that metadata has by name; all others are attributes.
-KNOWN = ["title", "subject", "authors", "keywords", "language", "created_at", "modified_at", "pages", "format_type", "error"]
-_KNOWN = ", ".join(f"'{k}'" for k in KNOWN)
 
 
-@query(f"""WITH m AS (SELECT DISTINCT result_id, metadata FROM extraction_results WHERE json_valid(metadata) AND starts_with(ltrim(metadata), '{{')), k AS (SELECT result_id, json_keys(metadata::JSON) AS ks FROM m)
-  SELECT result_id, len(list_filter(ks, lambda x: x IN ({_KNOWN})))::BIGINT AS n_known, len(list_filter(ks, lambda x: x NOT IN ({_KNOWN})))::BIGINT AS n_attributes FROM k""")
-def metadata_normalize(spark, sf_dir):
-    """Known fields and attributes of each metadata object."""
-    r = table(spark, sf_dir, "extraction_results").filter(X.valid_json(F.col("metadata")) & F.ltrim("metadata").startswith("{")).select("result_id", "metadata").distinct()
-    keys = F.json_object_keys("metadata")
-    count = lambda f: F.size(F.filter(keys, f)).cast("bigint")
-    return r.select("result_id", count(lambda k: k.isin(KNOWN)).alias("n_known"), count(lambda k: ~k.isin(KNOWN)).alias("n_attributes"))
 
-
-@query("""WITH t AS (SELECT result_id, unnest(tables) AS t FROM (SELECT * FROM extraction_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at) = 1))
+@query("""WITH t AS (SELECT result_id, unnest(tables[:3]) AS t FROM (SELECT * FROM extraction_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at) = 1))
   SELECT result_id, sum(len(list_filter(flatten(t.cells[:50]), lambda c: c IS NOT NULL AND trim(c) <> '')))::BIGINT AS filled, bool_or(len(list_filter(flatten(t.cells), lambda c: starts_with(c, '='))) > 0) AS formulas FROM t WHERE t.cells IS NOT NULL GROUP BY result_id""")
 def sheet_complexity(spark, sf_dir):
-    """Filled cells in the first fifty rows of tables, and whether there are formulas."""
-    t = table(spark, sf_dir, "extraction_results").dropDuplicates(["result_id"]).select("result_id", F.explode("tables").alias("t")).filter("t.cells is not null")
+    """Filled cells in the first fifty rows of the first three sheets, and whether there are formulas: the feature looks at no more."""
+    t = table(spark, sf_dir, "extraction_results").dropDuplicates(["result_id"]).select("result_id", F.explode(F.slice("tables", 1, 3)).alias("t")).filter("t.cells is not null")
     filled = F.size(F.filter(F.flatten(F.slice("t.cells", 1, 50)), lambda c: c.isNotNull() & (F.trim(c) != "")))
     formula = F.size(F.filter(F.flatten("t.cells"), lambda c: c.startswith("="))) > 0
     return t.groupBy("result_id").agg(F.sum(filled).cast("bigint").alias("filled"), F.bool_or(formula).alias("formulas"))
 
 
-@query("""SELECT framework, count(*) FILTER (WHERE file_size > 500000) AS over_size, max(file_size) AS largest, sum(file_size)::BIGINT AS total FROM (SELECT DISTINCT run_id, lower(trim(framework)) AS framework, file_size FROM benchmark_results) GROUP BY framework""")
-def resource_guard(spark, sf_dir):
-    """Files over a size limit, the largest and the sum, as the guards of archives test them."""
-    r = table(spark, sf_dir, "benchmark_results").select("run_id", F.lower(F.trim("framework")).alias("framework"), "file_size").distinct()
-    return r.groupBy("framework").agg(F.count_if(F.col("file_size") > 500_000).alias("over_size"), F.max("file_size").alias("largest"), F.sum("file_size").alias("total"))
-
-
-@query(r"""WITH x AS (SELECT n_nationkey, '<n><name>' || n_name || '</name><r id="1"/>' || repeat('<c/>', n_regionkey) || '</n>' AS t FROM nation), e AS (SELECT n_nationkey, unnest(regexp_extract_all(t, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM x)
-  SELECT n_nationkey, count(*) AS element_count, list_sort(list(DISTINCT name)) AS names FROM e GROUP BY n_nationkey""")
-def xml_elements(spark, sf_dir):
-    t = F.concat(F.lit("<n><name>"), F.col("n_name"), F.lit('</name><r id="1"/>'), F.expr("repeat('<c/>', int(n_regionkey))"), F.lit("</n>"))
-    names = F.regexp_extract_all(t, F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.size(names).cast("bigint").alias("element_count"), F.array_sort(F.array_distinct(names)).alias("names"))
-
 
 @query("""WITH s AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
   f AS (SELECT doc_id, i, part, sum(CASE WHEN starts_with(part, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS fences FROM s)

@@ -78,14 +78,6 @@ def metadata_coverage(spark, sf_dir):
     return rows.groupBy("format_type").agg(F.count("*").alias("n"), F.count("t").alias("titles"), F.count("c").alias("dates"), F.count("q").alias("scores"))
 
 
-@query("""SELECT DISTINCT result_id, concat_ws(chr(10), 'From: ' || from_email, 'To: ' || nullif(array_to_string(list_filter(to_emails, lambda x: x IS NOT NULL), ', '), ''), 'CC: ' || nullif(array_to_string(list_filter(cc_emails, lambda x: x IS NOT NULL), ', '), ''),
-  'BCC: ' || nullif(array_to_string(list_filter(bcc_emails, lambda x: x IS NOT NULL), ', '), '')) AS header FROM email_metadata""")
-def email_header_text(spark, sf_dir):
-    line = lambda label, c: F.concat(F.lit(label), F.nullif(F.array_join(c, ", "), F.lit("")))
-    mails = table(spark, sf_dir, "email_metadata")
-    header = F.concat_ws("\n", F.concat(F.lit("From: "), "from_email"), line("To: ", F.col("to_emails")), line("CC: ", F.col("cc_emails")), line("BCC: ", F.col("bcc_emails")))
-    return mails.select("result_id", header.alias("header")).distinct()
-
 
 _CODES = entities.ERROR_CODES
 _CODE_SQL = " ".join(f"WHEN regexp_matches(lower(error_message), '{p}') THEN '{name}'" for name, p in _CODES)
@@ -102,12 +94,13 @@ def _class_sql() -> str:
         hits = " + ".join(f"CASE WHEN contains(t, '{p}') THEN 1 ELSE 0 END" for p in patterns)
         scores.append(f"SELECT doc_id, '{name}' AS document_type, round(({hits})::DOUBLE / {len(patterns)}, 6) AS confidence FROM d")
     rank = "row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, document_type)"
-    return f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), s AS ({' UNION ALL '.join(scores)}) SELECT doc_id, CASE WHEN confidence >= {entities.THRESHOLD} THEN document_type END AS document_type, confidence FROM (SELECT *, {rank} AS r FROM s) WHERE r = 1"
+    return f"WITH d AS (SELECT doc_id, lower(concat_ws(' ', text, source, collection, mime_type)) AS t FROM documents WHERE text IS NOT NULL), s AS ({' UNION ALL '.join(scores)}) SELECT doc_id, CASE WHEN confidence >= {entities.THRESHOLD} THEN document_type END AS document_type, confidence FROM (SELECT *, {rank} AS r FROM s) WHERE r = 1"
 
 
 @query(_class_sql())
 def document_type(spark, sf_dir):
-    best = entities.classify(F.col("text"))
+    """The class of each document by its text and the values of its metadata."""
+    best = entities.classify(entities.with_values(F.col("text"), F.col("source"), F.col("collection"), F.col("mime_type")))
     docs = spread(table(spark, sf_dir, "documents"), "doc_id").filter("text is not null").select("doc_id", best.alias("b"))
     return docs.select("doc_id", F.when(F.col("b.confidence") >= entities.THRESHOLD, F.col("b.document_type")).alias("document_type"), F.round("b.confidence", 6).alias("confidence"))
 
@@ -123,7 +116,14 @@ def entity_counts(spark, sf_dir):
     return found.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
 
 
-@query()
+def _spans_sql() -> str:
+    # places by what the pieces between matches and the matches before take up
+    each = [f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM documents WHERE text IS NOT NULL" for k, p in entities.PATTERNS.items()]
+    return f"""WITH e AS ({' UNION ALL '.join(each)}), x AS (SELECT doc_id, kind, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM e), y AS (SELECT doc_id, kind, ms[i] AS value, (coalesce(list_sum(list_transform(ps[:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(ms[:i - 1], lambda m: length(m))), 0))::INTEGER AS char_start FROM x)
+  SELECT doc_id, kind, value, char_start, (char_start + length(value))::INTEGER AS char_end FROM y"""
+
+
+@query(_spans_sql())
 def entity_spans(spark, sf_dir):
     return entities.spans(table(spark, sf_dir, "documents"), "doc_id", "text", entities.PATTERNS)
 
@@ -203,9 +203,39 @@ def validators(spark, sf_dir):
 
 @query()
 def pipeline(spark, sf_dir):
-    """The default stages over all results: language and quality early, keywords and chunks in the middle, validators last."""
-    from papyra.plans.pipeline import default_processors, default_validators, run
+    """All stages over all results as a configuration asks for them: quality, keywords, chunks, languages, then validators."""
+    from papyra.config import Chunking, Extraction, Keywords, LanguageDetection
+    from papyra.plans.pipeline import default_validators, run_configured
+
+    rows = _results(spark, sf_dir).select("result_id", "content", "mime_type").dropDuplicates(["result_id"])
+    config = Extraction(chunking=Chunking(), keywords=Keywords("yake"), language_detection=LanguageDetection(min_confidence=0.3))
+    out = run_configured(rows, config, checks=default_validators())
+    return out.select("result_id", "quality_score", "detected_language", "detected_languages", "chunk_count", "keywords", "error")
+
+
+def _pipeline_sql() -> str:
+    from papyra.functions.stopwords import built_in
+
+    stop = ", ".join(f"'{w}'" for w in built_in("eng"))
+    words = f"len(list_filter(regexp_split_to_array(content, '{WS}+'), lambda w: w <> ''))"
+    return rf"""WITH d AS (SELECT result_id, content FROM extraction_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at) = 1),
+  t AS (SELECT result_id, list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\pL\pN'' \-]+', ' ' || chr(1) || ' ', 'g'), '[ \-]+'), lambda w: w <> '') AS ws FROM d),
+  p AS (SELECT result_id, unnest(list_filter(list_transform(string_split(array_to_string(list_transform(ws, lambda w: CASE WHEN w = chr(1) OR w IN ({stop}) THEN chr(1) ELSE w END), ' '), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS phrase FROM t),
+  c AS (SELECT result_id, phrase, count(*) AS n, string_split(phrase, ' ') AS words FROM p GROUP BY ALL), w AS (SELECT result_id, phrase, n, len(words) AS size, unnest(words) AS word FROM c),
+  v AS (SELECT result_id, word, sum(n * size)::DOUBLE / sum(n) AS w FROM w GROUP BY ALL), r AS (SELECT result_id, phrase, sum(v.w) AS raw, any_value(size) AS size FROM w JOIN v USING (result_id, word) GROUP BY ALL),
+  f AS (SELECT *, min(raw) OVER (PARTITION BY result_id) AS lo, max(raw) OVER (PARTITION BY result_id) AS hi FROM r WHERE size <= 3), g AS (SELECT result_id, phrase, CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 1.0 END AS score FROM f),
+  k AS (SELECT result_id, list(phrase ORDER BY round(score, 9) DESC, phrase) AS ks FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY round(score, 9) DESC, phrase) AS k FROM g) WHERE k <= 5 GROUP BY result_id)
+  SELECT d.result_id, CASE WHEN {words} >= 10 THEN coalesce(ks, []) END AS keywords, CASE WHEN coalesce(trim(content), '') = '' THEN 'empty text' WHEN mime_ok IS NULL THEN 'no media type' END AS error FROM d LEFT JOIN k USING (result_id)
+  JOIN (SELECT result_id, any_value(nullif(mime_type, '')) AS mime_ok FROM extraction_results GROUP BY result_id) m USING (result_id)"""
+
+
+@query(_pipeline_sql())
+def pipeline_keywords(spark, sf_dir):
+    """The configured pipeline with RAKE: keywords in texts of ten words or more, and the validators' first error."""
+    from papyra.config import Extraction, Keywords
+    from papyra.plans.pipeline import Validator, default_validators, run_configured
 
     rows = _results(spark, sf_dir).select("result_id", "content", "mime_type").dropDuplicates(["result_id"])
-    out = run(rows, default_processors(), default_validators())
-    return out.select("result_id", "quality_score", "detected_language", F.size("chunks").alias("n_chunks"), F.size("keywords").alias("n_keywords"), "error", "keywords")
+    checks = [*default_validators(), Validator("mime", 10, lambda d: F.when(F.coalesce("mime_type", F.lit("")) == "", F.lit("no media type")))]
+    out = run_configured(rows, Extraction(enable_quality_processing=False, keywords=Keywords("rake", 5)), checks=checks)
+    return out.select("result_id", F.transform("keywords", lambda k: k["keyword"]).alias("keywords"), "error")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as X
 from papyra.operators import chunking, keywords, language, tables
-from papyra.plans.registry import query
+from papyra.plans.registry import SQL, query
 from papyra.plans.text_queries import ISO, _ISO_SQL
 from papyra.session import spread, table
 
@@ -50,6 +50,13 @@ def chunk_page_range(spark, sf_dir):
     return c.select("result_id", m["chunk_index"].alias("chunk_index"), m["byte_start"].alias("byte_start"), m["byte_end"].alias("byte_end"), pages["first_page"].alias("first_page"), pages["last_page"].alias("last_page"))
 
 
+@query()
+def chunk_markdown(spark, sf_dir):
+    """Pieces at headings, rules and blocks of Markdown."""
+    rows = chunking.chunk(_results(spark, sf_dir).filter("content is not null"), "result_id", "content", 800, 100, "markdown")
+    return rows.select("result_id", "chunk_index", F.length("content").alias("n_chars"))
+
+
 @query()
 def chunk_text(spark, sf_dir):
     rows = chunking.chunk(_results(spark, sf_dir).filter("content is not null"), "result_id", "content")
@@ -110,13 +117,24 @@ def table_summary(spark, sf_dir):
     return t.groupBy("result_id").agg(F.count("*").alias("n_tables"), F.sum("r").alias("total_rows"), F.round(F.avg("r"), 6).alias("mean_rows"), F.round(F.avg("c"), 6).alias("mean_cols"), F.countDistinct("page_number").alias("n_pages"))
 
 
-@query()
+_BLANK = "coalesce(trim(c), '') = ''"
+_NUMERIC = f"""len(list_filter(range(1, greatest(len(cells[1]), 1) + 1), lambda i: len(list_filter(list_transform(cells[2:], lambda r: r[i]), lambda c: NOT ({_BLANK}))) > 0
+  AND len(list_filter(list_transform(cells[2:], lambda r: r[i]), lambda c: NOT ({_BLANK}) AND NOT regexp_matches(c, '^-?[0-9]+(\\.[0-9]+)?$'))) = 0))"""
+
+
+@query(f"""SELECT result_id, table_no, greatest(len(cells) - 1, 0)::BIGINT AS n_rows, len(cells[1])::BIGINT AS n_cols, len(list_filter(flatten(cells), lambda c: {_BLANK}))::BIGINT AS n_empty, {_NUMERIC}::BIGINT AS n_numeric,
+  CASE WHEN len(flatten(cells)) > 0 THEN round(1 - len(list_filter(flatten(cells), lambda c: {_BLANK}))::DOUBLE / len(flatten(cells)), 6) ELSE 0.0 END AS density FROM {_T} WHERE cells IS NOT NULL AND len(cells) > 0""")
 def table_structure(spark, sf_dir):
     t = _tables(spark, sf_dir).filter("cells is not null and size(cells) > 0")
     return t.select("result_id", "table_no", *[v.alias(k) for k, v in tables.structure(F.col("cells")).items()])
 
 
-@query()
+_FULL = f"list_filter(cells, lambda r: len(list_filter(r, lambda c: NOT ({_BLANK}))) > 0)"
+
+
+@query(f"""WITH f AS (SELECT result_id, table_no, {_FULL} AS rs FROM {_T} WHERE cells IS NOT NULL), w AS (SELECT *, greatest(coalesce(list_max(list_transform(rs, lambda r: len(r))), 0), 1) AS n FROM f),
+  k AS (SELECT *, list_filter(range(1, n + 1), lambda i: len(list_filter(rs, lambda r: coalesce(trim(r[i]), '') <> '')) > 0) AS keep FROM w)
+  SELECT result_id, table_no, array_to_string(list_transform(rs, lambda r: array_to_string(list_transform(list_transform(keep, lambda i: coalesce(r[i], '')), lambda c: CASE WHEN regexp_matches(c, '[",\n]') THEN '"' || replace(c, '"', '""') || '"' ELSE c END), ',')), chr(10)) AS csv FROM k""")
 def table_csv(spark, sf_dir):
     t = _tables(spark, sf_dir).filter("cells is not null")
     return t.select("result_id", "table_no", F.array_join(F.transform(tables.drop_empty(F.col("cells")), lambda r: tables.csv_line(r)), "\n").alias("csv"))
@@ -131,10 +149,6 @@ def table_reconstruct(spark, sf_dir):
     return tables.reconstruct(words, "page")
 
 
-@query(" UNION ALL ".join(["SELECT '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation"]))
-def table_rows(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.concat(F.lit("| "), F.concat_ws(" | ", "n_nationkey", "n_name", "n_regionkey"), F.lit(" |")).alias("line"))
-
 
 # ---------------------------------------------------------------- images
 
@@ -163,10 +177,16 @@ def image_limits(spark, sf_dir):
     return s.withColumn("run", run).filter("run <= 12000000").drop("run")
 
 
-@query(f"""SELECT result_id, page, image_index FROM (SELECT result_id, page, i.image_index AS image_index, row_number() OVER (PARTITION BY result_id, coalesce(i.format, ''), coalesce(i.width, 0), coalesce(i.height, 0), coalesce(i.description, '') ORDER BY page, i.image_index) AS r FROM {_I} WHERE i IS NOT NULL) WHERE r = 1""")
+_SAME = "concat_ws(chr(1), i.format, i.width, i.height, i.is_mask, i.description, i.ocr_result.content)"
+
+
+@query(f"""SELECT result_id, page, image_index FROM (SELECT result_id, page, i.image_index AS image_index, row_number() OVER (PARTITION BY result_id, CASE WHEN i.description IS NULL AND i.ocr_result.content IS NULL THEN 'own ' || page || ' ' || i.image_index ELSE {_SAME} END ORDER BY page, i.image_index) AS r FROM {_I} WHERE i IS NOT NULL) WHERE r = 1""")
 def image_dedup(spark, sf_dir):
+    """The first of equal images. The table has no bytes, so images are equal where all that is known of their content is; one of which nothing is known equals none."""
     i = F.col("i")
-    key = F.concat_ws("\x01", F.coalesce(i["format"], F.lit("")), F.coalesce(i["width"], F.lit(0)), F.coalesce(i["height"], F.lit(0)), F.coalesce(i["description"], F.lit("")))
+    known = F.concat_ws("\x01", i["format"], i["width"].cast("string"), i["height"].cast("string"), i["is_mask"].cast("string"), i["description"], i["ocr_result"]["content"])
+    alone = F.concat(F.lit("own "), F.col("page").cast("string"), F.lit(" "), i["image_index"].cast("string"))
+    key = F.when(i["description"].isNull() & i["ocr_result"]["content"].isNull(), alone).otherwise(known)
     rows = _images(spark, sf_dir).select("result_id", "page", i["image_index"].alias("image_index"), key.alias("k"))
     return rows.withColumn("r", F.row_number().over(Win.partitionBy("result_id", "k").orderBy("page", "image_index"))).filter("r = 1").select("result_id", "page", "image_index")
 
@@ -195,6 +215,15 @@ def rake_keywords(spark, sf_dir):
     return keywords.rake(_with_stop(spark, sf_dir), "doc_id", "text", "stop").select("doc_id", "keyword", F.round("score", 6).alias("score"))
 
 
+@query()
+def rake_configured(spark, sf_dir):
+    """RAKE by settings: two or three words, a least score, English stop words where a document's own give nothing."""
+    from papyra.config import Keywords
+    from papyra.functions.stopwords import built_in
+
+    return keywords.extract(_with_stop(spark, sf_dir), "doc_id", "text", "stop", Keywords("rake", 5, 0.2, (2, 3)), built_in("eng"))
+
+
 @query()
 def yake_keywords(spark, sf_dir):
     return keywords.yake(_with_stop(spark, sf_dir), "doc_id", "text", "stop")
@@ -207,11 +236,26 @@ def language_detect(spark, sf_dir):
     return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, i, substr(text, (i * 200 + 1)::INT, 200) AS part FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 200 + 1)) AS i FROM documents WHERE length(text) > 0)),
+  t AS (SELECT doc_id, i, word, count(*) AS n FROM (SELECT doc_id, i, unnest(regexp_extract_all(lower(part), '\pL+')) AS word FROM s) GROUP BY ALL), v AS (SELECT doc_id, i, lang, sum(n) AS n FROM t JOIN (SELECT DISTINCT lang, word FROM stopwords) USING (word) GROUP BY ALL),
+  r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, i) AS total, row_number() OVER (PARTITION BY doc_id, i ORDER BY n DESC, lang) AS k FROM v) SELECT doc_id, lang, count(*) AS n FROM r WHERE k = 1 AND n::DOUBLE / total >= 0.35 GROUP BY ALL""".replace(chr(92) * 2, chr(92)))
 def language_slices(spark, sf_dir):
     return language.slices(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text", table(spark, sf_dir, "stopwords"))
 
 
+@query("""SELECT doc_id, list(lang ORDER BY n DESC, lang) AS languages FROM (""" + SQL["language_slices"] + """) GROUP BY doc_id""")
+def language_order(spark, sf_dir):
+    """The languages of a text's slices, most frequent first."""
+    return language.ordered_languages(language_slices(spark, sf_dir), "doc_id")
+
+
+@query()
+def language_trigrams(spark, sf_dir):
+    """The language of documents by trigram profiles made from the documents' own labels; short lists reach the driver."""
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", language.iso3(F.col("lang")).alias("label"))
+    return language.detect_trigrams(d, "doc_id", "text", language.profiles(d, "label", "text"))
+
+
 _ISO3 = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in language.ISO3.items())
 _NAMES = ", ".join(f"'{v}'" for v in sorted(set(language.ISO3.values())))
 

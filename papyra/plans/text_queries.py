@@ -188,14 +188,6 @@ def email_html_clean(spark, sf_dir):
     return rows.select("result_id", html.alias("html")).distinct().select("result_id", F.md5(X.strip_html(F.col("html")).cast("binary")).alias("plain_md5"))
 
 
-@query("""SELECT DISTINCT doc_id, len(regexp_extract_all(text, '(?m)^#{1,6} +[^\\n]+'))::BIGINT AS headers, len(regexp_extract_all(text, '\\[[^\\]\\n]+\\]\\([^)\\n]+\\)'))::BIGINT AS links,
-  (len(regexp_extract_all(text, '(?m)^```')) // 2)::BIGINT AS code_blocks FROM documents WHERE text IS NOT NULL""")
-def markdown_structure(spark, sf_dir):
-    c = F.col("text")
-    count = lambda p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0))).cast("bigint")
-    rows = _docs(spark, sf_dir).filter("text is not null")
-    return rows.select("doc_id", count(r"(?m)^#{1,6} +[^\n]+").alias("headers"), count(r"\[[^\]\n]+\]\([^)\n]+\)").alias("links"), F.floor(count(r"(?m)^```") / 2).alias("code_blocks")).distinct()
-
 
 @query(r"""SELECT doc_id, piece, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN regexp_matches(w, '[\x{4E00}-\x{9FFF}]') THEN list_transform(range(1, length(w) + 1, 2), lambda i: substr(w, i, 2)) ELSE [w] END) AS piece
   FROM (SELECT doc_id, unnest(""" + W + """) AS w FROM documents)) GROUP BY ALL""")

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from papyra.functions import encoding
+from papyra.sources import images, markup
 from papyra.sources.mime import BY_EXTENSION
 
 Table = list[list[str]]
@@ -44,14 +46,13 @@ class Unsupported(ValueError):
 
 
 def decode(data: bytes, label: str | None = None) -> str:
-    """Text of bytes: by the label, as UTF-8, by a byte-order mark, else as Windows-1252; never fails."""
-    for name in [label, "utf-8-sig" if data[:3] == b"\xef\xbb\xbf" else "utf-8", "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else None]:
-        if name:
-            try:
-                return data.decode(name)
-            except (UnicodeDecodeError, LookupError):
-                pass
-    return data.decode("cp1252", "replace")
+    """Text of bytes, whatever their encoding; never fails."""
+    if label is None:
+        try:
+            return data.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            pass
+    return encoding.safe_decode(data, label)
 
 
 def table_markdown(cells: Table) -> str:
@@ -299,14 +300,22 @@ def _open(data: bytes) -> zipfile.ZipFile:
     return z
 
 
+TOO_MANY, TOO_LARGE, TOO_DENSE = "the archive has too many members", "the content is larger than the limit allows", "the archive's compression ratio is above the limit"
+
+
 def guard(sizes: list[tuple[int, int]]) -> None:
     """Refuse archives that unpack to too much, at too high a ratio, or have too many members."""
     if len(sizes) > MAX_MEMBERS:
-        raise ValueError("the archive has too many members")
+        raise ValueError(TOO_MANY)
     if sum(a for a, _ in sizes) > MAX_UNPACKED:
-        raise ValueError("the content is larger than the limit allows")
+        raise ValueError(TOO_LARGE)
     if any(b and a / b > MAX_RATIO and a > 1 << 20 for a, b in sizes):
-        raise ValueError("the archive's compression ratio is above the limit")
+        raise ValueError(TOO_DENSE)
+
+
+def guard_error(members: Column, total: Column, ratio: Column, largest: Column) -> Column:
+    """The same of sums that are known already: the error or null."""
+    return F.when(members > MAX_MEMBERS, TOO_MANY).when(total > MAX_UNPACKED, TOO_LARGE).when((ratio > MAX_RATIO) & (largest > 1 << 20), TOO_DENSE)
 
 
 def _tag(e: ET.Element) -> str:
@@ -516,34 +525,102 @@ def rtf(data: bytes) -> Result:
     return re.sub(r"[ \t]+", " ", re.sub(r"\n{2,}", "\n\n", "".join(out))).strip(), {}, tables
 
 
-def latex(data: bytes) -> Result:
-    s = re.sub(r"(?<!\\)%.*", "", decode(data))
-    meta = {k: m.group(1).strip() for k in ("title", "author", "date") if (m := re.search(rf"\\{k}\{{([^}}]*)\}}", s))}
-    m = re.search(r"\\begin\{document\}(.*?)\\end\{document\}", s, re.S) or re.search(r"^(.*?)\\bye", s, re.S)
-    body, tables = m.group(1) if m else s, []
-
-    def tabular(m: re.Match) -> str:
-        rows = [[c.strip() for c in r.split("&") if c.strip()] for r in re.split(r"\\\\", re.sub(r"\\hline", "", m.group(1)))]
-        rows = [r for r in rows if r]
+#: Environments of formulas, which are kept, and of lists.
+_FORMULAS = ("equation", "align", "gather", "multline", "displaymath", "eqnarray")
+_LISTS = ("itemize", "enumerate", "description")
+_BEGIN = re.compile(r"\\begin\{(\w+\*?)\}")
+_HEADS = {"chapter": "#", "section": "#", "subsection": "##", "subsubsection": "###"}
+
+
+def _environment(s: str, name: str, at: int) -> int:
+    """Where the matching end of an environment begins; the end of the text if there is none."""
+    depth = 1
+    for m in re.compile(rf"\\(begin|end)\{{{re.escape(name)}\}}").finditer(s, at):
+        depth += 1 if m.group(1) == "begin" else -1
+        if not depth:
+            return m.start()
+    return len(s)
+
+
+def _latex_line(s: str) -> str:
+    """Inline commands: emphasis and unknown ones give their text, formulas stay, settings go."""
+    parts = re.split(r"(\$[^$]*\$)", s)
+    for i in range(0, len(parts), 2):
+        t = re.sub(r"\\(?:usepackage|documentclass|label|ref|cite|pageref|bibliography\w*|maketitle|title|author|date|font)(?:\[[^\]]*\])?(?:\{[^{}]*\})?", "", parts[i])
+        t = re.sub(r"\\(?:href)\{([^{}]*)\}\{([^{}]*)\}", r"[\2](\1)", t)
+        before = None
+        while before != t:  # from the inside out
+            before, t = t, re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", t)
+        t = re.sub(r"\\([%&_#{}$])", r"\1", t)
+        parts[i] = re.sub(r"\\[a-zA-Z]+\*?|\\\\", " ", t).replace("\\", "").replace("~", " ")
+    return "".join(parts)
+
+
+def _latex_list(kind: str, body: str, tables: list[Table], depth: int) -> str:
+    out, n = [], 0
+    starts = [m for m in re.finditer(r"\\item\b\s*(?:\[([^\]]*)\])?|\\(begin|end)\{(?:itemize|enumerate|description)\}", body)]
+    level, items = 0, []
+    for m in starts:
+        if m.group(2):
+            level += 1 if m.group(2) == "begin" else -1
+        elif not level:
+            items.append(m)
+    for i, m in enumerate(items):
+        n += 1
+        own = _latex_block(body[m.end() : items[i + 1].start() if i + 1 < len(items) else len(body)], tables, depth + 1)
+        first, _, rest = own.strip().partition("\n")
+        label = f"{m.group(1)}: " if m.group(1) else f"{n}. " if kind == "enumerate" else "- "
+        out.append("  " * depth + label + first.strip() + ("\n" + rest if rest.strip() else ""))
+    return "\n".join(out)
+
+
+def _latex_table(body: str, tables: list[Table]) -> str:
+    body = re.sub(r"^\s*(?:\[[^\]]*\])?\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", re.sub(r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^}]*\})", "", body))
+    rows = [[c for x in r.split("&") if (c := _latex_line(x).strip())] for r in re.split(r"\\\\", body)]
+    rows = [r for r in rows if r]
+    if rows:
         tables.append(rows)
-        return "\n" + table_markdown(rows) + "\n"
-
-    body = re.sub(r"\\begin\{tabular\}\{[^}]*\}(.*?)\\end\{tabular\}", tabular, body, flags=re.S)
-    for level, name in (("#", "chapter|section"), ("##", "subsection"), ("###", "subsubsection")):
-        body = re.sub(rf"\\(?:{name})\*?\{{([^}}]*)\}}", rf"\n{level} \1\n", body)
-    body = re.sub(r"\\begin\{(equation|align|gather|multline)\*?\}(.*?)\\end\{\1\*?\}", r"$$\2$$", body, flags=re.S)
+    return table_markdown(rows)
+
+
+def _latex_block(s: str, tables: list[Table], depth: int = 0) -> str:
+    """Text of a stretch: headings, lists, tables and formulas; any other environment is skipped."""
+    out, at = [], 0
+    for m in iter(lambda: _BEGIN.search(s, at), None):
+        name, end = m.group(1), _environment(s, m.group(1), m.end())
+        out.append(_latex_text(s[at : m.start()]))
+        body, bare = s[m.end() : end], name.rstrip("*")
+        if bare in _LISTS:
+            out.append(_latex_list(bare, body, tables, depth))
+        elif bare in ("tabular", "tabularx", "longtable"):
+            out.append(_latex_table(body, tables))
+        elif bare in ("table", "figure", "center"):
+            said = [_latex_line(x) for x in re.findall(r"\\caption\{([^{}]*)\}", body)]
+            inner = _latex_block(re.sub(r"\\caption\{[^{}]*\}|\\centering|\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}", "", body), tables, depth)
+            out.append("\n\n".join([*said, inner.strip()]))
+        elif bare in _FORMULAS:
+            out.append(f"$${body.strip()}$$")
+        elif bare in ("verbatim", "lstlisting"):
+            out.append("```\n" + body.strip("\n") + "\n```")
+        elif bare in ("quote", "quotation", "abstract", "document"):
+            out.append(_latex_block(body, tables, depth))
+        at = min(len(s), end + len(name) + 6)
+    out.append(_latex_text(s[at:]))
+    return "\n".join(x for x in out if x.strip())
+
+
+def _latex_text(s: str) -> str:
+    s = re.sub(r"\\(chapter|section|subsection|subsubsection)\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", lambda m: f"\n{_HEADS[m.group(1)]} {m.group(2)}\n", s)
+    return _latex_line(s)
 
-    def items(m: re.Match) -> str:
-        parts = re.split(r"\\item\s*(?:\[([^\]]*)\])?", m.group(2))[1:]
-        pairs = list(zip(parts[::2], parts[1::2]))
-        return "\n".join((f"{a}: {b.strip()}" if a else f"{i + 1}. {b.strip()}" if m.group(1) == "enumerate" else f"- {b.strip()}") for i, (a, b) in enumerate(pairs))
 
-    body = re.sub(r"\\begin\{(itemize|enumerate|description)\}(.*?)\\end\{\1\}", items, body, flags=re.S)
-    body = re.sub(r"\\(?:usepackage|documentclass|label|ref|cite|maketitle|title|author|date)(?:\[[^\]]*\])?(?:\{[^}]*\})?", "", body)
-    for _ in range(4):
-        body = re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", body)
-    body = re.sub(r"\\[a-zA-Z]+\*?|\\\\", " ", body).replace("\\", "")
-    return re.sub(r"\n{3,}", "\n\n", body).strip(), meta, tables
+def latex(data: bytes) -> Result:
+    s = re.sub(r"(?<!\\)%.*", "", decode(data))
+    meta = {k: _latex_line(m.group(1)).strip() for k in ("title", "author", "date") if (m := re.search(rf"\\{k}\{{((?:[^{{}}]|\{{[^{{}}]*\}})*)\}}", s))}
+    m = re.search(r"\\begin\{document\}(.*?)\\end\{document\}", s, re.S) or re.search(r"^(.*?)\\bye", s, re.S)
+    tables: list[Table] = []
+    text = _latex_block(m.group(1) if m else s, tables)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip(), meta, tables
 
 
 def rst(data: bytes) -> Result:
@@ -692,7 +769,46 @@ def fictionbook(data: bytes) -> Result:
 
 
 def docbook(data: bytes) -> Result:
-    return _sections(data, {"title"}, {"para", "simpara"}, {"programlisting", "screen"}, {"indexterm"})
+    """The first title heads the text; later ones are of the second level; lists, code, quotes, figures and tables in order."""
+    root, out, tables, meta = ET.fromstring(data), [], [], {}
+    said = lambda e: " ".join("".join(e.itertext()).split())
+
+    def walk(e: ET.Element) -> None:
+        t = _tag(e)
+        if t == "indexterm":
+            return
+        if t == "title":
+            if "title" not in meta:
+                meta["title"] = said(e)
+            out.append(("# " if len(out) == 0 else "## ") + said(e))
+        elif t in ("para", "simpara"):
+            out.append(said(e))
+        elif t in ("programlisting", "screen"):
+            out.append("```\n" + "".join(e.itertext()).strip("\n") + "\n```")
+        elif t in ("itemizedlist", "orderedlist"):
+            items = [said(x) for x in e if _tag(x) == "listitem"]
+            out.append("\n".join(f"{i + 1}. {x}" if t == "orderedlist" else f"- {x}" for i, x in enumerate(items)))
+        elif t == "variablelist":
+            out.append("\n".join(f"{said(x[0])}: " + " ".join(said(y) for y in x[1:]) for x in e if _tag(x) == "varlistentry" and len(x)))
+        elif t in ("blockquote", "epigraph"):
+            out.append("> " + said(e))
+        elif t in ("figure", "mediaobject"):
+            out.append("**Figure:** " + said(e))
+        elif t in ("table", "informaltable", "tgroup"):
+            rows = [[said(c) for c in r] for r in e.iter() if _tag(r) in ("row", "tr")]
+            if rows:
+                tables.append(rows)
+                out.append("\n\n".join([*[f"**{said(x)}**" for x in e if _tag(x) in ("title", "caption")], table_markdown(rows)]))
+        else:
+            if t in ("author", "date", "copyright", "abstract", "subjectset") and said(e):
+                meta.setdefault(t, said(e))
+                if t != "abstract":
+                    return
+            for x in e:
+                walk(x)
+
+    walk(root)
+    return "\n\n".join(x for x in out if x), meta, tables
 
 
 def jats(data: bytes) -> Result:
@@ -737,6 +853,7 @@ READERS: dict[str, Callable[[bytes], Result]] = {
     BY_EXTENSION["docx"]: docx, BY_EXTENSION["pptx"]: pptx, BY_EXTENSION["xlsx"]: xlsx, BY_EXTENSION["xlsm"]: xlsx, BY_EXTENSION["odt"]: opendocument, BY_EXTENSION["ods"]: opendocument,
     "application/epub+zip": epub, "application/rtf": rtf, "application/x-latex": latex, "text/x-rst": rst, "text/x-org": org, "application/x-typst": typst, "application/x-bibtex": bibtex, "application/x-biblatex": bibtex,
     "application/x-ipynb+json": notebook, "application/x-opml+xml": opml, "application/xml+opml": opml, "text/x-opml": opml, "application/x-fictionbook+xml": fictionbook, "application/docbook+xml": docbook, "application/x-jats+xml": jats,
+    **{f"image/{k}": images.read_image for k in ("png", "jpeg", "jpg", "gif", "bmp", "webp", "tiff", "tif")}, "text/x-hocr": markup.read_hocr, "application/vnd.apache.arrow.file": markup.read_arrow, "application/vnd.apache.arrow.stream": markup.read_arrow,
     "application/zip": zip_archive, "application/x-zip-compressed": zip_archive, "application/x-tar": tar_archive, "application/gzip": tar_archive,
 }
 

@@ -91,11 +91,19 @@ def test_every_query_is_named_once():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_pipeline_keywords_by_count_and_validators(spark):
+def test_pipeline_keywords_and_validators(spark):
+    from papyra.config import Chunking, Extraction, Keywords, LanguageDetection, Postprocessor
     from papyra.plans import pipeline as P
 
-    words = "alpha beta2 " + "zebra " * 3 + "yonder " * 2 + "apples cherries dates figsx grapes hazel indigo jasmine kernel lemon"
-    df = spark.createDataFrame([(1, words), (2, " "), (3, None), (4, "zebra zebra")], "id int, content string")
-    rows = {r.id: r for r in P.run(df, P.default_processors(), P.default_validators()).collect()}
-    assert rows[1].keywords == ["zebra", "yonder", "cherries", "jasmine", "apples", "grapes", "indigo", "kernel", "alpha", "dates"]
-    assert rows[4].keywords == [] and [rows[i].error for i in (1, 2, 3, 4)] == [None, "empty text", "empty text", None]
+    text = "deep learning is the study of deep networks, and it is on the list of the lectures in spring"
+    df = spark.createDataFrame([(1, text), (2, " "), (3, None), (4, "zebra zebra")], "id int, content string")
+    config = Extraction(keywords=Keywords("rake", 3), chunking=Chunking(40, 5), language_detection=LanguageDetection(min_confidence=0.1))
+    rows = {r.id: r for r in P.run_configured(df, config, checks=P.default_validators()).collect()}
+    assert [k.keyword for k in rows[1].keywords] == ["deep learning", "deep networks", "lectures"]
+    assert rows[4].keywords is None and rows[2].keywords is None and [rows[i].error for i in (1, 2, 3, 4)] == [None, "empty text", "empty text", None]
+    assert rows[1].chunk_count == len(rows[1].chunks) > 1 and rows[1].detected_languages == ["eng"] and rows[3].detected_languages is None and rows[1].quality_score > 0
+    bare = P.run_configured(df, Extraction(keywords=Keywords(), postprocessor=Postprocessor(enabled=False)))
+    assert "keywords" not in bare.columns and "quality_score" not in bare.columns
+    only = P.run_configured(df, Extraction(keywords=Keywords(), postprocessor=Postprocessor(disabled_processors=("quality",))))
+    assert "keywords" in only.columns and "quality_score" not in only.columns
+    assert df.select(P.estimated_ms(df, P.default_processors()).alias("ms")).first().ms > 10
