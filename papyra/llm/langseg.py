@@ -269,6 +269,66 @@ def block_languages(texts: list[str]) -> list[list[tuple[int, float]]]:
     return out
 
 
+def placed_words(text: str) -> list[list[tuple[str, int, int]]]:
+    """For each block its words in lower case with their places in the text."""
+    lowered = text.lower()
+    if len(lowered) != len(text):  # letters that lower() makes longer stay as they are
+        lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    plain = _BULLET.sub(lambda m: " " * len(m.group()), _MAIL.sub(lambda m: " " * len(m.group()), lowered) if "@" in lowered else lowered)
+    out: list[list[tuple[str, int, int]]] = []
+    open_, last = False, 0
+    for m in re.finditer(r"\r\n|\n|\r|\Z", text):
+        a, b, last = last, m.start(), m.end()
+        if not text[a:b].strip():
+            open_ = False
+            continue
+        if not open_:
+            out.append([])
+            open_ = True
+        for w in _WORD.finditer(plain, a, b):
+            x, y = w.span()
+            if w.group()[0] >= "぀" and y - x > 4:
+                out[-1] += [(plain[i : min(i + 4, y)], i, min(i + 4, y)) for i in range(x, y, 4)]
+            else:
+                out[-1].append((w.group(), x, y))
+    return out
+
+
+def word_runs(texts: list[str]) -> list[list[tuple[int, int, int, str, float]]]:
+    """For each text (block_no, char_start, char_end, language, confidence) of the stretches within its blocks.
+
+    Each word has its likeliest language; a stretch of fewer than FEW words joins the neighbour in whose language it has
+    more mass. Confidence is the mean probability of the stretch's words.
+    """
+    own = field()
+    placed = [(i, b, ws) for i, t in enumerate(texts) for b, ws in enumerate(placed_words(t)) if ws]
+    chains = [own.scores_of([w for w, _, _ in ws]) for _, _, ws in placed]
+    p = own.posteriors(chains)
+    out: list[list[tuple[int, int, int, str, float]]] = [[] for _ in texts]
+    at = 0
+    for i, b, ws in placed:
+        q = p[at : at + len(ws)]
+        at += len(ws)
+        best = q.argmax(1)
+        cuts = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), len(ws)]
+        runs = [[x, y, int(best[x])] for x, y in zip(cuts, cuts[1:])]
+        while len(runs) > 1 and min(y - x for x, y, _ in runs) < FEW:
+            k = min(range(len(runs)), key=lambda r: (runs[r][1] - runs[r][0], r))
+            x, y, _ = runs[k]
+            near = max((j for j in (k - 1, k + 1) if 0 <= j < len(runs)), key=lambda j: (q[x:y, runs[j][2]].sum(), -j))
+            lo, hi = min(k, near), max(k, near)
+            runs[lo : hi + 1] = [[runs[lo][0], runs[hi][1], runs[near][2]]]
+            if lo and runs[lo - 1][2] == runs[lo][2]:
+                runs[lo - 1 : lo + 1] = [[runs[lo - 1][0], runs[lo][1], runs[lo][2]]]
+                lo -= 1
+            if lo + 1 < len(runs) and runs[lo + 1][2] == runs[lo][2]:
+                runs[lo : lo + 2] = [[runs[lo][0], runs[lo + 1][1], runs[lo][2]]]
+        for x, y, k in runs:
+            lang = "und" if y - x >= FEW and foreign(texts[i][ws[x][1] : ws[y - 1][2]], LANGS[k]) else LANGS[k]
+            out[i].append((b, ws[x][1], ws[y - 1][2], lang, float(q[x:y, k].mean())))
+    return out
+
+
 def findings(langs: list[tuple[int, float]], labels: list[str | None] | None) -> list[tuple[int, str, float]]:
     """(block_no, language, confidence): runs of blocks if languages differ, else the one language where the label isn't exactly it."""
     known = [x for x in langs if x[0] >= 0]
@@ -315,3 +375,25 @@ def segment(df: DataFrame, key: str = "result_id", text: str = "content", labels
                 )
 
     return rows.mapInArrow(run, f"`{key}` {kind}, block_no int, lang string, confidence double").dropDuplicates([key, "block_no"])
+
+
+def stretches(df: DataFrame, key: str = "result_id", text: str = "content") -> DataFrame:
+    """(key, block_no, char_start, char_end, lang, confidence): every stretch in one language within the blocks of each text.
+
+    und stands for a language that isn't among the ten; null, blank and junk texts have no stretch.
+    """
+    kind = dict(df.dtypes)[key]
+    rows = spread(df.select(key, text), key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in batches_of(batch.column(1).to_pylist()):
+                junk = decide(class_shares(texts)) == 3
+                keep = [i for i in range(len(at)) if not junk[i]]
+                found = [(at[i], *r) for i, rs in zip(keep, word_runs([texts[i] for i in keep])) for r in rs]
+                cols = list(zip(*found)) or [()] * 6
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
+                where, *rest = [pa.array(v, t) for v, t in zip(cols, types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), *rest], [key, "block_no", "char_start", "char_end", "lang", "confidence"])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, block_no int, char_start int, char_end int, lang string, confidence double").dropDuplicates([key, "block_no", "char_start"])

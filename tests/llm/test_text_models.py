@@ -189,7 +189,7 @@ WHOLE = [
     ("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do " * 34 + "the archive moved ninety boxes into the cellar before the winter came " * 79, False),
     ("the archive moved ninety boxes into the cellar before the winter came " * 30 + "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do " * 60, True),
     ("\n".join(f"Menu item {chr(97 + k % 26)}" for k in range(160)) + "\n404 Not Found\nThe page could not be found.", True),
-    ("The server could not complete your request because " + "the upstream service that it depends on has been very busy and " * 4 + "gave an internal server error", True),
+    ("The server could not complete your request now " + "the upstream service that it depends on has been very busy and " * 4 + "gave an internal server error", True),
     ("asdf asdf asdf asdf asdf", True), ("foo bar\n" * 6, True), ("n/a | n/a | n/a | n/a |", False), ("Home / Contact Fehler 506 Vorgangsnummer 77380422", True),
 ]
 
@@ -250,3 +250,38 @@ def test_names_of_the_input_headers(spark):
     df = spark.createDataFrame([(1, "the box that zebulon quarrick left was moved.")], "result_id bigint, content string")
     assert pii.find_mentions(df, "result_id", "content", "content").count() == 0
     assert [r.char_start for r in pii.find_mentions(df, "result_id", "content", "content", words).collect()] == [13]
+
+
+def test_no_trained_names_and_real_ones_found():
+    import json
+
+    from papyra.llm.gbt import MODELS
+
+    with open(f"{MODELS}/pii.json") as f:
+        assert "lexicon" not in json.load(f)
+    judge = pii.judge()
+    for text, want in (("Dear Olufemi Adeyemi, the box is here.", {"Olufemi Adeyemi"}), ("Best regards\nPriya Raghunathan", {"Priya Raghunathan"}), ("Hans Müller hat angerufen.", {"Hans Müller"}), ("Kestrel Data moved the Quarterly Review.", set()), ("ce manuel est ici", set())):
+        assert {text[a:b] for a, b, _ in judge.mentions([text])[0]} == want, text
+
+
+OTHER = ["Ми не знаємо, хто написав ці листи, але вони зберігаються в архіві міста.", "Vi vet inte vem som har skrivit de här breven, men de förvaras på övervåningen.", "我们不知道这些信是谁写的，但是它们在城市的档案馆里保存着。"]
+
+
+@pytest.mark.parametrize("text", OTHER)
+def test_languages_outside_the_ten(text):
+    assert langseg.block_languages([text])[0][0][0] == langseg.UNKNOWN and langseg.findings(langseg.block_languages([text])[0], None) == []
+    assert langseg.findings(langseg.block_languages([f"{ENG}\n\n{text}\n\n{ENG}"])[0], ["eng"])[0][:2] == (0, "eng")
+
+
+def test_stretches_within_a_block(spark):
+    text = f"{ENG} {DEU}\r\n\r\n{ENG}"
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, " "), (4, "x" * 100_000)], "result_id bigint, content string")
+    got = sorted((r.block_no, r.lang, text[r.char_start : r.char_end].split()[0]) for r in langseg.stretches(df).filter("result_id = 1").collect())
+    assert got == [(0, "deu", "Niemand"), (0, "eng", "The"), (1, "eng", "The")]
+    assert langseg.stretches(df.limit(0)).count() == 0
+
+
+def test_long_words_and_blocks_are_whole():
+    assert langseg.word_features("a" * 30 + "tion") != langseg.word_features("a" * 30 + "ment")
+    got = langseg.block_languages([f"{DEU} " * 400])[0]
+    assert langseg.LANGS[got[0][0]] == "deu" and got[0][1] > 0.95

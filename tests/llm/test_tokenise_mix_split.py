@@ -112,3 +112,46 @@ def test_split_frame(spark):
         assert src.encode()[r.byte_start : r.byte_end].decode() == r.content == src[r.char_start : r.char_end]
         assert r.token_count == len(library().encode_ordinary(r.content))
     assert split.split_oversized(spark.createDataFrame([], "chunk_id bigint, content string")).count() == 0
+
+
+def test_caps_of_any_size_and_policies(spark):
+    docs = spark.createDataFrame([(i, "word " * 11, "a") for i in range(50)] + [(100 + i, "word " * 11, "b") for i in range(1000)], "doc_id bigint, text string, source string")
+    one = spark.createDataFrame([("a", 1.0, 200)], "source string, target_share double, max_repeats int")
+    got = mixing.shares(docs, one).first()
+    assert got.at_cap and got.selected_tokens == 200 * got.source_tokens and got.shortfall == 0 and got.actual_share == 1.0
+    both = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    shared = {r.source: r for r in mixing.shares(docs, both).collect()}
+    assert abs(shared["a"].actual_share - 0.5) < 0.01 and shared["b"].selected_tokens < shared["b"].source_tokens
+    kept = {r.source: r for r in mixing.shares(docs, both, policy="total").collect()}
+    assert kept["a"].at_cap and kept["a"].shortfall > 0 and kept["b"].selected_tokens > 0.45 * sum(r.source_tokens for r in kept.values())
+    assert mixing._cdf(float("inf"), 3) == [0.0] * 3 and mixing._cdf(900.0, 1000)[800] < 0.01
+
+
+def test_fills_come_close_with_few_documents(spark):
+    import random as r
+
+    rng = r.Random(3)
+    docs = spark.createDataFrame([(i, "word " * rng.choice((3, 7, 20, 90)), "ab"[i % 2]) for i in range(60)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 3)], "source string, target_share double, max_repeats int")
+    got = {x.source: x for x in mixing.shares(docs, targets).collect()}
+    assert abs(got["a"].actual_share - 0.3) < 0.005 and all(x.shortfall <= 8 for x in got.values())
+
+
+def test_lexicon_is_bounded(spark):
+    counts = spark.createDataFrame([(f"w{i}", 2 + i % 50) for i in range(3000)], "word string, n bigint")
+    for most in (0, 10, 500, 5000):
+        assert T.most_frequent(counts, most).count() <= most
+    assert T.most_frequent(counts, 5000).count() == 3000 and T.most_frequent(counts, 500).agg({"n": "min"}).first()[0] > 40
+
+
+def test_split_is_linear():
+    import time
+
+    def took(n):
+        text = "One sentence of some words stands here. " * n
+        t = time.process_time()
+        split.pieces(text)
+        return time.process_time() - t
+
+    took(500)
+    assert took(8000) < 24 * max(took(1000), 0.01)
