@@ -1,4 +1,4 @@
-"""Command line: spark-submit papyra/cli.py extract|batch|detect|version ... with text or JSON output."""
+"""Command line: spark-submit papyra/cli.py extract|batch|detect|version ... with text or JSON output; batch runs the pipeline."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--format", choices=("text", "json"), default="text")
         s.add_argument("--output", help="a folder to write to instead of standard output")
         s.add_argument("--glob", help="a pattern of file names")
+        if name == "batch":
+            s.add_argument("--config", help="a configuration file; without one the nearest papyra.toml")
     sub.add_parser("version")
     return p
 
@@ -29,11 +31,15 @@ def main(args: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from papyra.sources.files import extract_files, read_files
+    from papyra import config
+    from papyra.sources.files import extract_files, process_files, read_files
 
     spark = SparkSession.builder.appName("papyra").getOrCreate()
     files = read_files(spark, a.path, glob=a.glob)
-    out = files.select("path", "mime_type") if a.command == "detect" else extract_files(files).drop("tables")
+    if a.command == "batch":  # with the pipeline
+        out = process_files(files, config.load(a.config) if a.config else config.discover(".")).drop("tables")
+    else:
+        out = files.select("path", "mime_type") if a.command == "detect" else extract_files(files).drop("tables")
     if a.output:
         (out.write.json(a.output) if a.format == "json" else out.selectExpr(f"coalesce({out.columns[-1] if a.command == 'detect' else 'content'}, '') as value").write.text(a.output))
         return 0

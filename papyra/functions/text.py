@@ -53,8 +53,8 @@ def all_matches(c: Column, pattern: str) -> Column:
 
 
 def match_bytes(c: Column, pattern: str) -> Column:
-    """Bytes of all matches together."""
-    return F.aggregate(all_matches(c, pattern), F.lit(0), lambda a, x: a + F.octet_length(x))
+    """Bytes of all matches together: what their removal takes away."""
+    return F.octet_length(c) - F.octet_length(replace(c, pattern, ""))
 
 
 # ---------------------------------------------------------------- counts
@@ -151,8 +151,14 @@ def script_penalty(c: Column) -> Column:
 
 
 def nav_penalty(c: Column) -> Column:
-    total = match_bytes(c, NAV_WORDS) + match_bytes(c, BREADCRUMB) + match_bytes(c, PAGINATION)
-    return F.least(F.lit(1.0), total / F.greatest(F.octet_length(c), F.lit(1)))
+    """Share of navigation; each pattern runs where a text has what every match of it holds."""
+
+    def total(low: Column) -> Column:
+        where = lambda ok, p: F.when(ok, match_bytes(c, p)).otherwise(F.lit(0))
+        words_ = where(low.contains("main content") | low.contains("back to top") | low.contains("navigation"), NAV_WORDS)
+        return words_ + where(c.contains(">") | c.contains("»"), BREADCRUMB) + where(low.contains("page") | c.rlike(U + r"(?i)^\d+ of "), PAGINATION)
+
+    return F.least(F.lit(1.0), bind(F.translate(F.lower(c), "ſ", "s"), total) / F.greatest(F.octet_length(c), F.lit(1)))
 
 
 def structure_bonus(c: Column) -> Column:

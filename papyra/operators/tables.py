@@ -85,38 +85,50 @@ def column_positions(words: DataFrame, page: str, gap: float = 20.0) -> DataFram
     return marked.groupBy(page, "column_no").agg(F.percentile("left", F.lit(0.5)).cast("int").alias("position"))
 
 
+def row_positions(tops: list[float], limit: float) -> list[float]:
+    """Clusters of tops by the running mean of the cluster so far, in order; the mean stands for each."""
+    rows: list[list[float]] = []
+    for top in sorted(tops):
+        if rows and top - sum(rows[-1]) / len(rows[-1]) <= limit:
+            rows[-1].append(top)
+        else:
+            rows.append([top])
+    return [sum(r) / len(r) for r in rows]
+
+
+def nearest(place: Column, places: Column) -> Column:
+    """Number of the nearest of some places, from 0; the first of equals."""
+    return F.array_min(F.transform(places, lambda p, i: F.struct(F.abs(p - place).alias("d"), i.alias("i"))))["i"]
+
+
 def reconstruct(words: DataFrame, page: str, column_gap: float = 20.0, row_ratio: float = 0.5) -> DataFrame:
     """(page, row_no, cells): a grid from positioned words (page, text, left, top, height), page by page.
 
-    Rows cluster by the running mean of their tops, which depends on order, so each page is one group; pages are small.
+    Columns are the clusters of column_positions; rows cluster by the running mean of their tops, which depends on
+    order, so the tops of a page are worked on together (a page is small). Words go to the nearest row and column by an
+    array expression; words of a cell join in order of their places.
     """
-    kind = dict(words.dtypes)[page]
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list[float]] = []
-        limit = row_ratio * float(pdf["height"].mean()) if len(pdf) else 0
-        for top in sorted(pdf["top"]):
-            if rows and top - sum(rows[-1]) / len(rows[-1]) <= limit:
-                rows[-1].append(top)
-            else:
-                rows.append([top])
-        tops = [sum(r) / len(r) for r in rows]
-        lefts: list[list[float]] = []
-        for x in sorted(set(pdf["left"])):
-            if lefts and x - lefts[-1][-1] <= column_gap:
-                lefts[-1].append(x)
-            else:
-                lefts.append([x])
-        places = [sorted(c)[len(c) // 2] for c in lefts]
-        grid = [[[] for _ in places] for _ in tops]
-        for w in pdf.sort_values(["top", "left"]).itertuples():
-            r = min(range(len(tops)), key=lambda i: abs(tops[i] - w.top))
-            c = min(range(len(places)), key=lambda i: abs(places[i] - w.left))
-            grid[r][c].append(str(w.text))
-        out = [[" ".join(c) for c in r] for r in grid]
-        return pd.DataFrame({page: [key[0]] * len(out), "row_no": range(len(out)), "cells": out})
-
-    return words.select(page, "text", "left", "top", "height").groupBy(page).applyInPandas(one, f"`{page}` {kind}, row_no int, cells array<string>")
+    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    @pandas_udf(ArrayType(DoubleType()))
+    def clustered(tops: pd.Series, limit: pd.Series) -> pd.Series:
+        return pd.Series([row_positions(list(t), x) for t, x in zip(tops, limit)])
+
+    w = words.select(page, "text", "left", "top", "height")
+    columns = column_positions(w, page, column_gap).groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("column_no", "position"))), lambda x: x["position"].cast("double")).alias("columns"))
+    rows = w.groupBy(page).agg(F.collect_list(F.col("top").cast("double")).alias("tops"), (F.avg("height") * row_ratio).alias("limit")).select(page, clustered("tops", "limit").alias("rows"))
+    placed = w.join(columns.join(rows, page), page).select(page, "text", "left", "top", "columns", "rows", nearest(F.col("top"), F.col("rows")).alias("row_no"), nearest(F.col("left"), F.col("columns")).alias("column_no"))
+    cells = placed.groupBy(page, "row_no", "column_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "text"))), lambda x: x["text"]), " ").alias("cell"), F.first(F.size("columns")).alias("n"))
+    grid = cells.groupBy(page, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("column_no", "cell"))).alias("m"), F.first("n").alias("n"))
+    return grid.select(page, F.col("row_no").cast("int").alias("row_no"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(""))).alias("cells"))
+
+
+def reconstructed_markdown(words: DataFrame, page: str, column_gap: float = 20.0, row_ratio: float = 0.5) -> DataFrame:
+    """(page, markdown): the rebuilt grid of each page as a pipe table, without empty rows and columns."""
+    rows = reconstruct(words, page, column_gap, row_ratio)
+    grid = rows.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("cells"))
+    return grid.select(page, markdown(drop_empty(F.col("cells"))).alias("markdown"))
 
 
 def tsv_words(tsv: Column, min_confidence: float = 0.0) -> Column:

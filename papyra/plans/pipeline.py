@@ -73,7 +73,58 @@ class Registry:
         return sorted(self.items.values(), key=lambda p: -p.priority)
 
 
-processors, validators = Registry(), Registry()
+@dataclass(frozen=True)
+class OcrBackend:
+    """An OCR engine: a function of image bytes and language to text. None is built in."""
+
+    name: str
+    priority: int
+    languages: tuple[str, ...]
+    read: Callable[[bytes, str], str]
+
+    def supports(self, language: str) -> bool:
+        return language in self.languages
+
+    def reader(self, language: str) -> Callable[[bytes], tuple[str, dict, list]]:
+        """The engine as a reader of image files, with the image's own metadata."""
+        from papyra.sources.images import image_metadata
+
+        def run(data: bytes) -> tuple[str, dict, list]:
+            try:
+                meta = image_metadata(data)
+            except ValueError:
+                meta = {}
+            return self.read(data, language), {**meta, "ocr_backend": self.name, "ocr_language": language}, []
+
+        return run
+
+
+@dataclass(frozen=True)
+class Reader:
+    """A plugin for media types, exact ones or a class such as image/*; the highest priority that has a type reads it."""
+
+    name: str
+    priority: int
+    mimes: tuple[str, ...]
+    read: Callable[[bytes], tuple[str, dict, list]]
+
+
+processors, validators, readers, ocr_backends = Registry(), Registry(), Registry(), Registry()
+
+
+def chosen_readers(ocr: str | None = None, language: str = "eng") -> dict[str, Callable[[bytes], tuple[str, dict, list]]]:
+    """The built-in readers, an OCR engine for images if one is named, and over both the registered ones by priority."""
+    from papyra.sources.extractors import READERS
+
+    out = dict(READERS)
+    if ocr is not None:
+        engine = ocr_backends.get(ocr)
+        if not engine.supports(language):
+            raise ValueError(f"{ocr} has no language {language}")
+        out |= {m: engine.reader(language) for m in READERS if m.startswith("image/") and m != "image/svg+xml"}
+    for r in reversed(readers.ordered()):
+        out |= dict.fromkeys(r.mimes, r.read)
+    return out
 
 
 def selected(items: list[Processor], allow: set[str] | None = None, deny: set[str] | None = None) -> list[Processor]:

@@ -140,14 +140,32 @@ def table_csv(spark, sf_dir):
     return t.select("result_id", "table_no", F.array_join(F.transform(tables.drop_empty(F.col("cells")), lambda r: tables.csv_line(r)), "\n").alias("csv"))
 
 
-@query()
-def table_reconstruct(spark, sf_dir):
-    """Grids of stored tables rebuilt from the places their cells would have on a page."""
+def _placed(spark, sf_dir):
+    """Words of stored tables at the places that their cells would have on a page."""
     t = _tables(spark, sf_dir).filter("cells is not null").select(F.concat_ws("-", "result_id", "table_no").alias("page"), F.posexplode("cells").alias("r", "row"))
     w = t.select("page", "r", F.posexplode("row").alias("c", "text")).filter("trim(text) <> ''")
-    words = w.select("page", "text", (F.col("c") * 120 + F.lit(10)).cast("double").alias("left"), (F.col("r") * 30 + F.col("c") % 3).cast("double").alias("top"), F.lit(12.0).alias("height"))
-    return tables.reconstruct(words, "page")
+    return w.select("page", "text", (F.col("c") * 120 + F.lit(10)).cast("double").alias("left"), (F.col("r") * 30 + F.col("c") % 3).cast("double").alias("top"), F.lit(12.0).alias("height"))
+
+
+# the places are so made that every row and column with a filled cell is found again
+_PLACED = f"""WITH w AS (SELECT result_id || '-' || table_no AS page, r, c, cells[r][c] AS text FROM (SELECT *, unnest(range(1, len(cells[r]) + 1)) AS c FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS r FROM {_T} WHERE cells IS NOT NULL) WHERE cells[r] IS NOT NULL) WHERE trim(cells[r][c]) <> ''),
+  rs AS (SELECT page, r, dense_rank() OVER (PARTITION BY page ORDER BY r) - 1 AS row_no FROM (SELECT DISTINCT page, r FROM w)), cs AS (SELECT DISTINCT page, c FROM w), g AS (SELECT rs.page, rs.row_no, rs.r, cs.c FROM rs JOIN cs USING (page)),
+  f AS (SELECT g.page, g.row_no::INTEGER AS row_no, list(coalesce(w.text, '') ORDER BY g.c) AS cells FROM g LEFT JOIN w ON w.page = g.page AND w.r = g.r AND w.c = g.c GROUP BY ALL)"""
+
+
+@query(_PLACED + " SELECT page, row_no, cells FROM f")
+def table_reconstruct(spark, sf_dir):
+    """Grids of stored tables rebuilt from the places of their words."""
+    return tables.reconstruct(_placed(spark, sf_dir), "page")
+
+
+_FOUND = r"'| ' || array_to_string(list_transform(cells, lambda c: replace(c, '|', '\|')), ' | ') || ' |'"
+
 
+@query(_PLACED + f""", l AS (SELECT page, row_no, {_FOUND} || CASE WHEN row_no = 0 THEN chr(10) || '|' || repeat(' ------ |', len(cells)) ELSE '' END AS line FROM f) SELECT page, string_agg(line, chr(10) ORDER BY row_no) AS markdown FROM l GROUP BY page""")
+def table_reconstruct_markdown(spark, sf_dir):
+    """The rebuilt grids as pipe tables."""
+    return tables.reconstructed_markdown(_placed(spark, sf_dir), "page")
 
 
 # ---------------------------------------------------------------- images

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.config import Extraction
 from papyra.sources import extractors, mime
 
 
@@ -36,6 +37,30 @@ def extract_files(df: DataFrame) -> DataFrame:
     return extractors.extract(df, ["path", "size"])
 
 
+def process_files(df: DataFrame, config: Extraction | None = None, checks: list | None = None) -> DataFrame:
+    """Extraction with the registered readers, then the pipeline as the configuration asks for it."""
+    from papyra.plans.pipeline import chosen_readers, run_configured
+
+    own = config or Extraction()
+    found = extractors.extract(df, ["path", "size"], readers=chosen_readers(own.ocr.backend if own.ocr and own.force_ocr else None, own.ocr.language if own.ocr else "eng"))
+    out = run_configured(found.withColumnRenamed("error", "read_error"), own, checks=checks)
+    return out.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
+
+
+def missing_files(inputs: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+    """A row with an error for each path asked for that isn't there."""
+    gone = inputs.join(files.select(key), key, "left_anti").select(key)
+    return gone.withColumns({"content": F.concat(F.lit("Error: no such file: "), F.col(key)), "error": F.lit("FileNotFoundError")})
+
+
+def detect_or_validate(path: Column, given: Column | None = None, data: Column | None = None) -> Column:
+    """struct(mime_type, error): the type that was given, or by extension, or by content; unknown and unsupported ones are errors."""
+    found = F.coalesce(*[x for x in (F.nullif(given, F.lit("")) if given is not None else None, mime.by_extension(path), mime.sniff_bytes(data) if data is not None else None, F.lit(None).cast("string")) if x is not None])
+    known = found.isin(mime.SUPPORTED) | found.startswith("image/")
+    error = F.when(found.isNull(), F.concat(F.lit("no media type for "), path)).when(~known, F.concat(F.lit("unsupported media type "), found))
+    return F.struct(found.alias("mime_type"), error.alias("error"))
+
+
 def in_input_order(results: DataFrame, inputs: DataFrame, key: str = "path") -> DataFrame:
     """Results in the order of a list of inputs (key, input_index)."""
     return inputs.join(results, key, "left").orderBy("input_index")

@@ -142,3 +142,41 @@ def test_rendered_column(spark):
 
 def test_sample_table_is_complete():
     assert len({s.name for s in samples()}) == len(samples()) and json.dumps([s.text for s in samples()]) and png(1, 1)[:4] == b"\x89PNG"
+
+
+def test_files_with_the_pipeline_and_plugins(spark, tmp_path):
+    import papyra
+    from papyra.plans import pipeline as P
+
+    for n, t in (("a.txt", b"some words are here for the test of it all now"), ("b.md", b"# two"), ("c.png", png(3, 4)), ("d.pdf", b"%PDF"), ("e.zzz", b"zzz")):
+        (tmp_path / n).write_bytes(t)
+    found = papyra.read_files(spark, str(tmp_path))
+    P.ocr_backends.register(P.OcrBackend("fake", 1, ("eng",), lambda data, lang: f"{len(data)} bytes in {lang}"))
+    P.readers.register(P.Reader("zzz", 9, ("application/pdf",), lambda data: ("read", {}, [])))
+    try:
+        config = papyra.Extraction(force_ocr=True, ocr=papyra.config.Ocr("tesseract"), keywords=papyra.Keywords("rake"))
+        with pytest.raises(KeyError):
+            papyra.process_files(found, config)
+        got = {r.path.rsplit("/", 1)[1]: r for r in papyra.process_files(found, papyra.Extraction(keywords=papyra.Keywords("rake"), chunking=papyra.Chunking())).collect()}
+        assert P.chosen_readers("fake")["image/png"](png(3, 4)) == (f"{len(png(3, 4))} bytes in eng", {"width": 3, "height": 4, "format": "PNG", "frames": 1, "exif": {}, "ocr_backend": "fake", "ocr_language": "eng"}, [])
+        with pytest.raises(ValueError):
+            P.chosen_readers("fake", "deu")
+    finally:
+        P.readers.clear()
+        P.ocr_backends.clear()
+    assert got["a.txt"].keywords and got["a.txt"].chunk_count == 1 and got["d.pdf"].content == "read" and got["c.png"].content == "" and got["e.zzz"].content == "zzz"
+    asked = spark.createDataFrame([(found.first().path, 0), ("nowhere", 1)], "path string, input_index int")
+    from papyra.sources import files
+
+    assert [(r.path, r.error) for r in files.missing_files(asked, found).collect()] == [("nowhere", "FileNotFoundError")]
+    kinds = spark.createDataFrame([("a.txt", None), ("b", None), ("c.bin", "application/x-nothing"), ("d.html", "")], "p string, m string")
+    out = [tuple(r.t) for r in kinds.select(files.detect_or_validate(F.col("p"), F.col("m")).alias("t")).collect()]
+    assert out == [("text/plain", None), (None, "no media type for b"), ("application/x-nothing", "unsupported media type application/x-nothing"), ("text/html", None)]
+
+
+def test_public_surface():
+    import papyra
+
+    assert all(getattr(papyra, n) is not None for n in papyra.__all__)
+    with pytest.raises(AttributeError):
+        papyra.nothing
