@@ -397,6 +397,16 @@ def known_fields(metadata: Column) -> tuple[Column, Column]:
     return F.filter(keys, lambda k: k.isin(KNOWN)), F.filter(keys, lambda k: ~k.isin(KNOWN))
 
 
+def utf8_ok(data: Column) -> Column:
+    """Whether bytes are UTF-8; null for null."""
+    return F.is_valid_utf8(data.cast("string"))
+
+
+def utf8_repaired(data: Column) -> Column:
+    """The text of bytes, with the replacement character for what isn't UTF-8."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def is_image_mime(c: Column) -> Column:
     return F.lower(c).startswith("image/")
 

@@ -42,6 +42,14 @@ def matches(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> Dat
     return df.filter(F.col(text).isNotNull()).select(key, F.explode(F.flatten(found)).alias("e")).select(key, "e.kind", "e.value")
 
 
+def union(*found: DataFrame) -> DataFrame:
+    """The entities of several recognisers, all of them, in one frame; columns that one lacks are null."""
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
 def spans(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """(key, kind, value, char_start, char_end): matches with their places."""
     kind = dict(df.dtypes)[key]
