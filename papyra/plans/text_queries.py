@@ -46,14 +46,33 @@ def structure_bonus(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(X.structure_bonus(F.col("text")), 6).alias("structure_bonus"))
 
 
-@query()
+# The SQL engine's word boundary knows ASCII only: letters, marks and digits beyond it stand as two signs of words that no pattern matches there.
+def _bytes(c: str, pattern: str) -> str:
+    return f"coalesce(list_sum(list_transform(regexp_extract_all({c}, '{pattern}'), lambda m: strlen(m))), 0)"
+
+
+def _spaced(pattern: str) -> str:
+    return pattern.replace(r"\s", WS)
+
+
+_OCR = _spaced("|".join((X.SCATTERED, X.REPEATED, X.ISOLATED, X.MALFORMED, X.WIDE_SPACE)))
+_WORDLIKE = r"([\pL\pM\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}])"
+_PLAIN = f"""array_to_string(list_transform(regexp_extract_all(text, '[\\x00-\\x7F]+|[^\\x00-\\x7F]+'), lambda p: CASE WHEN regexp_matches(p, '^[\\x00-\\x7F]') THEN p ELSE regexp_replace(p, '{_WORDLIKE}', '_0', 'g') END), '')"""
+_QUALITY = f"""WITH p AS (SELECT doc_id, lang, text, strlen(text) AS size, coalesce({_PLAIN}, '') AS plain, {_BONUS} AS structure FROM documents),
+  q AS (SELECT *, CASE WHEN contains(text, '  ') OR contains(text, '...') THEN least(1.0::DOUBLE, ({_bytes('plain', _OCR)} + coalesce(list_sum(list_transform(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(trim(l), '^\\|[|\\-:\\s]*\\|$')), lambda l: {_bytes('l', X.DASHES)})), 0))::DOUBLE / greatest(size, 1)) ELSE 0.0::DOUBLE END AS ocr,
+  CASE WHEN contains(text, 'function') OR contains(text, '<script') OR contains(text, '<style') THEN least(1.0::DOUBLE, ({_bytes('text', _spaced(X.JS_FUNCTION))} + {_bytes('text', _spaced(X.CSS_RULE))} + {_bytes('text', X.SCRIPT_TAG)} + {_bytes('text', X.STYLE_TAG)})::DOUBLE / greatest(size, 1)) ELSE 0.0::DOUBLE END AS script,
+  CASE WHEN text IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, ({_bytes('plain', X.NAV_WORDS)} + {_bytes('text', _spaced(X.BREADCRUMB))} + {_bytes('plain', X.PAGINATION)})::DOUBLE / greatest(size, 1)) END AS nav FROM p),
+  s AS (SELECT *, CASE WHEN text IS NULL OR regexp_full_match(text, '{WS}*') THEN 0.0::DOUBLE WHEN size < 10 THEN 0.1::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0 - 0.3 * ocr + 0.2 * structure - CASE WHEN size > 1000 THEN 0.2 * script + 0.1 * nav ELSE 0.0 END)) END AS score FROM q)"""
+
+
+@query(_QUALITY + " SELECT doc_id, round(score, 6) AS score, round(ocr, 6) AS ocr_penalty, round(script, 6) AS script_penalty, round(nav, 6) AS nav_penalty, round(structure, 6) AS structure FROM s")
 def quality_score(spark, sf_dir):
     c = F.col("text")
     parts = {"score": X.quality_score(c), "ocr_penalty": X.ocr_penalty(c), "script_penalty": X.script_penalty(c), "nav_penalty": X.nav_penalty(c), "structure": X.structure_bonus(c)}
-    return _docs(spark, sf_dir).select("doc_id", *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in parts.items()])
+    return _docs(spark, sf_dir).select("doc_id", *[F.round(F.coalesce(v, F.lit(0.0)), 6).alias(k) for k, v in parts.items()])
 
 
-@query()
+@query(_QUALITY + " SELECT lower(lang) AS lang, count(*) AS n, round(avg(score), 6) AS mean_score, round(min(score), 6) AS least_score FROM s GROUP BY 1")
 def quality_by_lang(spark, sf_dir):
     scored = _docs(spark, sf_dir).select(F.lower("lang").alias("lang"), X.quality_score(F.col("text")).alias("score"))
     return scored.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.min("score"), 6).alias("least_score"))
