@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from papyra.session import cut, spread
 
 
-_TOKEN = re.compile(r'[ \t\r\n]*([{}\[\],:]|"(?:[^"\\\x00-\x1f]+|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)')
+_TOKEN = re.compile(r'[ \t\r\n]*([{}\[\],:]|"[^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)')
 _KINDS = {"t": "boolean", "f": "boolean"}
 
 Triple = tuple[str, str, str, list[int], str, str | None, str]

@@ -95,3 +95,11 @@ def test_found_goes_by_the_triples(spark):
     assert got.columns == ["result_id", "elem_path", "parent_path"] and got.count() > 0
     groups = {r.group_path for r in Q.p3_tables(spark, data).select("group_path").distinct().collect()}
     assert {"tables[]", "chunks[]", "pages[]", "pages[].images[]", "metadata.pages.boundaries[]"} <= groups
+
+
+def test_cut_off_strings_take_linear_time():
+    import time
+
+    t = time.process_time()
+    assert N.triples('{"a": "' + "word and more " * 20_000, "m") == [] and N.triples('{"a": "' + "\\\\" * 20_000, "m") == []
+    assert time.process_time() - t < 1
