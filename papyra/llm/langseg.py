@@ -53,7 +53,7 @@ SURE_OTHER = 0.9
 SHORT, SURE_SHORT = 12, 0.97
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MAIL = re.compile(r"[^\s@]*@[^\s@]+")
+_MAIL = re.compile(r"(?<![^\s@])[^\s@]*@[^\s@]+")
 #: A letter that marks an item at the start of a line is no word.
 _BULLET = re.compile(r"^[ \t]*o[ \t]+", re.M)
 

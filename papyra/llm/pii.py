@@ -14,6 +14,7 @@ Texts are read whole. Extra columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections import Counter
@@ -194,6 +195,28 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+class Spans:
+    """Stretches that don't overlap, in order of their places; looked up by halving."""
+
+    def __init__(self, spans: list[tuple[int, int]] = ()):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            self.add(a, b)
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether a stretch overlaps one of them."""
+        k = bisect.bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def holds(self, place: int) -> bool:
+        return self.meets(place, place + 1)
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     out, at = [], -1
     for m in _AT.finditer(text):
@@ -205,23 +228,35 @@ def emails(text: str) -> list[tuple[int, int]]:
         while lo < m.start() and not text[lo].isalnum():
             lo += 1
         got = _EMAIL.match(text, lo)
-        if not got or not got.start() <= m.start() < got.end():  # its first word holds no @: from the next word on
-            got = next((g for k in _WORD.finditer(text, lo, m.start()) if (g := _EMAIL.match(text, k.start())) and g.start() <= m.start() < g.end()), None)
+        if not got or not got.start() <= m.start() < got.end():  # from the word right before the @
+            word = re.search(r"[^\W\d_]+\W{0,2}$", text[max(lo, m.start() - 100) : m.start()])
+            got = _EMAIL.match(text, max(lo, m.start() - 100) + word.start()) if word else None
+            got = got if got and got.start() <= m.start() < got.end() else None
         if got:
             out.append(got.span())
             at = got.end()
     if _AT_WORD.search(text):
+        own = Spans(out)
         for m in _SPELLED.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in out):
+            if not own.meets(*m.span()):
                 out.append(m.span())
     return out
 
 
 def address_like(text: str, mail: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Strings around an @ that have no form of an address."""
-    if "@" not in text:
-        return []
-    return [m.span() for m in _LIKE.finditer(text) if not any(a < m.end() and m.start() < b for a, b in mail)]
+    own, out, at = Spans(mail), [], text.find("@")
+    while at >= 0:
+        lo = at
+        while lo and (text[lo - 1].isalnum() or text[lo - 1] in "_.+%'-"):
+            lo -= 1
+        while lo < at and not text[lo].isalnum():
+            lo += 1
+        m = _LIKE.match(text, lo) or _LIKE.match(text, at)
+        if m and m.end() > at and not own.meets(*m.span()) and not (out and out[-1][1] > m.start()):
+            out.append(m.span())
+        at = text.find("@", at + 1)
+    return out
 
 
 def numbers(text: str) -> list[tuple[int, int]]:
@@ -238,6 +273,7 @@ def numbers(text: str) -> list[tuple[int, int]]:
 def identity(text: str, anchors: list[tuple[int, int, str]], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: dict[int, int] = {}
     at = -1
+    labelled = Spans()
     for a, b, kinds in anchors:
         if "i" in kinds and b > at:
             for m in _ID_LABEL.finditer(text, max(0, a - 24), min(len(text), b + 24)):
@@ -245,18 +281,21 @@ def identity(text: str, anchors: list[tuple[int, int, str]], found: list[tuple[i
                 v = _ID_VALUE.match(text, m.end(), m.end() + 60)
                 if v and v.start(1) - m.end() <= 24:
                     out[v.start(1)] = v.end(1)
+                    labelled.add(*v.span(1))
     for a, b in found:  # numbers of a known form without a label
         lo = a - 1 if a and text[a - 1] in "-" else a
         while lo > 0 and a - lo < 3 and text[lo - 1].isalpha():
             lo -= 1
         m = _ID_FORM.match(text, lo)
-        if m and not any(x < m.end() and m.start() < y for x, y in out.items()):
+        if m and not labelled.meets(*m.span()):
             out[m.start()] = m.end()
+            labelled.add(*m.span())
     return list(out.items())
 
 
 def addresses(text: str, anchors: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
+    own = Spans()
     for a, b, kinds in anchors:
         near, after = text[max(0, a - 44) : a], text[b : b + 50]
         tries = []
@@ -271,11 +310,15 @@ def addresses(text: str, anchors: list[tuple[int, int, str]]) -> list[tuple[int,
         for p, lo, hi in tries:
             for m in p.finditer(text, lo, min(len(text), hi)):
                 x, y = m.span()
-                if not x <= a < y or any(u < y and x < v for u, v in out):
+                if not x <= a < y or own.meets(x, y):
                     continue
                 before = text[max(0, x - 48) : x]
                 town = _TOWN_BEFORE.search(before) or _TOWN_BEFORE_EN.search(before)
                 out.append((x - len(town.group()) if town else x, y))
+                if not own.meets(*out[-1]):
+                    own.add(*out[-1])
+                else:
+                    own.add(x, y)
     return out
 
 
@@ -290,7 +333,8 @@ def _french(near: str) -> bool:
 
 def names(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, shape): runs of name words, with initials and particles; shape is the kinds in order, u for words of cues only."""
-    tokens = [t for t in tokens if not any(a <= t[0] < b for a, b in taken)] if taken else tokens
+    busy = Spans(taken)
+    tokens = [t for t in tokens if not busy.holds(t[0])] if taken else tokens
     runs: list[list] = []
     for a, b, k in tokens:
         if runs:
@@ -324,9 +368,15 @@ def names(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple[int,
         b += len(m.group()) if m else 0
         m = _PARTS.match(text, b)  # the rest of a double name
         spans[a] = (a, m.end(), shape + "u") if m else (a, b, shape)
+    reach: list[int] = []  # of the spans in order, how far any up to it reaches
+    order = sorted(spans.values())
+    for x, y, _ in order:
+        reach.append(max(y, reach[-1] if reach else 0))
+    begins = [x for x, _, _ in order]
     for m in _CUE.finditer(text):
         a, b = m.span(1)
-        if a not in spans and not any(x < b and a < y for x, y, _ in spans.values()) and not any(x <= a < y for x, y in taken):
+        k = bisect.bisect_left(begins, b)
+        if a not in spans and not (k and reach[k - 1] > a) and not busy.holds(a):
             spans[a] = (a, b, "u")
     return sorted(spans.values())
 
@@ -366,9 +416,9 @@ def capitalised(text: str, tokens: list[tuple[int, int, str]], taken: list[tuple
                 spans.add((a, b))
         for k in (2, 3):
             spans |= {(run[i][0], run[i + k - 1][1]) for i in range(len(run) - k + 1) if text[run[i + k - 1][1] - 1] != "."}
-    out = []
+    out, busy = [], Spans(taken)
     for a, b in sorted(spans - known):
-        if taken and any(x < b and a < y for x, y in taken):
+        if taken and busy.meets(a, b):
             continue
         words = [m.span() for m in _CAPITAL.finditer(text, a, b) if m.end() - m.start() > 1]
         if len(words) > 1 and all(y - x <= 4 and text[x:y].isupper() for x, y in words):
@@ -462,10 +512,11 @@ def candidates(text: str, lexicon: Lexicon, hidden: Callable[[str], bool] | None
     if hidden:
         words = [w for w in words if not hidden(low[w[0] : w[1]])]
     out += [("email", a, b, "") for a, b in [*mail, *address_like(text, mail)]]
+    busy = Spans(mail)
     if _DIGITS.search(text):
-        digits = [(a, b) for a, b in numbers(text) if not any(x <= a < y for x, y in mail)]
+        digits = [(a, b) for a, b in numbers(text) if not busy.holds(a)]
         out += [("phone", a, b, "") for a, b in digits]
-        out += [("id_number", a, b, "") for a, b in identity(text, anchors, digits) if not any(x <= a < y for x, y in mail)]
+        out += [("id_number", a, b, "") for a, b in identity(text, anchors, digits) if not busy.holds(a)]
         out += [("address", a, b, "") for a, b in addresses(text, anchors)]
     found = names(text, words, mail)
     out += [("name", a, b, k) for a, b, k in found]
@@ -510,9 +561,10 @@ class Judge:
 
 def resolve(found: list[tuple[float, int, int, str]]) -> list[tuple[int, int, str]]:
     """Of overlapping spans the surest; a name within an address or e-mail address gives way."""
-    kept: list[tuple[int, int, str]] = []
+    kept, own = [], Spans()
     for _, a, b, kind in sorted(found, key=lambda x: (x[3] == "name", x[3] == "phone", -x[0], x[1])):
-        if not any(x < b and a < y for x, y, _ in kept):
+        if not own.meets(a, b):
+            own.add(a, b)
             kept.append((a, b, kind))
     return sorted(kept)
 

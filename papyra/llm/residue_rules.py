@@ -19,7 +19,7 @@ _IDENT = r"[A-Za-z_À-ÿ][\w.À-ÿ-]*"
 _FIELD = re.compile(
     rf"""\{{\{{[\#/^>&!]?\s*{_IDENT}(?:\s+[^{{}}\n]{{1,60}})?\s*\}}\}} | \{{%-?\s*\w+[^%\n]{{0,80}}%\}} | <%[=\-]?\s*{_IDENT}[^%\n]{{0,60}}%> | [$\#]\{{\s*{_IDENT}\s*\}}
     | (?<!\w)%[A-Z][A-Z0-9_]{{2,40}}%(?!\w) | (?<!\w)%\({_IDENT}\)[sd] | \[\[\s*{_IDENT}(?:[ _]{_IDENT})*\s*\]\] | (?<![\w$\#{{])\{{\s*{_IDENT}(?:[ ]{_IDENT})?\s*\}}(?!\}})
-    | (?<![\w\]!])\[(?=[^\]]*[A-ZÄÖÜÀ-Þ]{{3}})[A-ZÄÖÜÀ-Þ][A-ZÄÖÜÀ-Þ0-9 _/'’-]{{2,40}}\](?![(\w\[]) | <<\s*{_IDENT}(?:[ _]{_IDENT})*\s*>> | «\s*[a-zA-Z]+_[\w]+\s*» | (?<!\w)__[A-Z][A-Z0-9_]*[A-Z0-9]__(?!\w)
+    | (?<![\w\]!])\[(?=[^\]]{{0,42}}[A-ZÄÖÜÀ-Þ]{{3}})[A-ZÄÖÜÀ-Þ][A-ZÄÖÜÀ-Þ0-9 _/'’-]{{2,40}}\](?![(\w\[]) | <<\s*{_IDENT}(?:[ _]{_IDENT})*\s*>> | «\s*[a-zA-Z]+_[\w]+\s*» | (?<!\w)__[A-Z][A-Z0-9_]*[A-Z0-9]__(?!\w)
     | (?<![\w<])<(?=[A-ZÄÖÜ])[A-ZÄÖÜ][A-ZÄÖÜ0-9]*[ _][A-ZÄÖÜ0-9 _]{{2,40}}> | (?<!\w)@@\w+@@ | (?<![\w$])\$[A-Z][A-Z_]{{3,30}}\$(?!\w) | \#\#[A-Z_]{{3,30}}\#\# | (?<!\w)(?:\*\|[A-Z_:]+\|\*)""",
     re.X,
 )

@@ -285,3 +285,19 @@ def test_long_words_and_blocks_are_whole():
     assert langseg.word_features("a" * 30 + "tion") != langseg.word_features("a" * 30 + "ment")
     got = langseg.block_languages([f"{DEU} " * 400])[0]
     assert langseg.LANGS[got[0][0]] == "deu" and got[0][1] > 0.95
+
+
+ODD_LONG = ["a.b" * 20_000 + "@", "a@" * 20_000, "(" * 20_000 + "[" * 20_000 + "{" * 20_000, "_" * 50_000, "1 " * 20_000, " " * 50_000 + "x", "\n \n" * 20_000, "`" * 50_000, "Mr A b. " * 5_000]
+
+
+@pytest.mark.parametrize("text", ODD_LONG, ids=[t[:6].strip() or "blank" for t in ODD_LONG])
+def test_long_odd_texts_take_linear_time(text):
+    import time
+
+    t = time.process_time()
+    pii.judge().mentions([text])
+    residue_rules.examine(text)
+    langseg.block_languages([text])
+    textclass.class_shares([text])
+    residue.shingle_sets([text])
+    assert time.process_time() - t < 20
