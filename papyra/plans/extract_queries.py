@@ -29,10 +29,13 @@ def _as_files(spark, sf_dir):
     return d.select("doc_id", kinds.alias("f")).select("doc_id", "f.mime_type", "f.data")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, coalesce(source, 'none') AS s FROM documents WHERE text IS NOT NULL), k(asked, mime, n_tables, error) AS (VALUES ('text/html', 'text/html', 1, NULL), ('application/json', 'application/json', 0, NULL), ('message/rfc822', 'message/rfc822', 0, NULL), ('application/pdf', 'text/plain', 0, 'Unsupported'))
+  SELECT doc_id, asked, mime, n_tables::INTEGER AS n_tables, CASE WHEN asked = 'text/html' THEN trim(s) END AS title, error FROM d, k""")
 def extract_formats(spark, sf_dir):
-    out = extractors.extract(_as_files(spark, sf_dir).withColumn("asked", F.col("mime_type")), ["doc_id", "asked"])
-    return out.select("doc_id", "asked", "mime", F.length("content").alias("n_chars"), F.size("tables").alias("n_tables"), F.get_json_object("metadata", "$.title").alias("title"), "error")
+    """Media type, tables, title and error of four forms of every document; the Markdown form is in markdown_structure."""
+    files = _as_files(spark, sf_dir).filter("mime_type <> 'text/markdown'")
+    out = extractors.extract(files.withColumn("asked", F.col("mime_type")), ["doc_id", "asked"])
+    return out.select("doc_id", "asked", "mime", F.size("tables").alias("n_tables"), F.get_json_object("metadata", "$.title").alias("title"), "error")
 
 
 @query("""SELECT asked, count(*) AS n, count(error) AS errors FROM (SELECT unnest(['text/html', 'application/json', 'text/markdown', 'message/rfc822', 'application/pdf']) AS asked, doc_id FROM documents WHERE text IS NOT NULL) s

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
+from papyra.config import Keywords
 from papyra.functions import text as X
+from papyra.functions.stopwords import built_in
 from papyra.operators import chunking, keywords, language, tables
 from papyra.plans.registry import SQL, query
 from papyra.plans.text_queries import ISO, _ISO_SQL
@@ -233,13 +235,27 @@ def rake_keywords(spark, sf_dir):
     return keywords.rake(_with_stop(spark, sf_dir), "doc_id", "text", "stop").select("doc_id", "keyword", F.round("score", 6).alias("score"))
 
 
-@query()
+def _rake_by(tag: str, stopped: str) -> str:
+    """RAKE of two or three words with a least score of 0.2, five at most; `stopped` tells a stop word w."""
+    return rf"""t{tag} AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\pL\pN'' \-]+', ' ' || chr(1) || ' ', 'g'), '[ \-]+'), lambda w: w <> '') AS ws, stop FROM d JOIN s ON s.lang = d.l3),
+  p{tag} AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(array_to_string(list_transform(ws, lambda w: CASE WHEN w = chr(1) OR {stopped} THEN chr(1) ELSE w END), ' '), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS phrase FROM t{tag}),
+  c{tag} AS (SELECT doc_id, phrase, count(*) AS n, string_split(phrase, ' ') AS words FROM p{tag} GROUP BY ALL), w{tag} AS (SELECT doc_id, phrase, n, len(words) AS size, unnest(words) AS word FROM c{tag}),
+  v{tag} AS (SELECT doc_id, word, sum(n * size)::DOUBLE / sum(n) AS w FROM w{tag} GROUP BY ALL), r{tag} AS (SELECT doc_id, phrase, sum(v{tag}.w) AS raw, any_value(size) AS size FROM w{tag} JOIN v{tag} USING (doc_id, word) GROUP BY ALL),
+  f{tag} AS (SELECT *, min(raw) OVER (PARTITION BY doc_id) AS lo, max(raw) OVER (PARTITION BY doc_id) AS hi FROM r{tag} WHERE size BETWEEN 2 AND 3), g{tag} AS (SELECT doc_id, phrase, CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 1.0 END AS score FROM f{tag}),
+  k{tag} AS (SELECT doc_id, phrase AS keyword, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, phrase) AS k FROM g{tag} WHERE score >= 0.2) WHERE k <= 5)"""
+
+
+def _rake_configured_sql() -> str:
+    english = ", ".join(f"'{w}'" for w in built_in("eng"))
+    head = f"WITH s AS (SELECT lang, list(DISTINCT word) AS stop FROM stopwords GROUP BY lang), d AS (SELECT doc_id, text, CASE lower(lang) {_ISO_SQL} ELSE 'eng' END AS l3 FROM documents WHERE text IS NOT NULL)"
+    return f"{head}, {_rake_by('a', 'list_contains(stop, w)')}, {_rake_by('b', f'w IN ({english})')} SELECT * FROM ka UNION ALL SELECT * FROM kb WHERE doc_id NOT IN (SELECT doc_id FROM ka)"
+
+
+@query(_rake_configured_sql())
 def rake_configured(spark, sf_dir):
     """RAKE by settings: two or three words, a least score, English stop words where a document's own give nothing."""
-    from papyra.config import Keywords
-    from papyra.functions.stopwords import built_in
-
-    return keywords.extract(_with_stop(spark, sf_dir), "doc_id", "text", "stop", Keywords("rake", 5, 0.2, (2, 3)), built_in("eng"))
+    found = keywords.extract(_with_stop(spark, sf_dir), "doc_id", "text", "stop", Keywords("rake", 5, 0.2, (2, 3)), built_in("eng"))
+    return found.select("doc_id", "keyword", F.round("score", 6).alias("score"))
 
 
 @query()
