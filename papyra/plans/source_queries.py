@@ -221,7 +221,7 @@ def pipeline(spark, sf_dir):
     from papyra.plans.pipeline import default_validators, run_configured
 
     rows = _results(spark, sf_dir).select("result_id", "content", "mime_type").dropDuplicates(["result_id"])
-    config = Extraction(chunking=Chunking(), keywords=Keywords("yake"), language_detection=LanguageDetection(min_confidence=0.3))
+    config = Extraction(chunking=Chunking(), keywords=Keywords("rake"), language_detection=LanguageDetection(min_confidence=0.3))
     out = run_configured(rows, config, checks=default_validators())
     return out.select("result_id", "quality_score", "detected_language", "detected_languages", "chunk_count", "keywords", "error")
 
