@@ -155,3 +155,78 @@ def test_split_is_linear():
 
     took(500)
     assert took(8000) < 24 * max(took(1000), 0.01)
+
+
+def test_split_costs_little_more_than_reading_the_words():
+    import re
+    import time
+
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["paper", "river", "stone", "light", "Ämter", "year"]) for _ in range(60_000))
+
+    def least(f):
+        times = []
+        for _ in range(3):
+            t = time.process_time()
+            f()
+            times.append(time.process_time() - t)
+        return min(times)
+
+    words = least(lambda: [(m.group().lower(), m.start()) for m in re.finditer(r"[^\W_]+", text)])
+    assert least(lambda: split.pieces(text)) < 8 * words
+
+
+def test_groups_of_texts_equal_their_definitions(monkeypatch):
+    """Boundaries by patterns, similarity by counting words, each text on its own."""
+    import re
+    from bisect import bisect_left
+    from collections import Counter
+
+    monkeypatch.setattr(split, "GROUP", 3000)
+    w = re.escape(split.WHITE)
+    patterns = [rf"\n(?=[{w}]*\n)[{w}]*\n|^[{w}]*\n|\n[{w}]*$", "\n", rf"(?<=[.!?])(?=[{w}])|(?<=。)", f"[{w}]+"]
+    rng = random.Random(6)
+    signs = ["word ", "Other ", "End. ", "\n", "\n \n", "\r\n", "longer", "É", "。", "あい", "漢字漢字漢字語", "　", "\x85", "x_y", "!", "Σ", "ΑΣ ", "İ", "漢İ漢字", "\0", "😀", "ǅ ", " " * 120]
+    texts = ["", " ", "\n", "\n\n", "Σ", "İa b"]
+    for _ in range(60):
+        own = rng.sample(signs, rng.randrange(2, 9))
+        texts.append("".join(rng.choice(own) for _ in range(rng.randrange(1, 250))))
+    texts.append("")
+    seen = []
+    for start, group in split.grouped(texts):
+        for k, text in enumerate(group.texts):
+            assert text == texts[start + k]
+            seen.append(start + k)
+            assert list(group.own_places[k]) == [sorted({m.end() for m in re.finditer(p, text)} - {0, len(text)}) for p in patterns]
+            words = []
+            for m in re.finditer(r"[^\W_]+", text):
+                x = m.group().lower()
+                words += [(x[i : i + 2], m.start() + i) for i in range(0, len(x) - 1, 2)] if len(x) > 3 and ord(x[0]) >= 0x3040 else [(x, m.start())]
+            cohesion = group.cohesion(k)
+            for place in group.own_places[k][3]:
+                i = bisect_left(words, place, key=lambda x: x[1])
+                a, b = (Counter(x for x, _ in part) for part in (words[max(0, i - split.BLOCK) : i], words[i : i + split.BLOCK]))
+                norm = (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5
+                assert cohesion.similarity(place) == (sum(n * b[x] for x, n in a.items()) / norm if norm else 0.0)
+            places = sorted({0, len(text), *(rng.randrange(len(text) + 1) for _ in range(20))})
+            assert group.byte_places(k, places) == [len(text[:p].encode()) for p in places]
+    assert seen == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("words,gap", [(60, 2000), (45, 900), (10, 1500)])
+def test_short_pieces_before_much_white_space_end(words, gap):
+    import signal
+
+    def late(*_):
+        raise TimeoutError
+
+    signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        text = ("ab " * words + " " * gap) * 4
+        spans = split.pieces(text)
+    finally:
+        signal.alarm(0)
+    assert all(c[0] > a[0] for a, c in zip(spans, spans[1:])) and all(0 < b - a <= 1000 for a, b in spans)
+    covered = {i for a, b in spans for i in range(a, b)}
+    assert all(i in covered for i, x in enumerate(text) if x != " ")
